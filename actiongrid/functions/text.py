@@ -54,13 +54,14 @@ def int_value(value: Column | str) -> Column:
 
 def _clock(centis: Column) -> Column:
     seconds = int_div(centis, 100)
-    return F.format_string(
+    text = F.format_string(
         "%02d:%02d:%02d.%02d",
         int_div(seconds, 3600),
         int_div(seconds, 60) % 60,
         seconds % 60,
         centis % 100,
     )
+    return F.when(centis.isNotNull(), text)
 
 
 def timecode(seconds: Column | str) -> Column:
@@ -76,12 +77,13 @@ def caption(seconds: Column | str) -> Column:
     """MM:SS.ss, minutes may exceed 59."""
     value = as_col(seconds)
     minutes = F.floor(value / 60)
-    return F.format_string("%02d:%05.2f", minutes, value - minutes * 60)
+    return F.when(value.isNotNull(), F.format_string("%02d:%05.2f", minutes, value - minutes * 60))
 
 
 def seconds_text(seconds: Column | str) -> Column:
     """Ten decimals without trailing zeros."""
-    fixed = F.format_string("%.10f", as_col(seconds))
+    value = as_col(seconds)
+    fixed = F.when(value.isNotNull(), F.format_string("%.10f", value))
     return F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")
 
 
