@@ -166,12 +166,12 @@ def _carried(hot: DataFrame, keys, order, lag, running) -> DataFrame:
     carried = summary.select(*parts, *carry)
 
     base = hot.columns
-    local = _local(hot, parts, order, lag, {**running, "__row": Running("sum", F.lit(1))})
+    local = _local(hot, parts, order, lag, {**running, "__nth_in_chunk": Running("sum", F.lit(1))})
     joined = attach(local, carried, parts)
     outputs = []
     for i, out in enumerate(lag):
         outputs.append(
-            F.when(F.col("__row") == 1, F.col(f"__cl{i}.v")).otherwise(F.col(out)).alias(out)
+            F.when(F.col("__nth_in_chunk") == 1, F.col(f"__cl{i}.v")).otherwise(F.col(out)).alias(out)
         )
     for i, (out, run) in enumerate(running.items()):
         mine, theirs = F.col(out), F.col(f"__cr{i}")
