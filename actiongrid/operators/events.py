@@ -59,8 +59,8 @@ def _islands(rows: DataFrame, parts: tuple[str, ...], gap_us: int) -> DataFrame:
         F.first("action").alias("action"),
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
-        F.sum("conf_micro").alias("conf_sum"),
-        F.count(F.lit(1)).alias("n_windows"),
+        F.sum("conf_sum").alias("conf_sum"),
+        F.sum("n_windows").alias("n_windows"),
     )
 
 
@@ -161,12 +161,28 @@ def merge_windows(
     """Events as exact integers: video_id, event_no, start_us, end_us, action,
     conf_sum (millionths), n_windows. Events that are too short get no number,
     yet they have kept their neighbours apart."""
-    gap_us = micros("merge_gap_seconds", merge_gap_seconds)
-    min_us = micros("min_event_seconds", min_event_seconds)
     usable = usable_windows(
         windows, confidence_threshold=confidence_threshold, background_label=background_label
-    ).select("video_id", "ordinal", "start_us", "end_us", "action", "conf_micro")
-    split = order_by_key(usable, ("video_id",), ORDER, max_rows=max_rows)
+    )
+    return merge_spans(
+        as_spans(usable),
+        gap_us=micros("merge_gap_seconds", merge_gap_seconds),
+        min_us=micros("min_event_seconds", min_event_seconds),
+        max_rows=max_rows,
+    )
+
+
+def as_spans(windows: DataFrame) -> DataFrame:
+    """Windows as spans that stand for one window each."""
+    return windows.select(
+        "video_id", "ordinal", "start_us", "end_us", "action",
+        F.col("conf_micro").alias("conf_sum"), F.lit(1).cast("long").alias("n_windows"),
+    )
+
+
+def merge_spans(spans: DataFrame, *, gap_us: int, min_us: int, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The merge itself, on spans that may already stand for several windows."""
+    split = order_by_key(spans, ("video_id",), ORDER, max_rows=max_rows)
 
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("island"))
     cold = (

@@ -41,7 +41,7 @@ def rally_notes(intervals: DataFrame) -> DataFrame:
         F.posexplode(F.regexp_extract_all("note", F.lit(piece), F.lit(0))).alias("position", "source_text"),
     ).withColumnsRenamed({"start_us": "low", "end_us": "high"})
     part = lambda i: F.regexp_extract("source_text", piece, i)
-    second = F.lit(1_000_000)
+    second = F.lit(1_000_000).cast("long")
     period = lambda t: F.when(t.contains(":"), F.lit(3600)).otherwise(F.lit(60)) * second
     begin, finish = _clock_seconds(part(1)) * second, _clock_seconds(part(2)) * second
     # the end may drop the minutes, so it is taken modulo its own period

@@ -25,7 +25,7 @@ START, END = "start_us", "end_us"
 
 def _line(rows: DataFrame, keys, position: Column, side: int, reach: Column, ident: Column, keep: Sequence[str]) -> DataFrame:
     return rows.select(
-        *keys, position.alias("__at"), F.lit(side).alias("__side"), ident.alias("__id"),
+        *keys, position.alias("__at"), F.lit(side).alias("__side"), ident.cast("string").alias("__id"),
         reach.alias("__reach"), F.struct(*[F.col(c) for c in keep]).alias("__row"),
     )
 
@@ -40,7 +40,7 @@ def overlap_witness(
     decides. The witness is the furthest-reaching one, largest id on ties."""
     mine = _line(rows, keys, F.col(END), 0, F.lit(None), F.col(id_col), rows.columns)
     theirs = others.select(
-        *keys, F.col(START).alias("__at"), F.lit(1).alias("__side"), F.col(other_id).alias("__id"),
+        *keys, F.col(START).alias("__at"), F.lit(1).alias("__side"), F.col(other_id).cast("string").alias("__id"),
         F.struct(F.col(END).alias("reach"), F.col(other_id).alias("id")).alias("__reach"),
     )
     swept = order_by_key(
@@ -77,7 +77,7 @@ def cover(
     cover.start <= start and end <= cover.end. Two running maxima (the furthest and the
     second furthest reach so far) separate none, one and several without any pair."""
     theirs = covers.select(
-        *keys, F.col(START).alias("__at"), F.lit(0).alias("__side"), F.col(cover_id).alias("__id"),
+        *keys, F.col(START).alias("__at"), F.lit(0).alias("__side"), F.col(cover_id).cast("string").alias("__id"),
         F.struct(F.col(END).alias("reach"), F.col(cover_id).alias("id")).alias("__reach"),
     )
     mine = _line(rows, keys, F.col(START), 1, F.lit(None), F.col(id_col), rows.columns).drop("__reach")
