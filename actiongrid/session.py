@@ -23,6 +23,7 @@ def local_session(cores: int | str = "*", app: str = "actiongrid", **extra) -> S
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **{k.replace("__", "."): v for k, v in extra.items()},
     }
     for key, value in settings.items():
