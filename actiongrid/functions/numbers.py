@@ -59,9 +59,8 @@ def ratio(numerator: Column | str, denominator: Column | str, empty: float | Non
 def exact_round(value: Column | str, digits: int) -> Column:
     """Half-even on the exact binary value, which Spark's decimal-based rounding
     cannot express; an Arrow-batched helper for report edges only."""
-    import pandas as pd
-
-    def rounder(values: pd.Series) -> pd.Series:
+    def rounder(values):
         return values.map(lambda v: round(v, digits), na_action="ignore")
 
-    return F.pandas_udf(rounder, "double")(as_col(value).cast("double"))
+    scalar = F.pandas_udf(rounder, "double", F.PandasUDFType.SCALAR)
+    return scalar(as_col(value).cast("double"))

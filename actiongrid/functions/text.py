@@ -33,9 +33,7 @@ def optional_text(value: Column | str) -> Column:
     return F.nullif(strip(value), F.lit(""))
 
 
-def float_value(value: Column | str) -> Column:
-    """Number in a text cell, null when the cell is no number."""
-    text = strip(value)
+def float_of_stripped(text: Column) -> Column:
     plain = F.replace(text, F.lit("_"), F.lit(""))
     return F.when(
         text.rlike(FLOAT_TEXT),
@@ -45,13 +43,21 @@ def float_value(value: Column | str) -> Column:
     )
 
 
-def int_value(value: Column | str) -> Column:
-    text = strip(value)
+def float_value(value: Column | str) -> Column:
+    """Number in a text cell, null when the cell is no number."""
+    return float_of_stripped(strip(value))
+
+
+def int_of_stripped(text: Column) -> Column:
     return F.when(
         text.rlike(INT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("long")
     )
 
 
+def int_value(value: Column | str) -> Column:
+    return int_of_stripped(strip(value))
+
+
 def _clock(centis: Column) -> Column:
     seconds = int_div(centis, 100)
     text = F.format_string(
@@ -96,7 +102,8 @@ def seconds_text_us(us: Column | str) -> Column:
 
 def reviewer_note(notes: Column | str) -> Column:
     """Text behind the last marker, '' without one."""
-    return strip(F.regexp_extract(as_col(notes), f"(?is).*{NOTE_MARKER}(.*)$", 1))
+    # anchored: an unanchored pattern would retry at every character of a long text
+    return strip(F.regexp_extract(as_col(notes), f"(?is)^.*{NOTE_MARKER}(.*)$", 1))
 
 
 def audit_note(
@@ -127,29 +134,35 @@ def crop_text(crop: Column | str) -> Column:
     return F.concat_ws(",", *[box[name] for name in ("x1", "y1", "x2", "y2")])
 
 
+def once(value: Column, use) -> Column:
+    """`use(value)` with the value computed a single time per row, however often `use`
+    mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_crop(value: Column | str) -> Column:
     """Crop struct of 'x1,y1,x2,y2'; null when blank, incomplete or inconsistent."""
     cells = F.split(as_col(value), ",", -1)
-    numbers = F.transform(cells, int_value)
-    x1, y1, x2, y2 = (F.get(numbers, F.lit(i)) for i in range(4))
-    valid = (
-        (F.size(numbers) == 4)
-        & F.forall(numbers, lambda n: n.isNotNull() & (n >= 0))
-        & (x2 > x1)
-        & (y2 > y1)
-    )
-    box = F.struct(
-        *[c.try_cast("int").alias(n) for c, n in ((x1, "x1"), (y1, "y1"), (x2, "x2"), (y2, "y2"))]
-    )
-    return F.when(valid, box)
+    numbers = F.transform(cells, lambda c: once(strip(c), int_of_stripped))
+
+    def box(n):
+        x1, y1, x2, y2 = (F.get(n, F.lit(i)) for i in range(4))
+        valid = (
+            (F.size(n) == 4) & F.forall(n, lambda v: v.isNotNull() & (v >= 0)) & (x2 > x1) & (y2 > y1)
+        )
+        corners = zip(("x1", "y1", "x2", "y2"), (x1, y1, x2, y2))
+        return F.when(valid, F.struct(*[c.try_cast("int").alias(name) for name, c in corners]))
+
+    return once(numbers, box)
 
 
 def parse_times(value: Column | str) -> Column:
     """Comma list of seconds; null when one is no number or negative, or none is given."""
     cells = F.filter(F.transform(F.split(as_col(value), ","), strip), lambda c: c != "")
-    numbers = F.transform(cells, float_value)
-    valid = (F.size(numbers) > 0) & F.forall(numbers, lambda n: n.isNotNull() & (n >= 0))
-    return F.when(valid, numbers)
+    numbers = F.transform(cells, float_of_stripped)
+    return once(numbers, lambda n: F.when(
+        (F.size(n) > 0) & F.forall(n, lambda v: v.isNotNull() & (v >= 0)), n
+    ))
 
 
 def file_name(path: Column | str) -> Column:
