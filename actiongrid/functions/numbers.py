@@ -37,8 +37,7 @@ def us_to_ms(us: Column | str) -> Column:
 
 def seconds_to_us(seconds: Column | str) -> Column:
     """Null when the value is not finite or beyond the LONG range."""
-    scaled = F.round(as_col(seconds) * 1_000_000)
-    return F.when(F.abs(scaled) < 9.2e18, scaled).try_cast("long")
+    return F.rint(as_col(seconds) * 1_000_000).try_cast("long")
 
 
 def us_to_seconds(us: Column | str) -> Column:

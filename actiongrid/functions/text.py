@@ -45,7 +45,7 @@ def float_of_stripped(text: Column) -> Column:
 
 def float_value(value: Column | str) -> Column:
     """Number in a text cell, null when the cell is no number."""
-    return float_of_stripped(strip(value))
+    return once(strip(value), float_of_stripped)
 
 
 def int_of_stripped(text: Column) -> Column:
@@ -55,7 +55,7 @@ def int_of_stripped(text: Column) -> Column:
 
 
 def int_value(value: Column | str) -> Column:
-    return int_of_stripped(strip(value))
+    return once(strip(value), int_of_stripped)
 
 
 def _clock(centis: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..domain import ACTION_LABELS, CROP, CROP_COLUMNS, ERROR, MANIFEST_REQUIRED, SPLITS, ManifestError
 from ..functions.numbers import seconds_to_us
-from ..functions.text import file_name, float_value, int_value, optional_text, resolve_path, stripped_or_empty
+from ..functions.text import file_name, float_value, int_of_stripped, once, optional_text, resolve_path, stripped_or_empty
 from ..plans.guards import columns_present
 from ..plans.literal import domain_table
 
@@ -53,63 +53,78 @@ def check_manifest(
     require_columns(rows)
     crops = [stripped_or_empty(_cell(rows, c)) for c in CROP_COLUMNS]
     given = sum((F.when(c != "", 1).otherwise(0) for c in crops), F.lit(0))
-    numbers = [int_value(c) for c in crops]
+    numbers = [int_of_stripped(c) for c in crops]
     path = stripped_or_empty("video_path")
     carried = [c for c in ("source_file", "extra_cells", "review_status", "notes") if c in rows.columns]
-    typed = rows.select(
-        "record_index", *carried,
+    # the parsed cells form one struct that the rules receive as a bound value: a filter on
+    # `errors` is pushed below this projection, and must not parse a cell once per mention
+    cells = F.struct(
         path.alias("raw_path"),
         resolve_path(path, video_root).alias("video_path"),
-        F.col("start_seconds").alias("start_text"), F.col("end_seconds").alias("end_text"),
-        float_value("start_seconds").alias("start_seconds"),
-        float_value("end_seconds").alias("end_seconds"),
+        float_value("start_seconds").alias("start"),
+        float_value("end_seconds").alias("end"),
         stripped_or_empty("label").alias("label"),
         F.lower(stripped_or_empty("split")).alias("split"),
+        given.alias("given"), F.array(*numbers).alias("crop"),
+    )
+    typed = rows.select(
+        "record_index", *carried,
+        F.col("start_seconds").alias("start_text"), F.col("end_seconds").alias("end_text"),
         optional_text(_cell(rows, "team_side")).alias("team_side"),
         optional_text(_cell(rows, "player_number")).alias("player_number"),
-        given.alias("__given"), F.array(*numbers).alias("__crop"),
+        cells.alias("__cells"),
     )
-    if existing is None:
-        typed = typed.withColumn("__exists", F.lit(True))
-    else:
+    exists = F.lit(True)
+    if existing is not None:
         known = existing.select("video_path").distinct().withColumn("__exists", F.lit(True))
-        typed = typed.join(known, "video_path", "left").withColumn(
-            "__exists", F.coalesce("__exists", F.lit(False))
+        typed = typed.withColumn("video_path", F.col("__cells.video_path")).join(
+            known, "video_path", "left"
+        ).drop("video_path")
+        exists = F.coalesce("__exists", F.lit(False))
+
+    def rules(r):
+        start, end, box = r["start"], r["end"], r["crop"]
+        infinite = [float("inf"), float("-inf")]
+        not_finite = F.isnan(start) | F.isnan(end) | start.isin(infinite) | end.isin(infinite)
+        whole, sane, has_crop = F.forall(box, lambda n: n.isNotNull()), _sane(box), r["given"] == 4
+        return error_list(
+            error("bad_time", start.isNull() | end.isNull(), "start_seconds or end_seconds is no number"),
+            error("empty_path", r["raw_path"] == "", "video_path is empty"),
+            error("unknown_label", ~r["label"].isin(*allowed_labels),
+                  F.concat(F.lit("label outside of the domain: "), r["label"])),
+            error("bad_split", ~r["split"].isin(*SPLITS),
+                  F.concat(F.lit("split outside of the domain: "), r["split"])),
+            error("not_finite", not_finite, "times must be finite"),
+            error("bad_order", ~not_finite & ((start < 0) | (end <= start)), "0 <= start < end does not hold"),
+            error("missing_file", ~exists, F.concat(F.lit("no such file: "), r["video_path"])),
+            error("crop_incomplete", r["given"].between(1, 3), "a crop needs four values or none"),
+            error("crop_not_integer", has_crop & ~whole, "crop values must be integers"),
+            error("crop_invalid", has_crop & whole & ~sane, "crop corners are negative or reversed"),
         )
 
-    start, end, box = F.col("start_seconds"), F.col("end_seconds"), F.col("__crop")
-    x1, y1, x2, y2 = (box[i] for i in range(4))
-    infinite = [float("inf"), float("-inf")]
-    not_finite = F.isnan(start) | F.isnan(end) | start.isin(infinite) | end.isin(infinite)
-    whole = F.forall(box, lambda n: n.isNotNull())
-    has_crop = F.col("__given") == 4
-    sane = (F.array_min(box) >= 0) & (x2 > x1) & (y2 > y1)
-    errors = error_list(
-        error("bad_time", start.isNull() | end.isNull(), "start_seconds or end_seconds is no number"),
-        error("empty_path", F.col("raw_path") == "", "video_path is empty"),
-        error("unknown_label", ~F.col("label").isin(*allowed_labels),
-              F.concat(F.lit("label outside of the domain: "), F.col("label"))),
-        error("bad_split", ~F.col("split").isin(*SPLITS),
-              F.concat(F.lit("split outside of the domain: "), F.col("split"))),
-        error("not_finite", not_finite, "times must be finite"),
-        error("bad_order", ~not_finite & ((start < 0) | (end <= start)), "0 <= start < end does not hold"),
-        error("missing_file", ~F.col("__exists"), F.concat(F.lit("no such file: "), F.col("video_path"))),
-        error("crop_incomplete", F.col("__given").between(1, 3), "a crop needs four values or none"),
-        error("crop_not_integer", has_crop & ~whole, "crop values must be integers"),
-        error("crop_invalid", has_crop & whole & ~sane, "crop corners are negative or reversed"),
-    )
-    crop = F.when(has_crop & whole & sane, F.struct(
-        *[c.try_cast("int").alias(f.name) for c, f in zip((x1, y1, x2, y2), CROP.fields)]
-    ))
-    return (
-        typed.withColumn("errors", errors)
-        .withColumn("crop", crop)
-        .withColumn("start_us", seconds_to_us("start_seconds"))
-        .withColumn("end_us", seconds_to_us("end_seconds"))
-        .drop("__given", "__crop", "__exists")
+    def crop_of(r):
+        box = r["crop"]
+        corners = [F.get(box, F.lit(i)).try_cast("int").alias(f.name) for i, f in enumerate(CROP.fields)]
+        return F.when((r["given"] == 4) & F.coalesce(_sane(box), F.lit(False)), F.struct(*corners))
+
+    kept = [c for c in typed.columns if c not in ("__cells", "__exists")]
+    t = F.col("__cells")
+    return typed.select(
+        *kept,
+        t["raw_path"].alias("raw_path"), t["video_path"].alias("video_path"),
+        t["start"].alias("start_seconds"), t["end"].alias("end_seconds"),
+        t["label"].alias("label"), t["split"].alias("split"),
+        once(t, rules).alias("errors"), once(t, crop_of).alias("crop"),
+        seconds_to_us(t["start"]).alias("start_us"), seconds_to_us(t["end"]).alias("end_us"),
     )
 
 
+def _sane(box: Column) -> Column:
+    """Corners are not negative and in order; null if one is missing."""
+    x1, y1, x2, y2 = (F.get(box, F.lit(i)) for i in range(4))
+    return (x1 >= 0) & (y1 >= 0) & (x2 > x1) & (y2 > y1)
+
+
 def error_rows(checked: DataFrame) -> DataFrame:
     """Long report: record_index, rule (position in the row's list), code, message."""
     keys = [c for c in ("source_file", "record_index") if c in checked.columns]

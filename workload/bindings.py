@@ -145,6 +145,12 @@ def clock_sql(us: str) -> str:
     )
 
 
+def clock_of_seconds_sql(seconds: str) -> str:
+    """Time code of double seconds; ties and near ties follow the double product."""
+    c = f"cast(round_even(({seconds}) * 100, 0) as bigint)"
+    return f"printf('%02d:%02d:%02d.%02d', {c} // 360000, ({c} // 6000) % 60, ({c} // 100) % 60, {c} % 100)"
+
+
 # --- manifests ---------------------------------------------------------------------
 
 BAD = 97  # every 97th event gives a broken row

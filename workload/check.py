@@ -12,6 +12,9 @@ TABLES = (
 ).split()
 
 
+SQL_SECONDS: dict[str, float] = {}
+
+
 def connection(folder: str):
     import duckdb
 
@@ -42,9 +45,11 @@ def compare(spark, con, name, function, sql, folder):
     rows = [tuple(r) for r in df.collect()]
     if sql is None:
         return None, len(rows)
+    began = time.time()
     cursor = con.execute(sql)
     columns = [d[0] for d in cursor.description]
     expected = cursor.fetchall()
+    SQL_SECONDS[name] = time.time() - began
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} / {sorted(columns)}", len(rows)
     a, b = _normal(df.columns, rows), _normal(columns, expected)
@@ -74,7 +79,7 @@ def main(argv):
         bad += problem is not None
         state = "ok  " if problem is None else "BAD "
         kind = "sql" if name in oracles else "rows"
-        print(f"{state} {name:28s} {kind:4s} rows={n:<8d} {time.time() - began:6.2f}s {problem or ''}", flush=True)
+        print(f"{state} {name:28s} {kind:4s} rows={n:<8d} {time.time() - began:6.2f}s (sql {SQL_SECONDS.get(name, 0):.2f}s) {problem or ''}", flush=True)
     print(f"{len(names) - bad} of {len(names)} equal")
     return bad
 
