@@ -9,6 +9,7 @@ a replayed batch overwrites itself and reads the state of its predecessor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +60,15 @@ class StepResult:
     late: DataFrame
 
 
-def step(state: StreamState, windows: DataFrame, settings: MergeSettings, *, final: bool = False) -> StepResult:
+def step(
+    state: StreamState, windows: DataFrame, settings: MergeSettings, *, final: bool = False,
+    store: Callable[[DataFrame], DataFrame] = lambda merged: merged,
+) -> StepResult:
     """One micro-batch. A window is late when its start lies at or before the watermark of
     its video (largest start seen minus the delay) as it stood before the batch. Ready are
     the windows up to the new watermark; an event is closed by a later one or when the
-    watermark has passed its end plus the gap. `final` closes everything."""
+    watermark has passed its end plus the gap. `final` closes everything. `store` may write
+    the merged spans and read them back, so that no output computes them again."""
     known = state.videos.select("video_id", "watermark_us")
     arrived = attach(windows, known, ("video_id",)).withColumn(
         "is_late", F.coalesce(F.col("start_us") <= F.col("watermark_us"), F.lit(False))
@@ -88,7 +93,7 @@ def step(state: StreamState, windows: DataFrame, settings: MergeSettings, *, fin
     last = merged.groupBy("video_id").agg(F.max("event_no").alias("last_no"))
     ends = attach(attach(merged, last, ("video_id",)), videos.select("video_id", "mark_us"), ("video_id",))
     past = F.lit(True) if final else F.coalesce(F.col("mark_us") > F.col("end_us") + settings.gap_us, F.lit(False))
-    ends = ends.withColumn("closed", (F.col("event_no") < F.col("last_no")) | past)
+    ends = store(ends.withColumn("closed", (F.col("event_no") < F.col("last_no")) | past))
 
     kept = ends.where(F.col("closed") & (F.col("end_us") - F.col("start_us") >= settings.min_us))
     numbered = order_by_key(kept, ("video_id",), ("event_no",), max_rows=settings.max_rows).scan(number="nth").rows()
@@ -115,7 +120,7 @@ def attach_full(videos: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def _paths(base: str, batch: int) -> dict[str, str]:
-    return {name: f"{base}/{name}/batch={batch}" for name in ("videos", "waiting", "events", "late")}
+    return {name: f"{base}/{name}/batch={batch}" for name in ("videos", "waiting", "events", "late", "merged")}
 
 
 def run_batch(spark: SparkSession, base: str, batch: int, windows: DataFrame, settings: MergeSettings, *, final: bool = False) -> None:
@@ -127,8 +132,13 @@ def run_batch(spark: SparkSession, base: str, batch: int, windows: DataFrame, se
         state = StreamState(
             spark.read.schema(VIDEO).parquet(before["videos"]), spark.read.schema(SPAN).parquet(before["waiting"])
         )
-    result = step(state, windows, settings, final=final)
     here = _paths(base, batch)
+
+    def store(merged: DataFrame) -> DataFrame:
+        merged.write.mode("overwrite").parquet(here["merged"])
+        return spark.read.schema(merged.schema).parquet(here["merged"])
+
+    result = step(state, windows, settings, final=final, store=store)
     outputs = {
         "videos": result.state.videos, "waiting": result.state.waiting,
         "events": result.events, "late": result.late,
@@ -155,5 +165,10 @@ def finish(spark: SparkSession, base: str, last_batch: int, settings: MergeSetti
     run_batch(spark, base, last_batch + 1, spark.createDataFrame([], schema), settings, final=True)
 
 
+def closed_events(spark: SparkSession, base: str) -> DataFrame:
+    """Everything closed so far, in the columns of the batch merge."""
+    return spark.read.schema(EVENT).parquet(f"{base}/events").drop("batch")
+
+
 def stream_events(spark: SparkSession, base: str, *, model_version: str) -> DataFrame:
-    return event_table(spark.read.schema(EVENT).parquet(f"{base}/events"), model_version=model_version)
+    return event_table(closed_events(spark, base), model_version=model_version)

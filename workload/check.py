@@ -54,8 +54,9 @@ def compare(spark, con, name, function, sql, folder):
         return f"columns {sorted(df.columns)} / {sorted(columns)}", len(rows)
     a, b = _normal(df.columns, rows), _normal(columns, expected)
     if a != b:
-        only_a = [x for x in a if x not in set(b)][:3]
-        only_b = [x for x in b if x not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a = [x for x in a if x not in in_b][:3]
+        only_b = [x for x in b if x not in in_a][:3]
         return f"rows {len(a)} / {len(b)}; {sorted(df.columns)} spark {only_a} sql {only_b}", len(rows)
     return None, len(rows)
 

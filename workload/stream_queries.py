@@ -1 +1,57 @@
-"""To be filled."""
+"""Streaming forms and model fitting."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from actiongrid.operators.training import fit_window_classifier
+from actiongrid.session import scratch_path
+from actiongrid.streaming.merge import MergeSettings, closed_events, finish, start_merge_stream
+from actiongrid.streaming.validate import start_validation
+
+from .bindings import HOUR, WINDOWS_SQL, islands_sql, manifest_rows, manifest_sql, windows
+from .registry import query, table
+
+
+@query("stream_merge", islands_sql(WINDOWS_SQL, 300_000, 12 * HOUR, 60_000_000)
+       + " select video_id, event_no, start_us, end_us, action, conf_sum, n_windows from merged")
+def stream_merge(spark, folder):
+    """All windows arrive in three files in time order; the closed events equal batch."""
+    rows = windows(spark, folder)
+    source, base = scratch_path(spark, "arrivals"), scratch_path(spark, "merge")
+    day = F.floor(F.col("start_us") / (24 * HOUR))
+    for low, high in ((0, 10), (10, 20), (20, 10_000)):
+        rows.where((day >= low) & (day < high)).coalesce(1).write.mode("append").parquet(source)
+    settings = MergeSettings.of(confidence_threshold=0.3, merge_gap_seconds=12 * 3600.0, min_event_seconds=60.0)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    running = start_merge_stream(arriving, base, settings, checkpoint=scratch_path(spark, "checkpoint"))
+    running.awaitTermination()
+    finish(spark, base, running.lastProgress["batchId"], settings, rows.schema)
+    return closed_events(spark, base)
+
+
+@query("stream_validation", f"with {manifest_sql()} select code, count(*) as n from m group by code")
+def stream_validation(spark, folder):
+    rows = manifest_rows(spark, folder)
+    source, good, bad = (scratch_path(spark, n) for n in ("rows", "good", "bad"))
+    rows.write.parquet(source)
+    arriving = spark.readStream.schema(rows.schema).parquet(source)
+    start_validation(arriving, good, bad, checkpoint=scratch_path(spark, "checkpoint"), video_root="/media").awaitTermination()
+    broken = spark.read.parquet(bad).select(F.col("errors")[0]["code"].alias("code"))
+    fine = spark.read.parquet(good).select(F.lit(None).cast("string").alias("code"))
+    return broken.unionByName(fine).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("train_eval")
+def train_eval(spark, folder):
+    """Classify vectors with class weights and report the chosen epoch (no SQL twin)."""
+    from pyspark.ml.functions import array_to_vector
+
+    labels = tuple(f"c{i}" for i in range(10))
+    rows = table(spark, folder, "embeddings").select(
+        array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"),
+        F.concat(F.lit("c"), F.col("label")).alias("label"),
+        F.when(F.col("vec_id") % 5 == 0, "val").otherwise("train").alias("split"))
+    _, report = fit_window_classifier(rows, labels, max_iterations=(2, 5))
+    history = [(h["epoch"], s, h[s]["samples"], h[s]["accuracy"], h[s]["macro_f1"]) for h in report["history"] for s in ("train", "val")]
+    return spark.createDataFrame(history, "epoch int, split string, samples long, accuracy double, macro_f1 double")
