@@ -45,7 +45,7 @@ def float_of_stripped(text: Column) -> Column:
 
 def float_value(value: Column | str) -> Column:
     """Number in a text cell, null when the cell is no number."""
-    return once(strip(value), float_of_stripped)
+    return float_of_stripped(strip(value))
 
 
 def int_of_stripped(text: Column) -> Column:
@@ -55,7 +55,7 @@ def int_of_stripped(text: Column) -> Column:
 
 
 def int_value(value: Column | str) -> Column:
-    return once(strip(value), int_of_stripped)
+    return int_of_stripped(strip(value))
 
 
 def _clock(centis: Column) -> Column:
@@ -175,7 +175,8 @@ def file_stem(path: Column | str) -> Column:
 
 
 def resolve_path(path: Column | str, root: str = "") -> Column:
-    """Absolute path with '.', '..' and doubled slashes folded, as one fold over its parts."""
+    """Absolute path with '.', '..' and doubled slashes folded, as one fold over its parts;
+    paths that are normal already skip the fold."""
     cell = as_col(path)
     full = F.when(cell.startswith("/"), cell).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), cell))
     parts = F.filter(F.split(full, "/"), lambda p: (p != "") & (p != "."))
@@ -189,7 +190,7 @@ def resolve_path(path: Column | str, root: str = "") -> Column:
             .otherwise(seen),
         ).otherwise(F.concat(seen, F.array(p))),
     )
-    return F.concat(F.lit("/"), F.array_join(folded, "/"))
+    return F.when(full.rlike(r"//|/\.{1,2}(/|$)|/$"), F.concat(F.lit("/"), F.array_join(folded, "/"))).otherwise(full)
 
 
 def formula_guard(value: Column | str) -> Column:

@@ -13,20 +13,24 @@ from pyspark.sql import functions as F
 
 from ..domain import ACTION_LABELS, CROP, CROP_COLUMNS, ERROR, MANIFEST_REQUIRED, SPLITS, ManifestError
 from ..functions.numbers import seconds_to_us
-from ..functions.text import file_name, float_value, int_of_stripped, once, optional_text, resolve_path, stripped_or_empty
+from ..functions.text import file_name, float_value, int_of_stripped, optional_text, resolve_path, stripped_or_empty
 from ..plans.guards import columns_present
 from ..plans.literal import domain_table
 
 
+ERRORS = f"array<{ERROR.simpleString()}>"
+
+
 def error(code: str, broken: Column, message: Column | str) -> Column:
+    """A list with one error, or an empty list."""
     text = F.lit(message) if isinstance(message, str) else message
-    return F.when(
-        F.coalesce(broken, F.lit(False)), F.struct(F.lit(code).alias("code"), text.alias("message"))
-    )
+    found = F.array(F.struct(F.lit(code).alias("code"), text.alias("message"))).cast(ERRORS)
+    return F.when(F.coalesce(broken, F.lit(False)), found).otherwise(F.array().cast(ERRORS))
 
 
 def error_list(*errors: Column) -> Column:
-    return F.filter(F.array(*errors), lambda e: e.isNotNull()).cast(f"array<{ERROR.simpleString()}>")
+    """All errors in rule order. Concatenation stays inside generated code."""
+    return F.concat(*errors)
 
 
 def _cell(rows: DataFrame, name: str) -> Column:
@@ -56,66 +60,53 @@ def check_manifest(
     numbers = [int_of_stripped(c) for c in crops]
     path = stripped_or_empty("video_path")
     carried = [c for c in ("source_file", "extra_cells", "review_status", "notes") if c in rows.columns]
-    # the parsed cells form one struct that the rules receive as a bound value: a filter on
-    # `errors` is pushed below this projection, and must not parse a cell once per mention
-    cells = F.struct(
+    typed = rows.select(
+        "record_index", *carried,
         path.alias("raw_path"),
         resolve_path(path, video_root).alias("video_path"),
-        float_value("start_seconds").alias("start"),
-        float_value("end_seconds").alias("end"),
+        F.col("start_seconds").alias("start_text"), F.col("end_seconds").alias("end_text"),
+        float_value("start_seconds").alias("start_seconds"),
+        float_value("end_seconds").alias("end_seconds"),
         stripped_or_empty("label").alias("label"),
         F.lower(stripped_or_empty("split")).alias("split"),
-        given.alias("given"), F.array(*numbers).alias("crop"),
-    )
-    typed = rows.select(
-        "record_index", *carried,
-        F.col("start_seconds").alias("start_text"), F.col("end_seconds").alias("end_text"),
         optional_text(_cell(rows, "team_side")).alias("team_side"),
         optional_text(_cell(rows, "player_number")).alias("player_number"),
-        cells.alias("__cells"),
+        given.alias("__given"), F.array(*numbers).alias("__crop"),
     )
     exists = F.lit(True)
     if existing is not None:
         known = existing.select("video_path").distinct().withColumn("__exists", F.lit(True))
-        typed = typed.withColumn("video_path", F.col("__cells.video_path")).join(
-            known, "video_path", "left"
-        ).drop("video_path")
+        typed = typed.join(known, "video_path", "left")
         exists = F.coalesce("__exists", F.lit(False))
 
-    def rules(r):
-        start, end, box = r["start"], r["end"], r["crop"]
-        infinite = [float("inf"), float("-inf")]
-        not_finite = F.isnan(start) | F.isnan(end) | start.isin(infinite) | end.isin(infinite)
-        whole, sane, has_crop = F.forall(box, lambda n: n.isNotNull()), _sane(box), r["given"] == 4
-        return error_list(
-            error("bad_time", start.isNull() | end.isNull(), "start_seconds or end_seconds is no number"),
-            error("empty_path", r["raw_path"] == "", "video_path is empty"),
-            error("unknown_label", ~r["label"].isin(*allowed_labels),
-                  F.concat(F.lit("label outside of the domain: "), r["label"])),
-            error("bad_split", ~r["split"].isin(*SPLITS),
-                  F.concat(F.lit("split outside of the domain: "), r["split"])),
-            error("not_finite", not_finite, "times must be finite"),
-            error("bad_order", ~not_finite & ((start < 0) | (end <= start)), "0 <= start < end does not hold"),
-            error("missing_file", ~exists, F.concat(F.lit("no such file: "), r["video_path"])),
-            error("crop_incomplete", r["given"].between(1, 3), "a crop needs four values or none"),
-            error("crop_not_integer", has_crop & ~whole, "crop values must be integers"),
-            error("crop_invalid", has_crop & whole & ~sane, "crop corners are negative or reversed"),
-        )
-
-    def crop_of(r):
-        box = r["crop"]
-        corners = [F.get(box, F.lit(i)).try_cast("int").alias(f.name) for i, f in enumerate(CROP.fields)]
-        return F.when((r["given"] == 4) & F.coalesce(_sane(box), F.lit(False)), F.struct(*corners))
-
-    kept = [c for c in typed.columns if c not in ("__cells", "__exists")]
-    t = F.col("__cells")
+    start, end, box = F.col("start_seconds"), F.col("end_seconds"), F.col("__crop")
+    infinite = [float("inf"), float("-inf")]
+    not_finite = F.isnan(start) | F.isnan(end) | start.isin(infinite) | end.isin(infinite)
+    has_crop, sane = F.col("__given") == 4, _sane(box)
+    whole = F.lit(True)
+    for i in range(4):
+        whole = whole & F.get(box, F.lit(i)).isNotNull()
+    errors = error_list(
+        error("bad_time", start.isNull() | end.isNull(), "start_seconds or end_seconds is no number"),
+        error("empty_path", F.col("raw_path") == "", "video_path is empty"),
+        error("unknown_label", ~F.col("label").isin(*allowed_labels),
+              F.concat(F.lit("label outside of the domain: "), F.col("label"))),
+        error("bad_split", ~F.col("split").isin(*SPLITS),
+              F.concat(F.lit("split outside of the domain: "), F.col("split"))),
+        error("not_finite", not_finite, "times must be finite"),
+        error("bad_order", ~not_finite & ((start < 0) | (end <= start)), "0 <= start < end does not hold"),
+        error("missing_file", ~exists, F.concat(F.lit("no such file: "), F.col("video_path"))),
+        error("crop_incomplete", F.col("__given").between(1, 3), "a crop needs four values or none"),
+        error("crop_not_integer", has_crop & ~whole, "crop values must be integers"),
+        error("crop_invalid", has_crop & whole & ~sane, "crop corners are negative or reversed"),
+    )
+    corners = [F.get(box, F.lit(i)).try_cast("int").alias(f.name) for i, f in enumerate(CROP.fields)]
+    kept = [c for c in typed.columns if not c.startswith("__")]
     return typed.select(
         *kept,
-        t["raw_path"].alias("raw_path"), t["video_path"].alias("video_path"),
-        t["start"].alias("start_seconds"), t["end"].alias("end_seconds"),
-        t["label"].alias("label"), t["split"].alias("split"),
-        once(t, rules).alias("errors"), once(t, crop_of).alias("crop"),
-        seconds_to_us(t["start"]).alias("start_us"), seconds_to_us(t["end"]).alias("end_us"),
+        errors.alias("errors"),
+        F.when(has_crop & F.coalesce(sane, F.lit(False)), F.struct(*corners)).alias("crop"),
+        seconds_to_us(start).alias("start_us"), seconds_to_us(end).alias("end_us"),
     )
 
 
@@ -126,20 +117,28 @@ def _sane(box: Column) -> Column:
 
 
 def error_rows(checked: DataFrame) -> DataFrame:
-    """Long report: record_index, rule (position in the row's list), code, message."""
+    """Long report: record_index, rule (position in the row's list), code, message.
+
+    The outer explode is deliberate: an inner one makes Spark push `size(errors) > 0` below
+    the parsing projection and evaluate every rule twice, outside of its shared subterms."""
     keys = [c for c in ("source_file", "record_index") if c in checked.columns]
-    return checked.select(*keys, F.posexplode("errors").alias("rule", "e")).select(
-        *keys, "rule", "e.code", "e.message"
+    return (
+        checked.select(*keys, F.posexplode_outer("errors").alias("rule", "e"))
+        .where(F.col("e").isNotNull())
+        .select(*keys, "rule", "e.code", "e.message")
     )
 
 
 def first_error(checked: DataFrame) -> DataFrame:
-    """The error strict mode raises: first row, first rule. One aggregate, no sort."""
+    """The error strict mode raises: first row, first rule. One aggregate, no sort and, for
+    the reason given in `error_rows`, no filter on `errors`."""
     keys = [c for c in ("source_file", "record_index") if c in checked.columns]
+    head = F.get("errors", F.lit(0))
+    found = F.min_by(
+        F.struct("record_index", head.alias("e")), F.when(F.size("errors") > 0, F.struct(*keys))
+    )
     return (
-        checked.where(F.size("errors") > 0)
-        .agg(F.min_by(F.struct("record_index", F.col("errors")[0].alias("e")), F.struct(*keys)).alias("f"))
-        .where("f is not null")
+        checked.agg(found.alias("f")).where("f is not null")
         .select("f.record_index", "f.e.code", "f.e.message")
     )
 

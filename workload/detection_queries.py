@@ -13,7 +13,7 @@ from actiongrid.session import scratch_path
 from actiongrid.sources.sinks import read_record, write_evaluation_csv, write_record
 
 from .bindings import EVENTS_SQL, HOUR, clock_sql, events, half_even_sql, islands_sql, manifest_rows, manifest_sql
-from .registry import query, table
+from .registry import query, spread, table
 
 ORDER = ("frame_index", "l_partkey", "l_suppkey", "price")
 
@@ -24,7 +24,9 @@ def line_detections(spark, folder):
         .when(F.col("l_returnflag") == "A", "block").when(F.col("l_returnflag") == "R", "receive")
         .when(F.col("l_linestatus") == "F", "serve").otherwise("referee")
     )
-    return table(spark, folder, "lineitem").select(
+    lines = spread(table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"), f"{folder}/lineitem")
+    return lines.select(
         F.col("l_orderkey").alias("window_id"), F.col("l_linenumber").alias("frame_index"), "l_partkey", "l_suppkey",
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"),
         action.alias("action"), F.concat(F.lit(" "), F.upper(action)).alias("source_label"),
