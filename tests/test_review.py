@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from actiongrid.domain import REVIEW_QUEUE_COLUMNS, ManifestError, ReviewError
 from actiongrid.operators import review as R
+from actiongrid.sources.documents import read_results, read_spec
 from actiongrid.sources.manifest_csv import scan_manifest
 
 MANIFEST = (
@@ -107,18 +108,7 @@ def changed(i, **kw):
 @pytest.mark.parametrize("kw,expected", [
     (dict(confirmations=CONFIRMATIONS[:2]), "incomplete"),
     (dict(confirmations=CONFIRMATIONS[::-1]), "order"),
-    (dict(confirmations=CONFIRMATIONS[:2] + CONFIRMATIONS[:1]), "index_repeated"),
     (dict(confirmations=changed(0, source_start_seconds=10.5000005)), "snapshot"),
-    (dict(confirmations=changed(1, source_notes="x")), "snapshot"),
-    (dict(confirmations=changed(1, source_crop="1,2,3,4")), "snapshot"),
-    (dict(confirmations=changed(1, operation="keep")), "operation_differs"),
-    (dict(confirmations=changed(1, operation="drop")), "operation"),
-    (dict(confirmations=changed(1, confirmed_action="spike")), "action"),
-    (dict(confirmations=changed(1, confirmed_end_seconds=1)), "time_order"),
-    (dict(confirmations=changed(1, confirmed_end_seconds=True)), "end_time"),
-    (dict(confirmations=changed(1, confirmation_note=None)), "note_type"),
-    (dict(confirmations=changed(1, extra=1)), "unknown_fields"),
-    (dict(confirmations=changed(1, record_index=9)), "not_requested"),
     (dict(results={"time_precision_seconds": 0}), "time_precision_seconds"),
     (dict(results={"time_precision_seconds": True}), "time_precision_seconds"),
     (dict(results={"spec": "other.json"}), "binding"),
@@ -134,21 +124,59 @@ def test_apply_refuses(spark, files, kw, expected):
     assert caught.value.code == expected
 
 
-@pytest.mark.parametrize("bad,expected", [
-    (7, "not_object"), (request(1, foo=1), "unknown_fields"), (request(True), "index_type"),
-    (request(1.0), "index_type"), (request(4), "index_range"), (request(0), "index_range"),
-    (request(2), "index_repeated"), ({"record_index": 1, "reason": "  "}, "reason"),
-    (request(1, suggested_operation="x"), "operation"), (request(1, suggested_operation="keep", suggested_action="x"), "action"),
-    (request(1, suggested_action="set"), "operation_missing"), (request(1, suggested_start_seconds=1), "operation_missing"),
-    (request(1, suggested_operation="keep", suggested_start_seconds=None), "start_time"),
-    (request(1, suggested_operation="keep", suggested_end_seconds=-1), "end_time"),
-    (request(1, suggested_operation="keep", suggested_start_seconds=2, suggested_end_seconds=2), "time_order"),
-])
-def test_request_rules(spark, files, bad, expected):
-    files.write(requests=[request(2), bad])
-    with pytest.raises(ReviewError) as caught:
-        R.prepare_review_queue(spark, files.manifest, files.spec, files.output)
-    assert (caught.value.code, caught.value.position) == (expected, 2)
+def test_confirmation_rules(spark, files):
+    cases = [
+        (CONFIRMATIONS[0], None), (CONFIRMATIONS[0], "index_repeated"),
+        (changed(0, source_start_seconds=10.5000005)[0], "index_repeated"),
+        (changed(1, source_notes="x")[1], "snapshot"), (changed(1, source_crop="1,2,3,4")[1], "index_repeated"),
+        (5, "not_object"), (changed(1, extra=1)[1], "unknown_fields"), (changed(1, record_index=True)[1], "index_type"),
+        (changed(1, record_index=9)[1], "not_requested"),
+    ]
+    single = [
+        (dict(operation="keep"), "operation_differs"), (dict(operation="drop"), "operation"),
+        (dict(confirmed_action="spike"), "action"), (dict(confirmed_end_seconds=1), "time_order"),
+        (dict(confirmed_end_seconds=True), "end_time"), (dict(confirmed_start_seconds=-1), "start_time"),
+        (dict(confirmation_note=None), "note_type"), (dict(source_end_seconds="20"), "source_time"),
+        (dict(source_crop="1,2,3,4"), "snapshot"), (dict(source_video_path=None), "snapshot"), (dict(), None),
+    ]
+    rows = scan_manifest(spark, files.manifest)
+    _, requests = read_spec(spark, files.spec)
+    files.write(confirmations=[c for c, _ in cases])
+    _, given = read_results(spark, files.results)
+    got = R.check_confirmations(given, requests, rows).orderBy("position").collect()
+    assert [r.errors[0].code if r.errors else None for r in got] == [code for _, code in cases]
+    # one record per case: the manifest repeats its second row
+    lines = MANIFEST.splitlines()
+    manifest = "\n".join([lines[0]] + [lines[2]] * len(single)) + "\n"
+    files.write(
+        manifest=manifest, requests=[request(i + 1, suggested_operation="add_window") for i in range(len(single))],
+        confirmations=[changed(1, record_index=i + 1, **kw)[1] for i, (kw, _) in enumerate(single)],
+    )
+    _, requests = read_spec(spark, files.spec)
+    _, given = read_results(spark, files.results)
+    got = R.check_confirmations(given, requests, scan_manifest(spark, files.manifest)).orderBy("position").collect()
+    assert [r.errors[0].code if r.errors else None for r in got] == [code for _, code in single]
+
+
+def test_request_rules(spark, files):
+    cases = [
+        (request(2), None), (7, "not_object"), (request(1, foo=1), "unknown_fields"), (request(True), "index_type"),
+        (request(1.0), "index_type"), (request(40), "index_range"), (request(0), "index_range"),
+        (request(2), "index_repeated"), ({"record_index": 3, "reason": "  "}, "reason"),
+        (request(4, suggested_operation="x"), "operation"), (request(5, suggested_operation="keep", suggested_action="x"), "action"),
+        (request(6, suggested_action="set"), "operation_missing"), (request(7, suggested_start_seconds=1), "operation_missing"),
+        (request(8, suggested_operation="keep", suggested_start_seconds=None), "start_time"),
+        (request(9, suggested_operation="keep", suggested_end_seconds=-1), "end_time"),
+        (request(10, suggested_operation="keep", suggested_start_seconds=2, suggested_end_seconds=2), "time_order"),
+        (request(11, suggested_operation=None, suggested_action=None), None),
+    ]
+    files.write(requests=[c for c, _ in cases])
+    _, requests = read_spec(spark, files.spec)
+    checked = R.check_requests(requests, 39)
+    got = checked.orderBy("position").collect()
+    assert [r.errors[0].code if r.errors else None for r in got] == [code for _, code in cases]
+    first = R.first_failure(checked).first()
+    assert (first.position, first.code) == (2, "not_object")
 
 
 def test_extra_cells_and_leak(spark, files):

@@ -112,7 +112,7 @@ def sample_frames(spark, folder):
 with s as (select vec_id, embedding[1:7]::double[] as x from embeddings),
 t as (select *, list_max(x) as top from s)
 select vec_id, ['background','serve','receive','set','attack','block','dig'][list_position(x, top)] as action,
-       cast(round(1000.0 / list_sum(list_transform(x, lambda v: exp(v - top)))) as bigint) as conf_milli
+       cast(round(cast(round(1000000.0 / list_sum(list_transform(x, lambda v: exp(v - top)))) as bigint) / 1000.0) as bigint) as conf_milli
 from t""")
 def scores_argmax(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("scores"))
