@@ -72,7 +72,7 @@ def test_queue(spark, files):
     doc = R.prepare_review_queue(spark, files.manifest, files.spec, files.output)
     assert (doc["records"], doc["target_team"]) == (3, "near")
     queue = spark.read.option("header", True).option("escape", '"').csv(files.output)
-    assert tuple(c.lstrip("﻿") for c in queue.columns) == REVIEW_QUEUE_COLUMNS
+    assert tuple(queue.columns) == REVIEW_QUEUE_COLUMNS
     rows = queue.toDF(*REVIEW_QUEUE_COLUMNS).collect()
     assert [r.record_index for r in rows] == ["1", "2", "3"]
     one = rows[0].asDict()
