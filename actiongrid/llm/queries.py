@@ -1,6 +1,6 @@
 """All queries of the package and their SQL twins."""
 
-from . import bpe, exact_dedup, packing, simhash  # noqa: F401
+from . import bpe, exact_dedup, language, packing, simhash, substring_dedup  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

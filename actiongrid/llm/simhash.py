@@ -19,7 +19,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, query, stored, table, texts
@@ -257,6 +257,18 @@ def _large(codes: DataFrame, large: DataFrame, radius: int, node_rows: int) -> D
     return out.repartition("trie", "task")
 
 
+def _classes(points: DataFrame, radius: int, blocks: int, node_rows: int) -> DataFrame:
+    """(fp, root, least) of points(fp, least): root names the component, least is its smallest id."""
+    near = stored(links(points.select("fp"), radius, blocks, node_rows), "links")
+    alone = points.select("fp", F.col("fp").alias("root"), "least")
+    if near.isEmpty():
+        return alone
+    linked = stored(components(near), "components").select(F.col("node").alias("fp"), "root")
+    linked = points.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    shared = linked.groupBy("root").agg(F.min("least").alias("least"))
+    return stored(linked.select("fp", "root").join(shared, "root"), "classes")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4,
     blocks: int = 6, node_rows: int = 100_000,
@@ -264,25 +276,40 @@ def near_duplicates(
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
     Rows whose fingerprints are linked by steps of at most `radius` differing bits share a
-    component, named by its smallest id (null ids do not name one unless there is no other).
-    Null and empty texts have fingerprint 0. Repeated rows each give a row; other columns are
-    left out; an empty table gives no rows.
+    component, named by its smallest id (null if all its ids are null). Null and empty texts
+    have fingerprint 0. Repeated rows each give a row; other columns are left out; an empty
+    table gives no rows.
     """
     prints = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    near = stored(links(points.select("fp"), radius, blocks, node_rows), "links")
-    classes = points.select("fp", "least", F.col("fp").alias("root"))
-    if not near.isEmpty():
-        linked = stored(components(near), "components")
-        roots = linked.join(points, linked["node"] == points["fp"]).groupBy("root").agg(F.min("least").alias("least"))
-        linked = linked.join(roots, "root").select(F.col("node").alias("fp"), F.col("least").alias("shared"))
-        classes = points.join(linked, "fp", "left").select("fp", F.coalesce("shared", "least").alias("least"))
-    classes = stored(classes.select("fp", "least"), "classes")
+    classes = _classes(points, radius, blocks, node_rows).select("fp", "least")
     return prints.join(classes, "fp").select(
         F.col("doc_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id")
     )
 
 
+def representatives(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4,
+    blocks: int = 6, node_rows: int = 100_000,
+) -> DataFrame:
+    """The row of each component with the smallest id, with all its columns.
+
+    Null ids rank last; among equal ids the text with the smallest hash stays.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    rows = docs.toDF(*names).withColumn("k1", F.xxhash64(key)).withColumn("k2", F.xxhash64(text, F.lit(3)))
+    identity = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", F.xxhash64("doc_id").alias("k1"), "k2")
+    whole = rows.select(F.struct(key, "k2").alias("doc_id"), F.col(text).alias("text"))
+    prints = stored(fingerprints(whole, width=width).select(F.col(f"doc_id.{key}").alias("doc_id"), "doc_id.k2", "fp"), "fingerprints")
+    points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    classes = _classes(points, radius, blocks, node_rows).select("fp", "root")
+    best = prints.join(classes, "fp").groupBy("root").agg(F.min(identity).alias("best")).select("best.k1", "best.k2")
+    first = Window.partitionBy("k1", "k2").orderBy(key)
+    kept = rows.join(best, ["k1", "k2"], "left_semi").withColumn("rank", F.row_number().over(first)).where("rank = 1")
+    return kept.select(*names).toDF(*docs.columns)
+
+
 @query("op10_simhash_near_dedup")
 def op10_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
