@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from actiongrid.session import scratch_path
@@ -44,6 +44,20 @@ def held_out(id_col: str, modulus: int, remainder: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus == remainder
 
 
+def bounded_sample(rows: DataFrame, by: str, per_group: int, key: str, seed: int = 11) -> DataFrame:
+    """At most `per_group` rows of each value of `by`, the same ones every time.
+
+    Rows are drawn by a hash of `key`; a share a little above what is wanted is kept first, so
+    that the ranking which makes the bound exact sees no more than that.
+    """
+    sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    draw = F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 1).cast("double") / float(1 << 63)
+    near = rows.join(sizes, by).withColumn("_draw", draw).where(F.col("_draw") * F.col("_n") < 1.2 * per_group + 50)
+    rest = [F.xxhash64(c) for c in rows.columns]
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy("_draw", key, *rest)))
+    return ranked.where(F.col("_rank") <= per_group).select(*rows.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the undirected `edges`; root is the smallest node reachable.
 

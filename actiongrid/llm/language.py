@@ -16,10 +16,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, query, table
+from .common import bounded_sample, held_out, query, table
 
 UNKNOWN = "und"
 
@@ -33,16 +33,6 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(b" ".join(text.lower().encode("utf-8", "surrogatepass").split()), np.uint8)
 
 
-def _sample(rows: DataFrame, per_language: int) -> DataFrame:
-    """At most `per_language` rows (lang, text) of each language, the same ones every time."""
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(11)), 1).cast("double") / float(1 << 63)
-    near = rows.join(F.broadcast(sizes), "lang").withColumn("draw", draw)  # one row a language
-    near = near.where(F.col("draw") < F.lit(1.2 * per_language + 50) / F.col("n"))
-    first = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
-    return near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_language).select("lang", "text")
-
-
 def _counts(order: int):
     """Followers of every context of 0 to `order` bytes, counted per batch of texts."""
 
@@ -147,7 +137,7 @@ def fit(labelled: DataFrame, per_language: int = 1000, order: int = 3, id_col: s
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and text is not null")
     counts = (
-        _sample(rows, per_language).repartition(F.xxhash64("text")).mapInPandas(_counts(order), "lang string, depth int, code long, n long")
+        bounded_sample(rows, "lang", per_language, "doc_id").select("lang", "text").repartition(F.xxhash64("text")).mapInPandas(_counts(order), "lang string, depth int, code long, n long")
         .groupBy("lang", "depth", "code").agg(F.sum("n").alias("n")).toPandas()
     )
     counts = counts[counts["n"] > 0]
