@@ -1,6 +1,8 @@
 """All queries of the package and their SQL twins."""
 
-from . import bpe, exact_dedup, language, packing, simhash, substring_dedup  # noqa: F401
+from . import (  # noqa: F401
+    ann, bpe, exact_dedup, language, packing, simhash, substring_dedup, toxicity, url_filter,
+)
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
