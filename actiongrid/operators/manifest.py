@@ -16,6 +16,7 @@ from ..functions.numbers import seconds_to_us
 from ..functions.text import file_name, float_value, int_of_stripped, optional_text, resolve_path, stripped_or_empty
 from ..plans.guards import columns_present
 from ..plans.literal import domain_table
+from ..session import scratch_path
 
 
 ERRORS = f"array<{ERROR.simpleString()}>"
@@ -170,18 +171,20 @@ def leakage_text(leaks: DataFrame) -> DataFrame:
 
 
 def require_valid(checked: DataFrame, *, shown: int = 20) -> DataFrame:
-    """Raise for the first broken rule, an empty table or split leakage."""
+    """Raise for the first broken rule, an empty table or split leakage. The whole detail of a
+    leakage is a table that the error names; `shown` of its lines are quoted."""
     bad = first_error(checked).first()
     if bad is not None:
         raise ManifestError(bad.code, bad.message, bad.record_index + 1)
     if checked.isEmpty():
         raise ManifestError("empty", "no data rows")
     leaks = leakage_text(split_leakage(checked))
-    lines = leaks.orderBy("video_path").limit(shown).collect()
-    if lines:
-        more = leaks.count() - len(lines)
-        text = "; ".join(r.detail for r in lines) + (f"; and {more} more" if more else "")
-        raise ManifestError("split_leakage", text)
+    if not leaks.isEmpty():
+        path = scratch_path(checked.sparkSession, "split-leakage")
+        leaks.orderBy("video_path").select("detail").write.text(path)
+        lines = checked.sparkSession.read.text(path)
+        head = "; ".join(sorted(r.value for r in lines.orderBy("value").limit(shown).collect()))
+        raise ManifestError("split_leakage", f"{head} (all {lines.count()} lines: {path})")
     return checked
 
 
@@ -263,12 +266,22 @@ def load_manifest(spark, path: str, **options) -> DataFrame:
 
 
 def publish_manifest(rows: DataFrame, columns: Sequence[str], path: str, *, inputs=(), **options) -> dict:
-    """Check the rows that would be written, write them to a path that must not exist,
-    read them back and check again. Readers see a version once it is complete."""
+    """Check the rows that would be written, write them beside a path that must not exist, read
+    them back, check again and rename. A version that fails a check leaves nothing behind.
+
+    Rows are written in the order of record_index, if they have one, and get it again when the
+    version is scanned."""
+    from ..plans.guards import output_apart_from_inputs
     from ..sources.manifest_csv import scan_manifest
-    from ..sources.sinks import write_csv
+    from ..sources.sinks import publish, write_csv
 
+    output_apart_from_inputs(path, inputs)
     require_valid(check_manifest(rows, **options))
-    write_csv(rows, path, columns, inputs=inputs)
-    stored = check_manifest(scan_manifest(rows.sparkSession, path), **options)
-    return summary_document(manifest_summary(require_valid(stored)))
+    if "record_index" in rows.columns:
+        rows = rows.orderBy("record_index")
+
+    def check(staged: str) -> dict:
+        stored = check_manifest(scan_manifest(rows.sparkSession, staged), **options)
+        return summary_document(manifest_summary(require_valid(stored)))
+
+    return publish(rows.sparkSession, path, lambda staged: write_csv(rows, staged, columns, inputs=inputs), check)

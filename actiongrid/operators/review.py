@@ -260,14 +260,14 @@ def prepare_review_queue(spark, manifest: str, spec: str, output: str, **options
     """File to file: check manifest and spec, write the queue, return the counters."""
     from ..plans.guards import output_apart_from_inputs
     from ..sources.documents import read_spec
-    from ..sources.manifest_csv import scan_manifest
+    from ..sources.manifest_csv import require_unique_index, scan_manifest
     from ..sources.sinks import write_review_queue
     from .manifest import check_manifest, require_valid
 
     output_apart_from_inputs(output, (manifest, spec))
     head, requests = read_spec(spark, spec)
     require_same_name("manifest", head["manifest"], manifest)
-    raw = scan_manifest(spark, manifest)
+    raw = require_unique_index(scan_manifest(spark, manifest))
     checked = require_valid(check_manifest(raw, **options))
     valid = require_no_errors(check_requests(requests, checked.count()))
     write_review_queue(review_queue(checked, valid), output, inputs=(manifest, spec))
@@ -284,7 +284,8 @@ def apply_review(spark, manifest: str, spec: str, results: str, output: str, **o
     """File to file: check everything, then publish the next manifest version."""
     from ..plans.guards import output_apart_from_inputs
     from ..sources.documents import read_results, read_spec
-    from ..sources.manifest_csv import header_names, require_no_extra_cells, scan_manifest
+    from ..plans.ordered import numbered
+    from ..sources.manifest_csv import header_names, require_no_extra_cells, require_unique_index, scan_manifest
     from .manifest import check_manifest, publish_manifest, require_valid
 
     inputs = (manifest, spec, results)
@@ -294,7 +295,7 @@ def apply_review(spark, manifest: str, spec: str, results: str, output: str, **o
     require_same_name("manifest", head["manifest"], manifest)
     require_same_name("manifest", found["manifest"], manifest)
     require_same_name("spec", found["spec"], spec)
-    raw = scan_manifest(spark, manifest)
+    raw = require_unique_index(scan_manifest(spark, manifest))
     checked = require_valid(check_manifest(raw, **options))
     require_no_extra_cells(raw)
     valid = require_no_errors(check_requests(requests, checked.count()))
@@ -306,9 +307,7 @@ def apply_review(spark, manifest: str, spec: str, results: str, output: str, **o
     columns = names + [c for c in ("review_status", "notes") if c not in names]
     result = apply_confirmations(raw, confirmed)
     # the file order of the result becomes its record index
-    ordered = result.orderBy("origin", "ordinal").drop("record_index").withColumn(
-        "record_index", F.monotonically_increasing_id() + 1
-    )
+    ordered = numbered(result.drop("record_index"), ("origin", "ordinal"), "record_index")
     summary = publish_manifest(ordered, columns, output, inputs=inputs, **options)
     counters = apply_counters(raw, confirmed).first().asDict()
     return {"output": output, **counters, **summary}

@@ -22,6 +22,8 @@ from ..session import durable
 
 CHUNK = "__chunk"
 MAX_ROWS = 4_000_000
+#: So many hot keys are sent to every task; more are joined by a shuffle.
+BROADCAST_KEYS = 100_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -87,15 +89,24 @@ class OrderedRows:
 
 
 def order_by_key(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, max_rows: int = MAX_ROWS
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, max_rows: int = MAX_ROWS,
+    key_counts: DataFrame | None = None,
 ) -> OrderedRows:
-    """Split `df` into ordinary keys and chunked hot keys. Runs one count."""
+    """Split `df` into ordinary keys and chunked hot keys.
+
+    `key_counts` (the keys and a count `n`, at least what `df` holds of each) spares the count
+    over `df`; a dataset keeps it beside its data. Without it one count is run here.
+    """
     keys, order = tuple(keys), tuple(order)
-    heavy = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max_rows)
+    if key_counts is None:
+        key_counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    heavy = key_counts.select(*keys, F.col("n").alias("__n")).where(F.col("__n") > max_rows)
     n_keys, n_rows = heavy.agg(F.count(F.lit(1)), F.sum("__n")).first()
     if not n_keys:
         return OrderedRows(keys, order, df)
     heavy = durable(heavy.select(*keys))
+    if n_keys <= BROADCAST_KEYS:
+        heavy = F.broadcast(heavy)
     condition = same_keys(df, heavy, [(k, k) for k in keys])
     cold = df.join(heavy, condition, "left_anti")
     chunks = max(2, -(-int(n_rows) * 4 // max_rows))
@@ -107,6 +118,21 @@ def order_by_key(
     return OrderedRows(keys, order, cold, hot)
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """`df` with the place of each row (from 1, without gaps) in the order of `order`.
+
+    Rows are cut into ranges, stored with their range, and counted per range; no task sees more
+    than its range. Rows equal in `order` get places next to each other.
+    """
+    parts = durable(df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()))
+    counts = parts.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    before = F.sum("__n").over(Window.orderBy(CHUNK)) - F.col("__n")
+    starts = counts.select(F.col(CHUNK).alias("__of"), before.alias("__before"))
+    local = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
+    ranked = parts.withColumn("__local", local).join(F.broadcast(starts), F.col(CHUNK) == F.col("__of"))
+    return ranked.withColumn(name, F.col("__local") + F.col("__before")).drop("__local", "__before", "__of", CHUNK)
+
+
 def _window(keys, order, before=False):
     spec = Window.partitionBy(*keys).orderBy(*order)
     return spec.rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,8 @@ def local_session(cores: int | str = "*", app: str = "actiongrid", **extra) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's `spark.checkpoint.dir`.
 
-    Only where a session names none (a laptop) is a temporary folder made.
+    Only a session on one machine that names none gets a temporary folder; a cluster without
+    the setting is refused, because its executors would each write to a disk of their own.
     """
     current = spark.sparkContext.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,6 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
     if current is None:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all of {master} shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

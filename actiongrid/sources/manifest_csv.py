@@ -1,9 +1,10 @@
 """Lossless scan of annotation manifests.
 
 All cells stay text and are bound by header name. Quoted line breaks make a CSV
-file unsplittable, so one task reads one file; many files are read in parallel and
-`record_index` counts within its file. Tables that already carry `record_index`
-(Parquet) skip this scan.
+file unsplittable, so one task reads one file; many files are read in parallel.
+`record_index` counts over the whole manifest, file after file in the order of their
+paths, which is the order a writer gives its parts. Tables that already carry
+`record_index` (Parquet) skip this scan.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ def header_names(spark: SparkSession, path: str) -> list[str]:
 
 
 def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Text columns of the header plus source_file, record_index (from 1) and extra_cells."""
+    """Text columns of the header plus source_file, record_index (from 1, without gaps over
+    all files) and extra_cells."""
     names = header_names(spark, path)
     if not names:
         raise ManifestError("missing_columns", f"{path} has no header")
@@ -45,12 +47,28 @@ def scan_manifest(spark: SparkSession, path: str) -> DataFrame:
     cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
     # naming a data column keeps Spark from refusing plans that use the broken line only
     in_file = Window.partitionBy("source_file").orderBy("__position", f"`{names[0]}`")
-    return raw.select(
+    rows = raw.select(
         *[F.col(f"`{n}`") for n in names],
         "source_file",
         F.row_number().over(in_file).cast("long").alias("record_index"),
         F.coalesce(cells > len(names), F.lit(False)).alias("extra_cells"),
     )
+    if len(raw.inputFiles()) < 2:
+        return rows
+    counts = raw.groupBy("source_file").agg(F.count(F.col(f"`{names[0]}`").isNull()).alias("__n"))  # a row per file
+    before = F.sum("__n").over(Window.orderBy("source_file")) - F.col("__n")
+    offsets = counts.select(F.col("source_file").alias("__file"), before.alias("__before"))
+    return rows.join(offsets, rows["source_file"] == offsets["__file"]).withColumn(
+        "record_index", F.col("record_index") + F.col("__before")
+    ).drop("__file", "__before")
+
+
+def require_unique_index(rows: DataFrame) -> DataFrame:
+    """Joins on record_index need one row per index."""
+    twice = rows.groupBy("record_index").count().where("count > 1").agg(F.min("record_index")).first()[0]
+    if twice is not None:
+        raise ReviewError("index_not_unique", "record_index names several rows", twice)
+    return rows
 
 
 def require_no_extra_cells(rows: DataFrame) -> DataFrame:

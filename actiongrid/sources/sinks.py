@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,27 @@ def write_csv(
     return path
 
 
+def publish(spark: SparkSession, path: str, write: Callable[[str], object], check: Callable[[str], object]):
+    """`write` to a staging folder beside `path`, `check` what lies there, then rename it.
+
+    `path` must not exist. Whatever fails, nothing new is left; returns what `check` returned.
+    """
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        raise FileExistsError(path)
+    staged = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    try:
+        write(staged)
+        found = check(staged)
+        if files.exists(target) or not files.rename(place, target):
+            raise FileExistsError(path)
+        return found
+    finally:
+        files.delete(place, True)
+
+
 def write_events_csv(events: DataFrame, path: str, **kw) -> str:
     return write_csv(events, path, EVENT_COLUMNS, **kw)
 

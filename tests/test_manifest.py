@@ -1,4 +1,5 @@
 import os
+import re
 
 import pytest
 
@@ -124,3 +125,29 @@ def test_publish(spark, tmp_path):
     assert not os.path.exists(tmp_path / "v3")
     with pytest.raises(ValueError):
         M.publish_manifest(rows, columns, out, inputs=[out])
+
+
+def test_failed_read_back_leaves_nothing(spark, tmp_path, monkeypatch):
+    rows = synthetic_manifest(spark, 2)
+    columns = [c for c in rows.columns if c != "record_index"]
+    true, calls = M.require_valid, []
+
+    def fails_on_the_second(checked, **kw):
+        calls.append(1)
+        if len(calls) > 1:
+            raise ManifestError("broken", "read back differs")
+        return true(checked, **kw)
+
+    monkeypatch.setattr(M, "require_valid", fails_on_the_second)
+    with pytest.raises(ManifestError):
+        M.publish_manifest(rows, columns, str(tmp_path / "v"))
+    assert os.listdir(tmp_path) == []
+
+
+def test_whole_leakage_is_named(spark):
+    rows = spark.createDataFrame([(2 * i + j, f"v{i:03}.mp4", "0", "1", "set", s) for i in range(30) for j, s in enumerate(("train", "val"))],
+                                 "record_index long, video_path string, start_seconds string, end_seconds string, label string, split string")
+    with pytest.raises(ManifestError) as caught:
+        M.require_valid(M.check_manifest(rows), shown=2)
+    path = re.search(r"all 30 lines: (.*)\)", str(caught.value))[1]
+    assert spark.read.text(path).count() == 30

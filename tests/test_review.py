@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from actiongrid.domain import REVIEW_QUEUE_COLUMNS, ManifestError, ReviewError
 from actiongrid.operators import review as R
 from actiongrid.sources.documents import read_results, read_spec
-from actiongrid.sources.manifest_csv import scan_manifest
+from actiongrid.sources.manifest_csv import require_unique_index, scan_manifest
 
 MANIFEST = (
     "video_path,start_seconds,end_seconds,label,split,team_side,player_number,crop_x1,crop_y1,crop_x2,crop_y2,notes\n"
@@ -186,3 +187,34 @@ def test_extra_cells_and_leak(spark, files):
     files.write(manifest=MANIFEST.replace("dig,train", "dig,val"))
     with pytest.raises(ManifestError):
         apply(spark, files)
+
+
+def test_parts_published_and_reviewed_again(spark, files, tmp_path):
+    """A manifest of several files keeps one numbering through review, publication and review."""
+    head, *lines = MANIFEST.splitlines(keepends=True)
+    os.remove(files.manifest)
+    os.mkdir(files.manifest)
+    for n, part in enumerate((lines[:1], lines[1:2], lines[2:])):
+        with open(f"{files.manifest}/part-0000{n}.csv", "w") as f:
+            f.writelines([head, *part])
+    queue = R.prepare_review_queue(spark, files.manifest, files.spec, str(tmp_path / "q"))
+    assert queue["records"] == 3 and spark.read.option("header", True).csv(str(tmp_path / "q")).count() == 3
+    apply(spark, files)
+    first = scan_manifest(spark, files.output)
+    assert sorted((r.record_index, r.label) for r in first.collect()) == [(1, "dig"), (2, "dig"), (3, "serve"), (4, "set")]
+    fourth = first.where("record_index = 4").first()
+    again = [confirmation(4, "relabel", "attack", 22.1, 23, ("a.mp4", 22.1, 23, "set", "train", "far", "", "", fourth.notes))]
+    with open(files.spec, "w") as f:
+        json.dump({"format_version": 1, "manifest": "out", "target_team": "near", "requests": [request(4, suggested_operation="relabel")]}, f)
+    with open(files.results, "w") as f:
+        json.dump({"format_version": 1, "manifest": "out", "spec": "s.json", "time_precision_seconds": 0.1, "confirmations": again}, f)
+    R.apply_review(spark, files.output, files.spec, files.results, str(tmp_path / "next"))
+    labels = sorted((r.record_index, r.label) for r in scan_manifest(spark, str(tmp_path / "next")).collect())
+    assert labels == [(1, "dig"), (2, "dig"), (3, "serve"), (4, "attack")]
+
+
+def test_repeated_index_is_refused(spark):
+    rows = spark.createDataFrame([(1,), (2,), (2,)], "record_index long")
+    with pytest.raises(ReviewError) as caught:
+        require_unique_index(rows)
+    assert caught.value.code == "index_not_unique"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from actiongrid.functions.numbers import int_div
 from actiongrid.plans.literal import mapped
 
-from .registry import spread, table
+from .registry import table
 
 # Event types of the tables read as actions.
 ACTION_OF = {"view": "background", "click": "serve", "purchase": "attack", "signup": "set", "error": "dig"}
@@ -30,7 +30,7 @@ def micros(column: str, epoch: str = "2024-01-01") -> Column:
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The event table with its integer `k`, start and end."""
     start = micros("ts")
-    rows = spread(table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props", "ts"), f"{folder}/events")
+    rows = table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props", "ts")
     return rows.select(
         "event_id", "user_id", "event_type", "value",
         F.regexp_extract("props", r'"k": (\d+)', 1).cast("long").alias("k"),
@@ -70,8 +70,8 @@ def lineitem_windows(spark: SparkSession, folder: str) -> DataFrame:
     start = micros("l_shipdate", "1990-01-01") + (
         F.pmod(F.col("l_orderkey") * 97 + F.col("l_linenumber") * 13, F.lit(86_400)) * 1_000_000
     )
-    lines = spread(table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"), f"{folder}/lineitem")
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     return lines.select(
         F.concat(F.lit("s"), F.col("l_suppkey")).alias("video_id"),
         ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("ordinal"),

@@ -13,7 +13,7 @@ from actiongrid.session import scratch_path
 from actiongrid.sources.sinks import read_record, write_evaluation_csv, write_record
 
 from .bindings import EVENTS_SQL, HOUR, clock_sql, events, half_even_sql, islands_sql, manifest_rows, manifest_sql
-from .registry import query, spread, table
+from .registry import query, table
 
 ORDER = ("frame_index", "l_partkey", "l_suppkey", "price")
 
@@ -24,8 +24,8 @@ def line_detections(spark, folder):
         .when(F.col("l_returnflag") == "A", "block").when(F.col("l_returnflag") == "R", "receive")
         .when(F.col("l_linestatus") == "F", "serve").otherwise("referee")
     )
-    lines = spread(table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"), f"{folder}/lineitem")
+    lines = table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus")
     return lines.select(
         F.col("l_orderkey").alias("window_id"), F.col("l_linenumber").alias("frame_index"), "l_partkey", "l_suppkey",
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("price"),
@@ -132,12 +132,12 @@ def label_normalize(spark, folder):
 def models(spark, folder):
     """Each user names a model whose labels are the ones the user's events mention."""
     label = F.element_at(F.array(*[F.lit(x) for x in ("ball", "Block", "receive ", "set", "spike", "serve")]), (F.col("k") % 6 + 1).cast("int"))
-    named = events(spark, folder).where("k < 20").select("user_id", (F.col("k") % 6).cast("string").alias("id"), label.alias("label")).distinct()
+    named = events(spark, folder).select("user_id", (F.col("k") % 6).cast("string").alias("id"), label.alias("label")).distinct()
     return named.groupBy(F.col("user_id").alias("model_id")).agg(
         F.map_from_entries(F.collect_list(F.struct("id", "label"))).alias("names"))
 
 
-MODEL_SQL = f"""with {EVENTS_SQL}, d as (select distinct user_id as model_id, k % 6 as c from ev where k < 20),
+MODEL_SQL = f"""with {EVENTS_SQL}, d as (select distinct user_id as model_id, k % 6 as c from ev),
 l as (select *, ['ball','Block','receive ','set','spike','serve'][c + 1] as label from d)"""
 
 

@@ -31,7 +31,7 @@ def merge_events(spark, folder):
 @query("merge_events_hot_videos", MERGED + TABLE_SQL)
 def merge_events_hot_videos(spark, folder):
     """The same events with the fuller videos treated as too big for one task."""
-    return E.event_table(E.merge_windows(windows(spark, folder), max_rows=70, **MERGE), model_version="m1")
+    return E.event_table(E.merge_windows(windows(spark, folder), max_rows=15, **MERGE), model_version="m1")
 
 
 @query("merge_events_lineitem", LINE_MERGED + " select video_id, event_no, start_us, end_us, action, conf_sum, n_windows from merged")

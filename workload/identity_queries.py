@@ -74,7 +74,7 @@ def number_conflicts(spark, folder):
 
 @query("number_conflicts_hot_videos", CONFLICTS)
 def number_conflicts_hot_videos(spark, folder):
-    return I.number_conflicts(_tracks(spark, folder), max_rows=70).select("track_id", "witness")
+    return I.number_conflicts(_tracks(spark, folder), max_rows=15).select("track_id", "witness")
 
 
 ASSIGNED = f"""with {EVENTS_SQL},

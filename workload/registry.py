@@ -26,15 +26,3 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-SPLITS: dict[str, int] = {}
-
-
-def spread(rows: DataFrame, path: str) -> DataFrame:
-    """Rows of a table that has fewer input splits than the cluster has cores, dealt out
-    evenly. A table of many files comes back untouched, without a shuffle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if path not in SPLITS:
-        SPLITS[path] = rows.rdd.getNumPartitions()
-    return rows.repartition(cores) if SPLITS[path] < cores else rows

@@ -8,9 +8,11 @@ from actiongrid.domain import REVIEW_OPERATIONS
 from actiongrid.functions.text import seconds_text_us
 from actiongrid.operators import manifest as M
 from actiongrid.operators import review as R
+from actiongrid.plans.ordered import numbered
 from actiongrid.session import scratch_path
 from actiongrid.sources.documents import CONFIRMATION_FIELDS, REQUEST_FIELDS, item_cells, table_cells
-from actiongrid.sources.sinks import write_review_queue
+from actiongrid.sources.manifest_csv import require_unique_index, scan_manifest
+from actiongrid.sources.sinks import write_csv, write_review_queue
 
 from .bindings import clock_of_seconds_sql, events, manifest_rows, manifest_sql
 from .registry import query, table
@@ -96,6 +98,35 @@ def review_queue(spark, folder):
     return back.select(F.col("record_index").cast("long").alias("record_index"), *text)
 
 
+def parts(spark, folder):
+    """The clean manifest written as four CSV parts and scanned again."""
+    rows = manifest_rows(spark, folder, clean=True)
+    columns = [c for c in rows.columns if c != "record_index"]
+    cut = rows.repartitionByRange(4, "record_index").sortWithinPartitions("record_index")
+    return scan_manifest(spark, write_csv(cut, scratch_path(spark, "parts"), columns))
+
+
+@query("review_queue_parts", MANIFEST + f"""
+select record_index, 'clips/../u' || user_id || '.mp4' as video_path, s_us / 1000000.0::double as current_start_seconds, e_us / 1000000.0::double as current_end_seconds,
+  {clock_of_seconds_sql('s_us / 1000000.0::double')} as current_start_time, {clock_of_seconds_sql('e_us / 1000000.0::double')} as current_end_time, label as current_action, split,
+  case when k % 2 = 0 then 'near' else 'far' end as team_side, case when k % 5 = 0 then '' else cast(k % 20 as varchar) end as player_number,
+  case when has_crop then '0,10,' || (k * 14 + 10) || ',700' else '' end as crop,
+  {NOTES_SQL} as source_notes, case when k % 4 = 0 then 'see this' else '' end as reviewer_note,
+  'look at ' || event_type as review_reason, {OPS_SQL} as suggested_operation, case when k % 6 = 0 then 'dig' else '' end as suggested_action,
+  case when k % 2 = 0 then (start_us + 1000000) / 1000000.0::double end as suggested_start_seconds,
+  case when k % 2 = 0 then (end_us + 1000000) / 1000000.0::double end as suggested_end_seconds,
+  case when k % 2 = 0 then {clock_of_seconds_sql('(start_us + 1000000) / 1000000.0::double')} else '' end as suggested_start_time,
+  case when k % 2 = 0 then {clock_of_seconds_sql('(end_us + 1000000) / 1000000.0::double')} else '' end as suggested_end_time,
+  '' as confirmed_action, '' as confirmed_start_time, '' as confirmed_end_time, '' as confirmation_note
+from m""")
+def review_queue_parts(spark, folder):
+    """All columns of the queue, over a manifest of several files."""
+    manifest = M.check_manifest(require_unique_index(parts(spark, folder)))
+    valid = R.check_requests(requests(spark, folder), record_count(spark, folder))
+    queue = R.review_queue(manifest, valid)
+    return queue.withColumns({f"suggested_{x}_seconds": F.col(f"suggested_{x}_seconds").try_cast("double") for x in ("start", "end")})
+
+
 BAD_REQUESTS = """
 rq as (
   select event_id + 1 as position, k, user_id, event_id,
@@ -181,6 +212,20 @@ def apply_review(spark, folder):
     return made.select("origin", "ordinal", "start_seconds", "end_seconds", "label", "review_status", "notes")
 
 
+@query("apply_review_parts", APPLIED + """
+select origin, ordinal, 'clips/../u' || user_id || '.mp4' as video_path, a.start_seconds, a.end_seconds, trim(a.label) as label, upper(split) as split,
+  case when k % 2 = 0 then 'near' else 'far' end as team_side, case when k % 5 = 0 then '' else cast(k % 20 as varchar) end as player_number,
+  case when has_crop then '0' else '' end as crop_x1, case when has_crop then '10' else '' end as crop_y1,
+  case when has_crop then cast(k * 14 + 10 as varchar) else '' end as crop_x2, case when has_crop then '700' else '' end as crop_y2,
+  coalesce(a.review_status, '') as review_status, trim(a.notes) as notes
+from applied a join t on t.record_index = a.ordinal""")
+def apply_review_parts(spark, folder):
+    """All columns of the next version, over a manifest of several files."""
+    made = R.apply_confirmations(require_unique_index(parts(spark, folder)), confirmations(spark, folder))
+    columns = [c for c in made.columns if c not in ("origin", "ordinal", "record_index")]
+    return made.select("origin", "ordinal", *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
+
+
 @query("apply_counters", APPLIED + """
 select (select count(*) from m) as source_records, (select count(*) from t where operation <> 'add_window') as updated_records,
   (select count(*) from t where operation = 'add_window') as added_records,
@@ -199,16 +244,24 @@ def confirmation_order_breaks(spark, folder):
     return R.order_breaks(rows)
 
 
-@query("published_version", APPLIED + f"""
-select label, count(*) as n from (select trim(label) as label from applied) group by label""")
+@query("published_version", APPLIED + """
+select row_number() over (order by origin, ordinal) as record_index, 'clips/../u' || user_id || '.mp4' as video_path, a.start_seconds, a.end_seconds,
+  trim(a.label) as label, upper(split) as split,
+  case when k % 2 = 0 then 'near' else 'far' end as team_side, case when k % 5 = 0 then '' else cast(k % 20 as varchar) end as player_number,
+  case when has_crop then '0' else '' end as crop_x1, case when has_crop then '10' else '' end as crop_y1,
+  case when has_crop then cast(k * 14 + 10 as varchar) else '' end as crop_x2, case when has_crop then '700' else '' end as crop_y2,
+  coalesce(a.review_status, '') as review_status, trim(a.notes) as notes
+from applied a join t on t.record_index = a.ordinal""")
 def published_version(spark, folder):
-    """The applied rows checked, written as a new version, read back and summarized."""
+    """The applied rows checked, written as a new version and read back, all rows and columns."""
     rows = manifest_rows(spark, folder, clean=True)
     made = R.apply_confirmations(rows, confirmations(spark, folder)).drop("record_index")
-    numbered = made.withColumn("record_index", F.col("ordinal"))
+    version = numbered(made, ("origin", "ordinal"), "record_index")
     columns = [c for c in rows.columns if c != "record_index"] + ["review_status"]
-    summary = M.publish_manifest(numbered, columns, scratch_path(spark, "version"), video_root="/media")
-    return spark.createDataFrame(list(summary["records_by_label"].items()), "label string, n long")
+    path = scratch_path(spark, "version")
+    M.publish_manifest(version, columns, path, video_root="/media")
+    back = scan_manifest(spark, path)
+    return back.select("record_index", *[F.trim(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in columns])
 
 
 @query("seconds_round_trip", MANIFEST + f" select record_index, {SEC_SQL('s_us')} as text from m")

@@ -16,16 +16,18 @@ from .registry import query, table
 @query("stream_merge", islands_sql(WINDOWS_SQL, 300_000, 12 * HOUR, 60_000_000)
        + " select video_id, event_no, start_us, end_us, action, conf_sum, n_windows from merged")
 def stream_merge(spark, folder):
-    """All windows arrive in three files in time order; the closed events equal batch."""
+    """All windows arrive in four steps in time order, each read by a restarted stream; the
+    closed events equal batch."""
     rows = windows(spark, folder)
     source, base = scratch_path(spark, "arrivals"), scratch_path(spark, "merge")
     day = F.floor(F.col("start_us") / (24 * HOUR))
-    for low, high in ((0, 10), (10, 20), (20, 10_000)):
-        rows.where((day >= low) & (day < high)).coalesce(1).write.mode("append").parquet(source)
     settings = MergeSettings.of(confidence_threshold=0.3, merge_gap_seconds=12 * 3600.0, min_event_seconds=60.0)
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    running = start_merge_stream(arriving, base, settings, checkpoint=scratch_path(spark, "checkpoint"))
-    running.awaitTermination()
+    checkpoint = scratch_path(spark, "checkpoint")
+    for step in (day < 8, (day >= 8) & (day < 16), (day >= 16) & (day < 24), day >= 24):
+        rows.where(step).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(rows.schema).parquet(source)
+        running = start_merge_stream(arriving, base, settings, checkpoint=checkpoint)
+        running.awaitTermination()
     finish(spark, base, running.lastProgress["batchId"], settings, rows.schema)
     return closed_events(spark, base)
 
