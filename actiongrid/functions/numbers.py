@@ -55,11 +55,8 @@ def ratio(numerator: Column | str, denominator: Column | str, empty: float | Non
     return q if empty is None else F.coalesce(q, F.lit(empty))
 
 
-def exact_round(value: Column | str, digits: int) -> Column:
-    """Half-even on the exact binary value, which Spark's decimal-based rounding
-    cannot express; an Arrow-batched helper for report edges only."""
-    def rounder(values):
-        return values.map(lambda v: round(v, digits), na_action="ignore")
-
-    scalar = F.pandas_udf(rounder, "double", F.PandasUDFType.SCALAR)
-    return scalar(as_col(value).cast("double"))
+def rounded_ratio(numerator: Column | str, denominator: Column | str, digits: int) -> Column:
+    """numerator / denominator of integers, not negative, rounded half to even at `digits`
+    decimals; exact, because only integers are rounded. Null where the denominator is 0."""
+    d = F.nullif(as_col(denominator).cast("long"), F.lit(0).cast("long"))
+    return half_even_div(as_col(numerator).cast("long") * 10**digits, d) / F.lit(float(10**digits))

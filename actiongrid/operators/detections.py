@@ -107,10 +107,10 @@ def evidence_parts(
 
 
 def model_labels(models: DataFrame) -> DataFrame:
-    """Names of a model map(string -> string) in the order of their integer ids."""
-    return models.select("model_id", F.explode("names").alias("id", "label")).select(
-        "model_id", F.col("id").try_cast("int").alias("class_id"), "label"
-    )
+    """(model_id, labels): the names of a model map(string -> string) as one array in the order
+    of their integer ids; ids that are no integers come first."""
+    entry = F.transform(F.map_entries("names"), lambda e: F.struct(e["key"].try_cast("int").alias("id"), e["value"].alias("label")))
+    return models.select("model_id", F.transform(F.array_sort(entry), lambda e: e["label"]).alias("labels"))
 
 
 def missing_capabilities(models: DataFrame) -> DataFrame:

@@ -127,12 +127,14 @@ def top_errors(matrix: DataFrame, labels: Sequence[str], k: int = 3) -> DataFram
 
 
 def class_weights(rows: DataFrame, labels: Sequence[str], *, label: str = "label") -> DataFrame:
-    """Inverse-frequency weights N / (L * count), 0 for labels without rows."""
+    """Inverse-frequency weights N / (L * count), 0 for labels without rows. N counts all rows,
+    those of other labels included."""
     counted = rows.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = counted.agg(F.sum("n").alias("total"))  # one row by construction
     return (
         domain_table(rows.sparkSession, labels)
-        .join(counted.select("label", "n", total.alias("total")), "label", "left")
+        .join(counted.where(F.col("label").isin(*labels)), "label", "left")
+        .join(F.broadcast(total), F.lit(True), "left")
         .select(
             "ordinal", "label", F.coalesce("n", F.lit(0)).alias("n"),
             F.when(F.col("n") > 0, F.col("total") / (F.lit(float(len(labels))) * F.col("n")))

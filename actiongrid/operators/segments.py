@@ -96,10 +96,9 @@ def refinement_faults(refined: DataFrame, actions: DataFrame) -> DataFrame:
     """Refined windows must equal the actions inside their reviewed range: rows found on
     one side only. refined: interval_id, label, start_us, end_us, range_start_us,
     range_end_us; actions: interval_id, label, start_us, end_us."""
-    ranges = refined.select("interval_id", "range_start_us", "range_end_us").distinct()
-    inside = actions.join(ranges, "interval_id").where(
-        (F.col("start_us") >= F.col("range_start_us")) & (F.col("end_us") <= F.col("range_end_us"))
-    )
+    ranges = refined.select(F.col("interval_id").alias("__of"), "range_start_us", "range_end_us").distinct()
+    within = (F.col("start_us") >= F.col("range_start_us")) & (F.col("end_us") <= F.col("range_end_us"))
+    inside = actions.join(ranges, (F.col("interval_id") == F.col("__of")) & within, "left_semi")
     columns = ["interval_id", "label", "start_us", "end_us"]
     a = refined.select(*columns).withColumn("in_refined", F.lit(1))
     b = inside.select(*columns).withColumn("in_actions", F.lit(1))

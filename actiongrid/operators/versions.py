@@ -249,8 +249,10 @@ def resolve_conflicts(existing: DataFrame, incoming: DataFrame, policy: str, *,
         .otherwise("conflict")
     )
     s = F.col("state")
-    if policy == "fail":
-        decision = F.when(s == "new", "insert").when(s == "identical", "reuse").otherwise("fail")
+    if policy == "fail":  # one conflict fails the whole package
+        verdict = joined.agg(F.coalesce(F.bool_or(state == "conflict"), F.lit(False)).alias("__broken"))
+        joined = joined.join(F.broadcast(verdict), F.lit(True))  # one row by construction
+        decision = F.when(F.col("__broken"), "fail").when(s == "new", "insert").otherwise("reuse")
     elif policy == "skip_identical":
         decision = F.when(s == "new", "insert").when(s == "identical", "reuse").otherwise("fail")
     elif policy == "fork_versions":
@@ -260,7 +262,7 @@ def resolve_conflicts(existing: DataFrame, incoming: DataFrame, policy: str, *,
         )
     else:
         decision = F.lit("remap")
-    return joined.withColumn("state", state).withColumn("decision", decision)
+    return joined.withColumn("state", state).withColumn("decision", decision).drop("__broken")
 
 
 def remap_ids(entities: DataFrame, references: DataFrame, package: str) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .guards import positive
 from .ordered import MAX_ROWS, Running, attach, order_by_key
 
@@ -110,9 +111,11 @@ def overlap_pairs(
 ) -> DataFrame:
     """All strictly overlapping pairs with overlap_us; `how='left'` keeps lonely rows.
 
-    A pair is reported only in the later of the two first buckets, so none repeats.
-    Left buckets above `bucket_rows` are split by salt and the right rows repeated for
-    each salt value."""
+    A pair is reported only in the later of the two first buckets, so none repeats. A bucket
+    above `bucket_rows` is split on the side that holds more of it, by salt, and the other
+    side's rows are repeated for each salt value. Lonely rows come from a sweep, not from the
+    pairs: rows without a witness. `width_us` should be near the usual length: an interval is
+    repeated for every bucket it touches."""
     positive("width_us", width_us)
     keys = list(keys)
     a = left.select(
@@ -124,18 +127,17 @@ def overlap_pairs(
         _buckets(F.col(START), F.col(END), width_us).alias("__bucket"),
     )
     cell = [*keys, "__bucket"]
-    full = a.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > bucket_rows)
-    salt = F.lit(0)
-    if not full.isEmpty():
-        split = full.select(*cell, F.ceil(F.col("__n") / F.lit(bucket_rows)).cast("int").alias("__split"))
-        a = attach(a, split, cell).withColumn(
-            "__salt", F.when(F.col("__split").isNull(), 0).otherwise(F.pmod(F.xxhash64("__a"), F.col("__split")))
-        ).drop("__split")
-        b = attach(b, split, cell).withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__split", F.lit(1)) - 1).cast("array<bigint>"))
-        ).drop("__split")
+    sides = a.select(*cell, F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(
+        b.select(*cell, F.lit(0).alias("__l"), F.lit(1).alias("__r")))
+    full = sides.groupBy(*cell).agg(F.sum("__l").alias("__l"), F.sum("__r").alias("__r")).where(
+        (F.greatest("__l", "__r") > bucket_rows) & (F.least("__l", "__r") > 0))
+    split = durable(full.select(
+        *cell, F.ceil(F.greatest("__l", "__r") / F.lit(bucket_rows)).cast("int").alias("__split"),
+        (F.col("__l") >= F.col("__r")).alias("__left")))
+    if not split.isEmpty():
+        a = _salted(attach(a, split, cell), "__a", F.col("__left"))
+        b = _salted(attach(b, split, cell), "__b", ~F.col("__left"))
         cell = [*cell, "__salt"]
-        a = a.withColumn("__salt", F.col("__salt").cast("long"))
     first_shared = F.greatest(F.floor(F.col("__as") / F.lit(width_us)), F.floor(F.col("__bs") / F.lit(width_us)))
     pairs = (
         a.join(b, cell)
@@ -147,5 +149,16 @@ def overlap_pairs(
     )
     if how == "inner":
         return pairs
-    lonely = attach(left.select(*keys, left_id), pairs.select(*keys, left_id).distinct(), [*keys, left_id], "left_anti")
+    seen = overlap_witness(
+        left.select(*keys, left_id, START, END), right, keys, id_col=left_id, other_id=right_id)
+    lonely = seen.where("witness is null").select(*keys, left_id)
     return pairs.unionByName(lonely, allowMissingColumns=True)
+
+
+def _salted(rows: DataFrame, ident: str, spread: Column) -> DataFrame:
+    """Rows with a salt: one value by id where this side is spread, else a copy for each."""
+    parts = F.coalesce("__split", F.lit(1))
+    one = F.array(F.pmod(F.xxhash64(ident), parts))
+    each = F.sequence(F.lit(0), parts - 1).cast("array<bigint>")
+    salts = F.when(F.coalesce(spread, F.lit(True)), one).otherwise(each)
+    return rows.withColumn("__salt", F.explode(salts)).drop("__split", "__left")

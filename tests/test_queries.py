@@ -28,3 +28,15 @@ def test_all_queries(spark):
     with ThreadPoolExecutor(6) as pool:
         problems = {n: p for n, p in pool.map(one, names) if p}
     assert not problems
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
+@pytest.mark.parametrize("name", ["merge_events_hot_videos", "number_conflicts_hot_videos", "track_relink_hot_players"])
+def test_hot_queries_cross_their_threshold(spark, monkeypatch, name):
+    from actiongrid.plans import ordered
+    from workload import load
+
+    stored, true = [], ordered.durable
+    monkeypatch.setattr(ordered, "durable", lambda df: stored.append(1) or true(df))
+    load()[0][name](spark, FOLDER)
+    assert len(stored) >= 2

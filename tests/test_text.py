@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from actiongrid.domain import COMPATIBLE_LABELS
 from actiongrid.functions import text as T
 from actiongrid.functions.labels import normalize_external
-from actiongrid.functions.numbers import exact_round, half_even_div, seconds_to_us
+from actiongrid.functions.numbers import half_even_div, rounded_ratio, seconds_to_us
 from actiongrid.operators import metrics as M
 from actiongrid.plans.guards import output_apart_from_inputs
 
@@ -23,7 +23,10 @@ def test_numbers(spark):
     assert apply(spark, [1.5, float("nan"), 1e300, None], seconds_to_us, "double") == [1_500_000, None, None, None]
     halves = [5, 15, 25, 26, 14]
     assert apply(spark, halves, lambda c: half_even_div(c, 10), "long") == [round(x / 10) for x in halves]
-    assert apply(spark, [0.0000005, 2.675, None], lambda c: exact_round(c, 2), "double") == [0.0, round(2.675, 2), None]
+    thirds = [0, 1, 2, 100, None]
+    assert apply(spark, thirds, lambda c: rounded_ratio(c, F.lit(3), 6), "long") == [0.0, 0.333333, 0.666667, 33.333333, None]
+    assert apply(spark, [1, 3], lambda c: rounded_ratio(c, F.lit(8), 2), "long") == [0.12, 0.38]
+    assert apply(spark, [1], lambda c: rounded_ratio(c, F.lit(0), 2), "long") == [None]
 
 
 def test_clock_and_seconds(spark):

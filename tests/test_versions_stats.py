@@ -9,10 +9,10 @@ from actiongrid.operators import versions as V
 
 def test_rally_notes(spark):
     rows = spark.createDataFrame([
-        ("A", "15-16 receive; 16-17 set; 24-25 attack（没碰到球）; 58-01 dig", 6_915_000_000, 6_962_000_000),
-        ("B", "13:59-14:00 receive, 14:00-01 set, 01-02 attack", 837_000_000, 846_000_000),
-        ("C", "3:06-07 serve", 7_378_000_000, 7_392_000_000),
-        ("D", "22:03-22:04 block 22:07-22:08 block", 1_318_000_000, 1_328_000_000),
+        ("A", "05-06 serve; 07-08 dig; 30-31 block（没碰到球）; 57-02 set", 3_605_000_000, 3_664_000_000),
+        ("B", "2:58-3:00 dig, 3:00-02 attack, 02-03 block", 177_000_000, 185_000_000),
+        ("C", "1:41-43 set", 10_898_000_000, 10_910_000_000),
+        ("D", "40:10-40:12 serve 40:15-40:16 receive", 2_408_000_000, 2_418_000_000),
         ("E", "background（x）", 0, 1), ("F", "", 0, 1)],
         "interval_id string, note string, start_us long, end_us long")
     out = V.rally_notes(rows)
@@ -20,10 +20,10 @@ def test_rally_notes(spark):
     for r in out.orderBy("interval_id", "position").collect():
         got.setdefault(r.interval_id, []).append((r.label, r.start_us // 10**6, r.end_us // 10**6, r.ignored))
     assert got == {
-        "A": [("receive", 6915, 6916, None), ("set", 6916, 6917, None), ("attack", 6924, 6925, "no_touch"), ("dig", 6958, 6961, None)],
-        "B": [("receive", 839, 840, None), ("set", 840, 841, None), ("attack", 841, 842, None)],
-        "C": [("serve", 7386, 7387, None)],
-        "D": [("block", 1323, 1324, None), ("block", 1327, 1328, None)]}
+        "A": [("serve", 3605, 3606, None), ("dig", 3607, 3608, None), ("block", 3630, 3631, "no_touch"), ("set", 3657, 3662, None)],
+        "B": [("dig", 178, 180, None), ("attack", 180, 182, None), ("block", 182, 183, None)],
+        "C": [("set", 10901, 10903, None)],
+        "D": [("serve", 2410, 2412, None), ("receive", 2415, 2416, None)]}
     assert [r.interval_id for r in V.notes_without_actions(rows, out).collect()] == ["E"]
 
 
@@ -90,9 +90,11 @@ def test_imports(spark):
     s = "entity_type string, id string, sha string"
     have = spark.createDataFrame([("event", "1", "x"), ("version", "2", "x")], s)
     come = spark.createDataFrame([("event", "1", "x"), ("version", "2", "y"), ("event", "3", "z")], s)
-    for policy, want in {"fail": ["reuse", "insert", "fail"], "fork_versions": ["reuse", "insert", "fork"], "remap_ids": ["remap"] * 3}.items():
+    for policy, want in {"fail": ["fail"] * 3, "skip_identical": ["reuse", "insert", "fail"], "fork_versions": ["reuse", "insert", "fork"], "remap_ids": ["remap"] * 3}.items():
         got = V.resolve_conflicts(have, come, policy, versioned=["version"]).orderBy("entity_type", "id").collect()
         assert [r.decision for r in got] == want
+    whole = V.resolve_conflicts(have, come.where("id <> '2'"), "fail").orderBy("id").collect()
+    assert [r.decision for r in whole] == ["reuse", "insert"]
     with pytest.raises(ValueError):
         V.resolve_conflicts(have, come, "last_write_wins")
     refs = spark.createDataFrame([("version", "2", "event", "1")], "source_type string, source_id string, target_type string, target_id string")

@@ -141,9 +141,9 @@ MODEL_SQL = f"""with {EVENTS_SQL}, d as (select distinct user_id as model_id, k
 l as (select *, ['ball','Block','receive ','set','spike','serve'][c + 1] as label from d)"""
 
 
-@query("model_labels", MODEL_SQL + " select model_id, cast(c as integer) as class_id, label from l")
+@query("model_labels", MODEL_SQL + " select model_id, string_agg(label, ',' order by c) as labels from l group by model_id")
 def model_labels(spark, folder):
-    return D.model_labels(models(spark, folder))
+    return D.model_labels(models(spark, folder)).withColumn("labels", F.array_join("labels", ","))
 
 
 @query("missing_capabilities", MODEL_SQL + """,

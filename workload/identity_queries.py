@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from actiongrid.operators import identity as I
+from actiongrid.plans.intervals import overlap_pairs
 
 from .bindings import EVENTS_SQL, HOUR, events
 from .registry import query, table
@@ -74,7 +75,7 @@ def number_conflicts(spark, folder):
 
 @query("number_conflicts_hot_videos", CONFLICTS)
 def number_conflicts_hot_videos(spark, folder):
-    return I.number_conflicts(_tracks(spark, folder), max_rows=15).select("track_id", "witness")
+    return I.number_conflicts(_tracks(spark, folder), max_rows=3).select("track_id", "witness")
 
 
 ASSIGNED = f"""with {EVENTS_SQL},
@@ -84,9 +85,13 @@ a as (select e.video_id, e.event_id, t.track_id, case when t.track_id is not nul
       from e left join t on e.video_id = t.video_id and e.start_us < t.end_us and t.start_us < e.end_us)"""
 
 
-def _assigned(spark, folder, **kw):
+def _sides(spark, folder):
     e = events(spark, folder).withColumnRenamed("user_id", "video_id")
-    tracks = e.where("k % 3 <> 0").select("video_id", F.col("event_id").alias("track_id"), (F.col("start_us") + HOUR).alias("start_us"), (F.col("end_us") + 3 * HOUR).alias("end_us"))
+    return e, e.where("k % 3 <> 0").select("video_id", F.col("event_id").alias("track_id"), (F.col("start_us") + HOUR).alias("start_us"), (F.col("end_us") + 3 * HOUR).alias("end_us"))
+
+
+def _assigned(spark, folder, **kw):
+    e, tracks = _sides(spark, folder)
     return I.assign_events(e, tracks, width_us=6 * HOUR, **kw)
 
 
@@ -100,6 +105,17 @@ def event_tracks_salted(spark, folder):
     return _assigned(spark, folder, bucket_rows=3)
 
 
+@query("event_tracks_right_heavy", f"""with {EVENTS_SQL},
+e as (select user_id as video_id, event_id, start_us, end_us from ev),
+t as (select user_id as video_id, event_id as track_id, start_us + {HOUR} as start_us, end_us + {3 * HOUR} as end_us from ev where k % 3 <> 0)
+select t.video_id, t.track_id, e.event_id, case when e.event_id is not null then least(e.end_us, t.end_us) - greatest(e.start_us, t.start_us) end as overlap_us
+from t left join e on e.video_id = t.video_id and e.start_us < t.end_us and t.start_us < e.end_us""")
+def event_tracks_right_heavy(spark, folder):
+    """Tracks against events: the fuller side is the right one, and it is the one that is split."""
+    e, tracks = _sides(spark, folder)
+    return overlap_pairs(tracks, e, ["video_id"], left_id="track_id", right_id="event_id", width_us=6 * HOUR, how="left", bucket_rows=3)
+
+
 @query("assignment_counts", ASSIGNED + """ select video_id, event_id, count(track_id) as tracks, cast(coalesce(sum(overlap_us), 0) as bigint) as overlap_us,
   case when count(track_id) = 0 then 'none' when count(track_id) = 1 then 'one' else 'many' end as ambiguity from a group by 1, 2""")
 def assignment_counts(spark, folder):

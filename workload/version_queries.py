@@ -228,7 +228,9 @@ def _entities(spark, folder):
 
 @query("conflict_check", """
 select p.policy, o_orderkey as id, case when o_orderstatus = 'P' then 'new' when o_custkey % 4 <> 0 then 'identical' else 'conflict' end as state,
-  case when p.policy = 'remap_ids' then 'remap' when o_orderstatus = 'P' then 'insert' when o_custkey % 4 <> 0 then 'reuse'
+  case when p.policy = 'remap_ids' then 'remap'
+       when p.policy = 'fail' and exists (select 1 from orders where o_orderstatus not in ('F', 'P') and o_custkey % 4 = 0) then 'fail'
+       when o_orderstatus = 'P' then 'insert' when o_custkey % 4 <> 0 then 'reuse'
        when p.policy = 'fork_versions' and o_orderpriority = '2-HIGH' then 'fork' else 'fail' end as decision
 from orders, (select unnest(['fail', 'skip_identical', 'fork_versions', 'remap_ids']) as policy) p where o_orderstatus <> 'F'""")
 def conflict_check(spark, folder):

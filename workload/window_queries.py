@@ -187,9 +187,11 @@ def reviewer_notes(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.sha2(T.reviewer_note(note), 256).alias("sha256"))
 
 
-@query("rounded_ratios")
+@query("rounded_ratios", f"""
+with r as (select o_custkey, count(*) as n, cast(sum(o_orderkey) as bigint) as s from orders group by o_custkey)
+select o_custkey, {half_even_sql('s * 1000000', 'n')} / 1000000.0::double as mean from r""")
 def rounded_ratios(spark, folder):
-    """Report-edge rounding of exact binary values (an Arrow helper; no SQL twin)."""
+    """Quotients rounded half to even at six decimals."""
     rows = table(spark, folder, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("s"))
-    return rows.select("o_custkey", N.exact_round(F.col("s") / F.col("n"), 6).alias("mean"))
+    return rows.select("o_custkey", N.rounded_ratio("s", "n", 6).alias("mean"))
