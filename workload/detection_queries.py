@@ -8,6 +8,7 @@ from actiongrid.domain import ACTION_LABELS
 from actiongrid.functions.labels import normalize_external
 from actiongrid.operators import detections as D
 from actiongrid.operators import manifest as M
+from actiongrid.operators.evaluation import evaluate_detections, write_report
 from actiongrid.operators.inference import infer_events, score_windows
 from actiongrid.session import scratch_path
 from actiongrid.sources.sinks import read_record, write_evaluation_csv, write_record
@@ -201,6 +202,61 @@ def evaluation_csv(spark, folder):
         F.regexp_extract("evidence", r'^(\[(?:\{"frame_index":\d+,"source_label":"\w+","action":"\w+")?)', 1).alias("evidence"))
 
 
+DETECTED = EVALUATED + f""",
+{LINES_SQL.replace("select l_orderkey as window_id,", "select l_orderkey as window_id, l_quantity,")},
+o as (select *, list_position(['background','serve','receive','set','attack','block','dig'], action) as ord from d),
+wn as (select window_id, action, conf_micro, row_number() over (partition by window_id order by conf_micro desc, ord, frame_index, l_partkey, l_suppkey, price) as rn
+      from o where conf_micro >= 250000 and ord is not null),
+ed as (select window_id, string_agg(frame_index || '| ' || upper(action) || '|' || action || '|' || conf_micro || '|' || cast(l_quantity as bigint) || '|0|' || cast(l_quantity + 1 as bigint) || '|2', ','
+       order by frame_index, l_partkey, l_suppkey, price) as evidence from d group by window_id),
+dr as (
+  select r.* exclude (predicted_action, confidence, correct, k, event_type), coalesce(wn.action, 'background') as predicted_action,
+         coalesce(wn.conf_micro, 0) / 1000000.0::double as confidence, r.expected_action = coalesce(wn.action, 'background') as correct,
+         coalesce(ed.evidence, '') as evidence
+  from r left join wn on wn.window_id = r.record_index and rn = 1 left join ed on ed.window_id = r.record_index
+)"""
+
+
+def detected(spark, folder):
+    annotations = M.check_manifest(manifest_rows(spark, folder, clean=True), video_root="/media")
+    return evaluate_detections(annotations, line_detections(spark, folder), confidence_threshold=0.25, order=ORDER)
+
+
+@query("evaluate_detections", DETECTED + " select * from dr")
+def evaluate_detections_query(spark, folder):
+    """Winner and whole evidence of every annotated window."""
+    whole = lambda x: F.floor(x).cast("bigint")
+    item = lambda e: F.concat_ws(
+        "|", e["frame_index"], e["source_label"], e["action"], F.round(e["confidence"] * 1e6).cast("bigint"), *[whole(e["box_xyxy"][i]) for i in range(4)])
+    return detected(spark, folder).withColumn("evidence", F.array_join(F.transform("evidence", item), ","))
+
+
+@query("evaluation_report", DETECTED + """,
+p as (select 'strict' as metric_set, expected_action as t, predicted_action as p from dr union all
+      select 'compatible', case when expected_action = 'dig' then 'receive' else expected_action end, case when predicted_action = 'dig' then 'receive' else predicted_action end from dr),
+l as (select metric_set, unnest(case when metric_set = 'strict' then ['background','serve','receive','set','attack','block','dig'] else ['background','serve','receive','set','attack','block'] end) as label
+      from (select distinct metric_set from p)),
+c as (select l.metric_set, label, count(*) filter (where t = label and p = label)::double as tp, count(*) filter (where t = label)::double as support,
+             count(*) filter (where p = label)::double as predicted from l join p using (metric_set) group by 1, 2),
+s as (select *, case when predicted = 0 then 0 else tp / predicted end as precision, case when support = 0 then 0 else tp / support end as recall from c),
+f as (select *, case when precision + recall = 0 then 0 else 2 * precision * recall / (precision + recall) end as f1 from s),
+v as (
+  select metric_set, unnest(['precision','recall','f1','support']) as metric, label, unnest([precision, recall, f1, support]) as value from f
+  union all select metric_set, unnest(['samples','accuracy','macro_f1']), '', unnest([sum(support), sum(tp) / sum(support), avg(f1)]) from f group by metric_set
+)
+select metric_set, metric, label, round(value, 9) as value, (select count(*) from dr) as records from v""")
+def evaluation_report(spark, folder):
+    """The report written and read back: both metric sets beside the number of records."""
+    path = write_report(detected(spark, folder), scratch_path(spark, "report"), settings={"confidence_threshold": 0.25}, manifest={})
+    whole = "struct<samples:double,accuracy:double,macro_f1:double,per_class:map<string,map<string,double>>>"
+    head = spark.read.text(f"{path}/head").select(F.from_json("value", f"metrics map<string,{whole}>").alias("h"))
+    sets = head.select(F.explode("h.metrics").alias("metric_set", "m"))
+    single = sets.select("metric_set", F.explode(F.create_map(*[x for m in ("samples", "accuracy", "macro_f1") for x in (F.lit(m), F.col(f"m.{m}"))])).alias("metric", "value"), F.lit("").alias("label"))
+    classes = sets.select("metric_set", F.explode("m.per_class").alias("label", "scores")).select("metric_set", "label", F.explode("scores").alias("metric", "value"))
+    records = spark.read.json(f"{path}/records").agg(F.count(F.lit(1)).alias("records"))
+    return single.unionByName(classes).withColumn("value", F.round("value", 9)).join(F.broadcast(records), F.lit(True))
+
+
 @query("scored_events", islands_sql(EVENTS_SQL + """,
 sc as (select e.user_id, e.event_id, e.start_us, e.end_us, v.embedding[1:7]::double[] as x
        from ev e join embeddings v on v.vec_id = e.event_id % 100),
