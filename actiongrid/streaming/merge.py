@@ -124,7 +124,10 @@ def _paths(base: str, batch: int) -> dict[str, str]:
 
 
 def run_batch(spark: SparkSession, base: str, batch: int, windows: DataFrame, settings: MergeSettings, *, final: bool = False) -> None:
-    """Read the state of the batch before, take one step, write everything of this batch."""
+    """Read the state of the batch before, take one step, write everything of this batch.
+
+    Arrivals are kept for the length of the batch, so its outputs read them once. State is
+    deleted two batches later: a batch that is taken again still finds the one before it."""
     if batch == 0:
         state = StreamState.empty(spark)
     else:
@@ -138,13 +141,24 @@ def run_batch(spark: SparkSession, base: str, batch: int, windows: DataFrame, se
         merged.write.mode("overwrite").parquet(here["merged"])
         return spark.read.schema(merged.schema).parquet(here["merged"])
 
-    result = step(state, windows, settings, final=final, store=store)
-    outputs = {
-        "videos": result.state.videos, "waiting": result.state.waiting,
-        "events": result.events, "late": result.late,
-    }
-    for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(here[name])
+    windows = windows.persist()
+    try:
+        result = step(state, windows, settings, final=final, store=store)
+        outputs = {
+            "videos": result.state.videos, "waiting": result.state.waiting,
+            "events": result.events, "late": result.late,
+        }
+        for name, df in outputs.items():
+            df.write.mode("overwrite").parquet(here[name])
+    finally:
+        windows.unpersist()
+    for name in ("videos", "waiting", "merged"):
+        _delete(spark, _paths(base, batch - 2)[name])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def start_merge_stream(windows: DataFrame, base: str, settings: MergeSettings, *, checkpoint: str, trigger: dict | None = None):

@@ -259,7 +259,7 @@ def evaluation_report(spark, folder):
 
 @query("scored_events", islands_sql(EVENTS_SQL + """,
 sc as (select e.user_id, e.event_id, e.start_us, e.end_us, v.embedding[1:7]::double[] as x
-       from ev e join embeddings v on v.vec_id = e.event_id % 100),
+       from ev e join embeddings v on v.vec_id = e.event_id % (select count(*) from embeddings)),
 st as (select *, list_max(x) as top from sc),
 w as (select cast(user_id as varchar) as video_id, event_id as ordinal, start_us, end_us,
              ['background','serve','receive','set','attack','block','dig'][list_position(x, top)] as action,
@@ -272,8 +272,9 @@ def scored_events(spark, folder):
     e = events(spark, folder)
     grid = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("ordinal"), "start_us", "end_us")
     vectors = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("scores"))
+    many = vectors.count()
     scores = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("ordinal"),
-                      (F.col("event_id") % 100).alias("vec_id")).join(vectors, "vec_id")
+                      (F.col("event_id") % many).alias("vec_id")).join(vectors, "vec_id")
     made, _ = infer_events(score_windows(grid, scores, ACTION_LABELS), model_version="m1",
                            confidence_threshold=0.0, merge_gap_seconds=3600.0, min_event_seconds=60.0)
     return made.select("video_id", "event_id", "start_ms", "end_ms", "action")

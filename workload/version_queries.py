@@ -261,7 +261,7 @@ def item_states(spark, folder):
     return rows.select("event_id", V.item_state().alias("state"))
 
 
-@query("shared_matches", f"with {EVENTS_SQL} select distinct user_id as video_id from ev where k < 5 intersect select user_id from ev where k > 94")
+@query("shared_matches", f"with {EVENTS_SQL} select distinct user_id as video_id from ev where k < 50 intersect select user_id from ev where k >= 50")
 def shared_matches(spark, folder):
     e = events(spark, folder).withColumnRenamed("user_id", "video_id")
-    return V.shared_matches(e.where("k < 5"), e.where("k > 94"))
+    return V.shared_matches(e.where("k < 50"), e.where("k >= 50"))
