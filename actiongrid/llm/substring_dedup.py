@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import query, table
+from .common import query, stored, table
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Stretches whose subtrees are built in one go.
@@ -83,7 +83,7 @@ def _turns(best: np.ndarray) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k1, k2, anchor, place) of every anchor of every text."""
+    """(k1, anchor, place) of every anchor of every text."""
 
     def run(batches):
         for batch in batches:
@@ -94,16 +94,18 @@ def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
             if out:
                 which, code, place = (np.concatenate(x) for x in zip(*out))
                 yield pd.DataFrame({
-                    "k1": batch["k1"].to_numpy()[which], "k2": batch["k2"].to_numpy()[which],
-                    "anchor": code.view(np.int64), "place": place.astype(np.int32),
+                    "k1": batch["k1"].to_numpy()[which], "anchor": code.view(np.int64), "place": place.astype(np.int32),
                 })
 
-    return rows.mapInPandas(run, "k1 long, k2 long, anchor long, place int")
+    return rows.mapInPandas(run, "k1 long, anchor long, place int")
 
 
 def _stretches(named: DataFrame, places: str, window: int, gram: int) -> DataFrame:
-    """(k1, k2, start, anchor, words) of every run of windows whose one anchor is in `places`."""
-    columns = ["k1", "k2", "start", "anchor", "words"]
+    """(k1, k2, starts, anchor, words): every run of windows whose one anchor is in `places`.
+
+    Runs of a document that are alike, as in repeated lines, share a row.
+    """
+    columns = ["k1", "k2", "starts", "anchor", "words"]
 
     def run(batches):
         for batch in batches:
@@ -111,24 +113,30 @@ def _stretches(named: DataFrame, places: str, window: int, gram: int) -> DataFra
             k1, k2, chosen = batch["k1"].tolist(), batch["k2"].tolist(), batch[places].tolist()
             for i, words, code, best in _anchored(batch["text"].tolist(), window, gram):
                 live = np.zeros(len(words), bool)
-                live[chosen[i]] = True
+                live[chosen[i][chosen[i] < len(words)]] = True
                 starts = _turns(best)
                 ends = np.r_[starts[1:], len(best)]
                 take = live[best[starts]]
                 anchor = code[best[starts[take]]].view(np.int64).tolist()
+                own: dict[bytes, list] = {}
                 for a, b, c in zip(starts[take].tolist(), ends[take].tolist(), anchor):
-                    out.append((k1[i], k2[i], a, c, b" ".join(words[a:b + window - 1])))
+                    joined = b" ".join(words[a:b + window - 1])
+                    if joined in own:
+                        own[joined][2].append(a)
+                    else:
+                        own[joined] = [k1[i], k2[i], [a], c, joined]
+                out += own.values()
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
-    return named.where(F.size(places) > 0).mapInPandas(run, "k1 long, k2 long, start int, anchor long, words binary")
+    return named.where(F.size(places) > 0).mapInPandas(run, "k1 long, k2 long, starts array<int>, anchor long, words binary")
 
 
-def deep_nodes(stretches: list[list[bytes]], window: int) -> list[np.ndarray]:
-    """For every stretch, which of its windows start a repeat.
+def deep_nodes(stretches: list[list[bytes]], weights: np.ndarray, window: int) -> list[np.ndarray]:
+    """For every stretch, which of its windows start a repeat; weights: how often it occurs.
 
     Names the nodes of depth 1, 2, 4, ... of the joint suffix tree by ranking pairs of names,
     then those of depth `window`.
@@ -154,7 +162,7 @@ def deep_nodes(stretches: list[list[bytes]], window: int) -> list[np.ndarray]:
     owner = np.repeat(np.arange(len(stretches)), sizes)
     leaf = np.arange(len(flat)) + window <= start[owner + 1]
     leaves = np.zeros(int(node.max()) + 1, np.int64)
-    np.add.at(leaves, node[leaf], 1)
+    np.add.at(leaves, node[leaf], weights[owner[leaf]])
     twice = leaves[node] > 1
     return [twice[a:b - window + 1] for a, b in zip(start, start[1:])]
 
@@ -163,9 +171,9 @@ def _subtrees(window: int):
     """Marks the repeats of whole groups; rows come sorted by anchor."""
 
     def grow(rows: pd.DataFrame) -> pd.DataFrame:
-        marks = deep_nodes([w.split(b" ") for w in rows["words"]], window)
+        marks = deep_nodes([w.split(b" ") for w in rows["words"]], rows["starts"].map(len).to_numpy(), window)
         bits = np.array([sum(1 << i for i in np.flatnonzero(m).tolist()) for m in marks], np.int64)
-        out = rows[["k1", "k2", "start"]].assign(bits=bits)
+        out = rows[["k1", "k2", "starts"]].assign(bits=bits)
         return out[bits != 0]
 
     def run(batches):
@@ -187,45 +195,47 @@ def _subtrees(window: int):
 
 
 def _crowded(stretches: DataFrame, window: int) -> DataFrame:
-    """(k1, k2, start, bits) for groups too large for one task, suffix by suffix.
+    """(k1, k2, starts, bits) for groups too large for one task, suffix by suffix.
 
     Stretches are folded first. The key of a suffix is then its whole window, the longest prefix
     there is; leaves are counted by partial aggregation.
     """
-    folded = stretches.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+    folded = stretches.groupBy("words").agg(F.sum(F.size("starts")).alias("n"))
     words = F.split(F.decode("words", "UTF-8"), " ")
     suffix = folded.select(F.sha2("words", 256).alias("stretch"), "n", words.alias("w")).select(
         "stretch", "n", "w", F.explode(F.sequence(F.lit(1), F.size("w") - (window - 1))).alias("at"))
     suffix = suffix.select("stretch", "n", "at", F.array_join(F.slice("w", F.col("at"), window), " ").alias("prefix"))
     deep = suffix.groupBy("prefix").agg(F.sum("n").alias("leaves")).where("leaves > 1").select("prefix")
     marks = suffix.join(deep, "prefix").groupBy("stretch").agg(F.expr("bit_or(shiftleft(1L, at - 1))").alias("bits"))
-    places = stretches.select("k1", "k2", "start", F.sha2("words", 256).alias("stretch"))
-    return places.join(marks, "stretch").select("k1", "k2", "start", "bits")
+    places = stretches.select("k1", "k2", "starts", F.sha2("words", 256).alias("stretch"))
+    return places.join(marks, "stretch").select("k1", "k2", "starts", "bits")
 
 
-def repeats(rows: DataFrame, window: int = 35, gram: int = 8, group_rows: int = 5_000) -> tuple[DataFrame, DataFrame]:
+def repeats(rows: DataFrame, window: int, gram: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
     """(rows with the places of repeated anchors, repeats) of rows(k1, k2, doc, text).
 
-    A repeat is (k1, k2, start, bits): bit i of bits is set if a repeated window starts at word
-    start + i. Both belong to one plan, in which texts are dealt out by (k1, k2) once.
+    A repeat is (k1, k2, starts, bits): bit i of bits is set if repeated windows start i words
+    after each of starts. Both belong to one plan, in which texts are dealt out by k1 once.
     """
     if not 1 <= gram <= window or window - gram > 61:
         raise ValueError("1 <= gram <= window <= gram + 61")
-    found = _candidates(rows.select("k1", "k2", "text"), window, gram)
+    found = _candidates(rows.select("k1", "text"), window, gram)
     again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     again = again.select((F.col("anchor") + F.lit(0)).alias("seen"), (F.col("n") > group_rows).alias("crowd"))
-    live = found.join(again, found["anchor"] == again["seen"]).groupBy("k1", "k2").agg(
+    live = stored(found.join(again, found["anchor"] == again["seen"]).groupBy("k1").agg(
         F.collect_list(F.when(~F.col("crowd"), F.col("place"))).alias("places"),
         F.collect_list(F.when(F.col("crowd"), F.col("place"))).alias("crowded"),
-    )
-    named = rows.join(live, ["k1", "k2"], "left")
+    ), "places")
+    named = rows.join(live, "k1", "left")
     few = _stretches(named, "places", window, gram)
-    few = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_subtrees(window), "k1 long, k2 long, start int, bits long")
+    few = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_subtrees(window), "k1 long, k2 long, starts array<int>, bits long")
+    if live.where(F.size("crowded") > 0).isEmpty():
+        return named, few
     return named, few.unionByName(_crowded(_stretches(named, "crowded", window, gram), window))
 
 
 def without_repeats(
-    docs: DataFrame, window: int = 35, gram: int = 8, group_rows: int = 5_000, text_col: str = "text", id_col: str = "doc_id",
+    docs: DataFrame, window: int = 35, gram: int = 5, group_rows: int = TOGETHER, text_col: str = "text", id_col: str = "doc_id",
 ) -> DataFrame:
     """`docs` with n_words, n_removed and kept, what stays of the text.
 
@@ -234,38 +244,36 @@ def without_repeats(
     shares nothing. Repeated rows are documents of their own and repeat each other. Ids may be
     null or repeated; other columns pass through. An empty table gives no rows.
 
-    Rows are matched with what was found in them by the hashes of id and text. Rows alike in
+    Rows are matched with what was found in them by two hashes of id and text. Rows alike in
     both are the same text of the same document, for which the same is found.
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     rows = docs.toDF(*names).select(
-        F.xxhash64(key).alias("k1"), F.xxhash64(text, F.lit(3)).alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.xxhash64(key, text).alias("k1"), F.xxhash64(text, F.lit(3)).alias("k2"), F.coalesce(F.col(text), F.lit("")).alias("text"),
         F.struct(*[n for n in names if n != text], F.col(text).isNull().alias("void")).alias("doc"),
     )
     named, found = repeats(rows, window, gram, group_rows)
-    spans = found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "bits")).alias("spans"))
+    spans = found.groupBy("k1").agg(F.collect_set(F.struct("k2", "starts", "bits")).alias("spans"))
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
-    def strip(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    def strip(text: pd.Series, k2: pd.Series, spans: pd.Series) -> pd.DataFrame:
         out = []
-        for t, marked in zip(text, spans):
+        for t, own, marked in zip(text, k2, spans):
             words = _words(t)
             gone = np.zeros(len(words) + 1, np.int64)
             for span in marked if marked is not None else ():
-                bits, start = span["bits"], span["start"]
-                while bits:
-                    low = bits & -bits
-                    at = start + low.bit_length() - 1
-                    gone[at] += 1
-                    gone[at + window] -= 1
-                    bits ^= low
+                if span["k2"] != own:
+                    continue
+                at = np.add.outer(span["starts"], np.flatnonzero([span["bits"] >> i & 1 for i in range(62)])).ravel()
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + window, -1)
             keep = np.cumsum(gone[:len(words)]) == 0
             kept = [w for w, k in zip(words, keep.tolist()) if k]
             out.append((len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
-    out = named.join(spans, ["k1", "k2"], "left").select("doc", "text", strip("text", "spans").alias("s"))
+    out = named.join(spans, "k1", "left").select("doc", "text", strip("text", "k2", "spans").alias("s"))
     original = F.when(~F.col("doc.void"), F.col("text"))
     return out.select(
         *[original.alias(n) if n == text else F.col(f"doc.{n}").alias(n) for n in names], "s.n_words", "s.n_removed", "s.kept"
