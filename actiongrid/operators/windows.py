@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..domain import US_PER_SECOND, MediaError
@@ -13,6 +13,7 @@ from ..plans.guards import positive
 from ..plans.ordered import MAX_ROWS, order_by_key
 
 BLOCK = 65_536  # windows generated per row of the first explode
+STARTS = 256  # accumulated starts per row of their table
 
 
 def _checked(window_seconds: float, stride_seconds: float) -> None:
@@ -74,46 +75,43 @@ def sliding_windows(
 
 
 def _accumulated(spans: DataFrame, window: float, stride: float, keys: Sequence[str]) -> DataFrame:
-    """Starts by repeated double addition, whose drift can add a last window that all
-    but equals the one before it. Sequential by nature, so each span is streamed out
-    of its task in bounded batches."""
-    import numpy as np
-    import pandas as pd
-
-    names = list(keys)
-    rows_per_batch = BLOCK
-
-    def produce(key, d):
-        if d <= window:
-            yield key, np.array([0.0]), np.array([d]), 0
-            return
-        last, start, done, ended = d - window, 0.0, 0, False
-        while start <= last + 1e-9:
-            steps = np.full(rows_per_batch, stride)
-            steps[0] = start
-            starts = np.cumsum(steps)
-            following = starts[-1] + stride
-            starts = starts[starts <= last + 1e-9]
-            yield key, starts, starts + window, done
-            done += len(starts)
-            ended = abs(starts[-1] - last) <= 1e-9
-            start = following if len(starts) == rows_per_batch else last + 1.0
-        if not ended and last > 0:
-            yield key, np.array([last]), np.array([d]), done
-
-    def batches(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                for key, starts, ends, done in produce(row[:-1], row[-1] / 1e6):
-                    out = pd.DataFrame({n: [v] * len(starts) for n, v in zip(names, key)})
-                    out["ordinal"] = np.arange(done, done + len(starts), dtype="int64")
-                    out["start_us"] = np.round(starts * 1e6).astype("int64")
-                    out["end_us"] = np.round(ends * 1e6).astype("int64")
-                    yield out
-
-    typed = spans.where(F.col("duration_us") > 0).select(*names, "duration_us")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in typed.schema.fields[:-1])
-    return typed.mapInPandas(batches, f"{fields}, ordinal long, start_us long, end_us long")
+    """Starts by repeated double addition, whose drift can add a last window that all but
+    equals the one before it. All spans share one sequence of starts: it is built once, as a
+    table of runs of STARTS starts, and each span takes the runs it needs."""
+    spark = spans.sparkSession
+    typed = spans.where(F.col("duration_us") > 0).select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], (F.col("duration_us") / F.lit(1e6)).alias("__d"))
+    longest = typed.agg(F.max("__d")).first()[0] or 0.0
+    heads, start = [], 0.0  # the first start of every run, and the last one before it
+    while not heads or start <= longest - window + 1e-9:
+        head = start
+        for _ in range(STARTS):
+            before, start = start, start + stride
+        heads.append((len(heads), head, before))
+    runs = spark.createDataFrame(heads, "__run long, __head double, __tail double")
+    grown = F.aggregate(
+        F.sequence(F.lit(2), F.lit(STARTS)), F.array("__head"),
+        lambda all_, _: F.concat(all_, F.array(F.element_at(all_, -1) + F.lit(stride))))
+    runs = runs.select((F.col("__run") + 0).alias("__of"), grown.alias("__starts"), F.lag("__tail").over(Window.orderBy("__run")).alias("__before"))
+    last, short = F.col("__d") - F.lit(window), F.col("__d") <= F.lit(window)
+    # one run more than the exact quotient asks for, because sums may lag behind it
+    most = F.floor(last / F.lit(stride * STARTS)) + 1
+    asked = typed.where(~short).withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), most.cast("long"))))
+    taken = asked.join(runs, F.col("__run") == F.col("__of"))
+    fitting = F.filter("__starts", lambda x: x <= last + F.lit(1e-9))
+    ends = (F.size(fitting) < STARTS) & (F.coalesce(F.col("__before"), F.lit(0.0)) <= last + F.lit(1e-9))
+    final = F.when(F.size(fitting) > 0, F.element_at(fitting, -1)).otherwise(F.col("__before"))
+    extra = F.when(ends & (F.abs(final - last) > 1e-9) & (last > 0), F.array(last)).otherwise(F.array().cast("array<double>"))
+    placed = taken.select(*[f"__k{i}" for i in range(len(keys))], "__d", "__run", F.posexplode(F.concat(fitting, extra)).alias("__i", "__s"))
+    # the extra window of a span ends with it
+    end = F.when(F.col("__s") == last, F.col("__d")).otherwise(F.col("__s") + F.lit(window))
+    ordinal = F.col("__run") * STARTS + F.col("__i")
+    micro = lambda c: F.rint(c * 1e6).cast("long")
+    names = [F.col(f"__k{i}").alias(k) for i, k in enumerate(keys)]
+    many = placed.select(*names, ordinal.cast("long").alias("ordinal"), micro(F.col("__s")).alias("start_us"), micro(end).alias("end_us"))
+    one = typed.where(short).select(
+        *names, F.lit(0).cast("long").alias("ordinal"), F.lit(0).cast("long").alias("start_us"), micro(F.col("__d")).alias("end_us"))
+    return one.unionByName(many)
 
 
 def frame_times(windows: DataFrame, num_frames: int) -> DataFrame:
@@ -153,8 +151,9 @@ def batch_groups(
 ) -> DataFrame:
     """Add the batch a window falls into and how many windows are done with that batch."""
     positive("batch_size", batch_size)
-    ordered = order_by_key(windows, ("video_id",), order, max_rows=max_rows).scan(number="nth")
-    totals = windows.groupBy("video_id").agg(F.count(F.lit(1)).alias("total"))
+    counts = windows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    ordered = order_by_key(windows, ("video_id",), order, max_rows=max_rows, key_counts=counts).scan(number="nth")
+    totals = counts.withColumnRenamed("n", "total")
     batch = int_div(F.col("nth") - 1, batch_size)
     return (
         ordered.rows().join(totals, "video_id")

@@ -36,10 +36,20 @@ def sliding_windows(spark, folder):
     return W.sliding_windows(spans(spark, folder), window_seconds=21_600.0, stride_seconds=7_200.0)
 
 
-@query("sliding_windows_accumulated", grid_sql(21_600_000_000, 7_200_000_000))
+@query("sliding_windows_accumulated", f"""with recursive st(i, s) as (
+  select 0::bigint, 0.0::double union all select i + 1, s + 7199.9::double from st where s <= 100000000.0),
+{SPAN_SQL.removeprefix("with ")},
+d as (select video_id, d / 1000000.0::double as d from sp where d > 0),
+r as (select video_id, d, i, s from d join st on d > 21600.3::double and s <= d - 21600.3::double + 1e-9),
+m as (select video_id, d, max(i) as i, max(s) as s from r group by 1, 2),
+g as (
+  select video_id, i as ordinal, s as a, s + 21600.3::double as b from r
+  union all select video_id, i + 1, d - 21600.3::double, d from m where abs(s - (d - 21600.3::double)) > 1e-9 and d - 21600.3::double > 0
+  union all select video_id, 0, 0.0, d from d where d <= 21600.3::double)
+select video_id, ordinal, cast(round_even(a * 1e6, 0) as bigint) as start_us, cast(round_even(b * 1e6, 0) as bigint) as end_us from g""")
 def sliding_windows_accumulated(spark, folder):
-    """Whole-second strides add up exactly, so both forms agree."""
-    return W.sliding_windows(spans(spark, folder), window_seconds=21_600.0, stride_seconds=7_200.0, accumulate=True)
+    """A stride that has no exact double: starts drift as they are added up."""
+    return W.sliding_windows(spans(spark, folder), window_seconds=21_600.3, stride_seconds=7_199.9, accumulate=True)
 
 
 @query("window_grid_counts", f"""with {EVENTS_SQL}, {MEDIA_SQL}
