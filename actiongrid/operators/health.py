@@ -66,9 +66,7 @@ def entity_inventory(tables: Mapping[str, DataFrame]) -> DataFrame:
         [df.select(F.lit(name).alias("entity_type"), F.col("id").cast("string").alias("id"), "sha")
          for name, df in sorted(tables.items())],
     )
-    return rows.groupBy("entity_type").agg(
-        F.count(F.lit(1)).alias("entities"), set_hash("sha").alias("entities_sha256")
-    )
+    return set_hash(rows, "sha", ["entity_type"], count="entities", out="entities_sha256")
 
 
 def in_workspace(rows: DataFrame, workspace_id: str) -> DataFrame:

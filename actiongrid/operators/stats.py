@@ -87,12 +87,13 @@ def confirmed_only(rows: DataFrame) -> DataFrame:
 
 
 def snapshot(revisions: DataFrame, groups: Sequence[str], *, version: str, hash_columns: Sequence[str]) -> DataFrame:
-    """A statistics snapshot: counts per group, the hash of the exact revisions used, and
-    the version it is stored under. Recomputing over the same revisions gives the same rows."""
+    """A statistics snapshot: counts per group, the hash of the exact revisions used (of each
+    group, and of the snapshot as a whole), and the version it is stored under. Recomputing
+    over the same revisions gives the same rows."""
     hashed = revisions.withColumn("__h", content_hash(hash_columns))
-    return hashed.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), set_hash("__h").alias("revision_set_sha256")
-    ).withColumn("snapshot", F.lit(version))
+    whole = set_hash(hashed, "__h", out="snapshot_sha256").select("snapshot_sha256")
+    found = set_hash(hashed, "__h", groups, count="n", out="revision_set_sha256")
+    return found.join(F.broadcast(whole), F.lit(True)).withColumn("snapshot", F.lit(version))  # one row by construction
 
 
 def supersede(old: DataFrame, new: DataFrame, groups: Sequence[str]) -> DataFrame:

@@ -212,9 +212,7 @@ def row_hashes(rows: DataFrame, columns: Sequence[str], *, out: str = "content_s
 
 
 def table_hash(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return rows.select(content_hash(columns).alias("h")).agg(
-        F.count(F.lit(1)).alias("rows"), set_hash("h").alias("set_sha256")
-    )
+    return set_hash(rows.select(content_hash(columns).alias("h")), "h")
 
 
 # --- imports ---------------------------------------------------------------------

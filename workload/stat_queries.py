@@ -100,7 +100,8 @@ def playing_time(spark, folder):
 SNAP = """sha256('{"action":"' || action || '","event_id":"' || event_id || '"}')"""
 
 
-@query("stat_snapshot", f"with {EVENTS_SQL}, h as (select user_id, {SNAP} as h from ev) select user_id, count(*) as n, {set_sql('h')} as revision_set_sha256, 'v1' as snapshot from h group by user_id")
+@query("stat_snapshot", f"""with {EVENTS_SQL}, d as (select user_id, {SNAP} as h from ev), {set_sql('d', 'h', 's', 'user_id')}, {set_sql('d', 'h', 'w')}
+select user_id, s.n, s.h as revision_set_sha256, w.h as snapshot_sha256, 'v1' as snapshot from s, w""")
 def stat_snapshot(spark, folder):
     return S.snapshot(events(spark, folder), ["user_id"], version="v1", hash_columns=["event_id", "action"])
 
@@ -167,8 +168,8 @@ def storage_usage(spark, folder):
 @query("entity_counts", f"""with e as (
   select 'order' as entity_type, sha256(cast(o_orderkey as varchar)) as sha from orders
   union all select 'page', sha256(html) from pages
-  union all select 'document', sha256(text) from documents)
-select entity_type, count(*) as entities, {set_sql('sha')} as entities_sha256 from e group by entity_type""")
+  union all select 'document', sha256(text) from documents), {set_sql('e', 'sha', 's', 'entity_type')}
+select entity_type, n as entities, h as entities_sha256 from s""")
 def entity_counts(spark, folder):
     t = lambda n, i, h: table(spark, folder, n).select(F.col(i).alias("id"), F.sha2(F.col(h).cast("string"), 256).alias("sha"))
     return H.entity_inventory({"order": t("orders", "o_orderkey", "o_orderkey"), "page": t("pages", "page_id", "html"), "document": t("documents", "doc_id", "text")})

@@ -185,11 +185,13 @@ def fixed_snapshot(spark, folder):
 JSON_SQL = """sha256('{"o_custkey":"' || o_custkey || '","o_orderkey":"' || o_orderkey || '","o_orderstatus":"' || o_orderstatus || '"}')"""
 
 
-def set_sql(column: str) -> str:
-    parts = ", ".join(
-        f"cast(cast(sum(('0x' || substr({column}, {8 * i + 1}, 8))::bigint) % 4294967296 as bigint) as varchar)" for i in range(8)
-    )
-    return f"sha256(concat_ws(':', cast(count(*) as varchar), {parts}))"
+def set_sql(source: str, column: str, name: str, group: str = "") -> str:
+    """CTE `name`(group, n, h): rows and set hash of the digests of `source`."""
+    by = f"{group}, " if group else ""
+    return f"""
+{name}4 as (select {by}substr({column}, 1, 4) as p4, count(*) as n4, sha256(string_agg({column}, '' order by {column})) as h4 from {source} group by all),
+{name}2 as (select {by}substr(p4, 1, 2) as p2, sum(n4) as n2, sha256(string_agg(h4, '' order by p4, h4)) as h2 from {name}4 group by all),
+{name} as (select {by}cast(sum(n2) as bigint) as n, sha256(string_agg(h2, '' order by p2, h2)) as h from {name}2 {"group by all" if group else ""})"""
 
 
 @query("content_hash", f"select o_orderkey, {JSON_SQL} as content_sha256 from orders")
@@ -198,7 +200,7 @@ def content_hash(spark, folder):
     return V.row_hashes(rows, ["o_orderkey", "o_custkey", "o_orderstatus"]).select("o_orderkey", "content_sha256")
 
 
-@query("table_hash", f"select count(*) as rows, {set_sql('h')} as set_sha256 from (select {JSON_SQL} as h from orders)")
+@query("table_hash", f"with d as (select {JSON_SQL} as h from orders), {set_sql('d', 'h', 's')} select n as rows, h as set_sha256 from s")
 def table_hash(spark, folder):
     return V.table_hash(table(spark, folder, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
