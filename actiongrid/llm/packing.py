@@ -12,15 +12,16 @@ windows as the counts allow. Spark then ranks the pieces of each length and hand
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bpe import codec, slices, vocabulary_path
+from .bpe import arrow_runs, codec, vocabulary_path
 from .common import query, stored, table, texts
 
 #: Ranks within a length are counted in so many parts.
-PARTS = 256
+PARTS = 64
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -117,25 +118,24 @@ def token_pieces(
 
     def run(batches):
         book = codec(vocabulary)
-        for batch in batches:
-            at = 0
-            for texts_run in slices(batch["text"].tolist()):
-                names = batch["doc_id"].iloc[at:at + len(texts_run)]
-                at += len(texts_run)
-                ids, edges = book.encode(texts_run)
-                rows = []
-                for name, a, b in zip(names, edges, edges[1:]):
-                    whole = np.append(ids[a:b], end_id).astype("<u4")
-                    for start in range(0, len(whole), capacity):
-                        piece = whole[start:start + capacity]
-                        rows.append((name, start, len(piece), piece.tobytes(), len(whole)))
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens"])
+        for rows, run_texts in arrow_runs(batches):
+            ids, at = book.encode(run_texts)
+            sizes = np.diff(at) + 1
+            whole = np.insert(ids, at[1:], end_id).astype("<u4")
+            pieces = -(-sizes // capacity)
+            owner = np.repeat(np.arange(len(sizes)), pieces)
+            start = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * capacity
+            length = np.minimum(sizes[owner] - start, capacity)
+            first = (np.cumsum(sizes) - sizes)[owner] + start
+            raw = [whole[a:a + n].tobytes() for a, n in zip(first.tolist(), length.tolist())]
+            columns = [rows.column(0).take(pa.array(owner)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), pa.array(sizes[owner])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     rows = texts(docs, id_col, text_col)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
-        run, "doc_id string, start long, length long, ids binary, doc_tokens long"
-    ).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_col)
+    schema = T.StructType([rows.schema["doc_id"]])
+    for name, kind in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType())):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
 
 
 def sequences(packed: DataFrame, capacity: int = 2048, pad_id: int = 0) -> DataFrame:
