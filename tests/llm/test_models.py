@@ -220,7 +220,7 @@ def test_pitman_yor(spark):
     for context in (32, ord("a"), ord("b"), 200):
         total = passed[context] * totals.parent(0, 0)
         for r in held:
-            shares = np.frombuffer(bytes(r.shares), np.float64)[np.frombuffer(bytes(r.contexts), np.uint8) == context].sum()
+            shares = np.frombuffer(bytes(r.shares), np.float32)[np.frombuffer(bytes(r.contexts), np.uint8) == context].sum()
             total += shares + passed[context] * r.parent
         assert abs(total - 1) < 0.05
     assert pitman_yor.score(docs.limit(0), model, totals).count() == 0
