@@ -83,25 +83,25 @@ def _turns(best: np.ndarray) -> np.ndarray:
 
 
 def _candidates(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(k1, anchor, place) of every anchor of every text."""
+    """(k1, anchor, n): every anchor of every text and how often it is one there."""
 
     def run(batches):
         for batch in batches:
             out = []
             for i, _, code, best in _anchored(batch["text"].tolist(), window, gram):
-                place = best[_turns(best)]
-                out.append((np.full(len(place), i), code[place], place))
+                kinds, n = np.unique(code[best[_turns(best)]], return_counts=True)
+                out.append((np.full(len(n), i), kinds, n))
             if out:
-                which, code, place = (np.concatenate(x) for x in zip(*out))
+                which, kinds, n = (np.concatenate(x) for x in zip(*out))
                 yield pd.DataFrame({
-                    "k1": batch["k1"].to_numpy()[which], "anchor": code.view(np.int64), "place": place.astype(np.int32),
+                    "k1": batch["k1"].to_numpy()[which], "anchor": kinds.view(np.int64), "n": n.astype(np.int32),
                 })
 
-    return rows.mapInPandas(run, "k1 long, anchor long, place int")
+    return rows.mapInPandas(run, "k1 long, anchor long, n int")
 
 
-def _stretches(named: DataFrame, places: str, window: int, gram: int) -> DataFrame:
-    """(k1, k2, starts, anchor, words): every run of windows whose one anchor is in `places`.
+def _stretches(named: DataFrame, live: str, window: int, gram: int) -> DataFrame:
+    """(k1, k2, starts, anchor, words): every run of windows whose one anchor is in `live`.
 
     Runs of a document that are alike, as in repeated lines, share a row.
     """
@@ -110,14 +110,13 @@ def _stretches(named: DataFrame, places: str, window: int, gram: int) -> DataFra
     def run(batches):
         for batch in batches:
             out = []
-            k1, k2, chosen = batch["k1"].tolist(), batch["k2"].tolist(), batch[places].tolist()
+            k1, k2, chosen = batch["k1"].tolist(), batch["k2"].tolist(), batch[live].tolist()
             for i, words, code, best in _anchored(batch["text"].tolist(), window, gram):
-                live = np.zeros(len(words), bool)
-                live[chosen[i][chosen[i] < len(words)]] = True
                 starts = _turns(best)
                 ends = np.r_[starts[1:], len(best)]
-                take = live[best[starts]]
-                anchor = code[best[starts[take]]].view(np.int64).tolist()
+                own_anchor = code[best[starts]].view(np.int64)
+                take = np.isin(own_anchor, chosen[i])
+                anchor = own_anchor[take].tolist()
                 own: dict[bytes, list] = {}
                 for a, b, c in zip(starts[take].tolist(), ends[take].tolist(), anchor):
                     joined = b" ".join(words[a:b + window - 1])
@@ -132,7 +131,7 @@ def _stretches(named: DataFrame, places: str, window: int, gram: int) -> DataFra
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
-    return named.where(F.size(places) > 0).mapInPandas(run, "k1 long, k2 long, starts array<int>, anchor long, words binary")
+    return named.where(F.size(live) > 0).mapInPandas(run, "k1 long, k2 long, starts array<int>, anchor long, words binary")
 
 
 def deep_nodes(stretches: list[list[bytes]], weights: np.ndarray, window: int) -> list[np.ndarray]:
@@ -212,7 +211,7 @@ def _crowded(stretches: DataFrame, window: int) -> DataFrame:
 
 
 def repeats(rows: DataFrame, window: int, gram: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(rows with the places of repeated anchors, repeats) of rows(k1, k2, doc, text).
+    """(rows with their repeated anchors, repeats) of rows(k1, k2, doc, text).
 
     A repeat is (k1, k2, starts, bits): bit i of bits is set if repeated windows start i words
     after each of starts. Both belong to one plan, in which texts are dealt out by k1 once.
@@ -220,14 +219,14 @@ def repeats(rows: DataFrame, window: int, gram: int, group_rows: int) -> tuple[D
     if not 1 <= gram <= window or window - gram > 61:
         raise ValueError("1 <= gram <= window <= gram + 61")
     found = _candidates(rows.select("k1", "text"), window, gram)
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = again.select((F.col("anchor") + F.lit(0)).alias("seen"), (F.col("n") > group_rows).alias("crowd"))
+    again = found.groupBy("anchor").agg(F.sum("n").alias("all")).where("all > 1")
+    again = again.select((F.col("anchor") + F.lit(0)).alias("seen"), (F.col("all") > group_rows).alias("crowd"))
     live = stored(found.join(again, found["anchor"] == again["seen"]).groupBy("k1").agg(
-        F.collect_list(F.when(~F.col("crowd"), F.col("place"))).alias("places"),
-        F.collect_list(F.when(F.col("crowd"), F.col("place"))).alias("crowded"),
-    ), "places")
+        F.collect_list(F.when(~F.col("crowd"), F.col("anchor"))).alias("few"),
+        F.collect_list(F.when(F.col("crowd"), F.col("anchor"))).alias("crowded"),
+    ), "anchors")
     named = rows.join(live, "k1", "left")
-    few = _stretches(named, "places", window, gram)
+    few = _stretches(named, "few", window, gram)
     few = few.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_subtrees(window), "k1 long, k2 long, starts array<int>, bits long")
     if live.where(F.size("crowded") > 0).isEmpty():
         return named, few
