@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .common import query, table, texts
 
 #: Distinct fragments that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,7 +99,7 @@ class Codec:
         if len(plain) != 256 + len(merges):
             return None
         ranked = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=plain, special_tokens={})
-        return ranked.encode_ordinary
+        return ranked._core_bpe.encode_ordinary  # the public method only adds a guard for broken text
 
     def _forget(self) -> None:
         self.place: dict[bytes, int] = {}
