@@ -1,5 +1,6 @@
 """Trained operators against brute force and held-out rows."""
 
+import inspect
 import math
 import os
 import random
@@ -191,6 +192,12 @@ def test_seats():
     assert (pitman_yor.seat(counts, np.full(7, 1e12), 0.5, rng) == counts).all()
 
 
+def test_pitman_yor_sweeps():
+    """Three rounds and a last pass of two burnt sweeps each, four more kept: 12 a word."""
+    given = {k: v.default for k, v in inspect.signature(pitman_yor.fit).parameters.items()}
+    assert (given["rounds"], given["burn"], given["keep"]) == (3, 2, 4)
+
+
 def test_pitman_yor(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdef", k=3)) for _ in range(60)]
