@@ -1,20 +1,27 @@
 """Content identities.
 
 A row hash is SHA-256 over ordered JSON. The hash of a *set* of rows is SHA-256 over their
-sorted digests, taken in three steps so that no task holds a whole set: digests that share
-four hex digits are sorted and hashed together, then the results that share two, then those.
+sorted digests, each as often as it occurs, taken in three steps: the digests that share four
+hex digits are hashed together, then the results that share two, then those. Copies are counted
+before the shuffle, and the first step reads (digest, count) rows in order and feeds them to the
+hash one after the other, so no task holds a list of digests, whatever their number or copies.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: Hex digits that the digests hashed together share, step by step. The first step forms
-#: 65,536 lists; a set of 10^10 rows gives each about 150,000 digests.
+#: Hex digits that the digests hashed together share, step by step. After the first step a
+#: list has at most 256 items.
 STEPS = (4, 2, 0)
+#: Copies of one digest passed to the hash at once, a megabyte.
+COPIES = 1 << 14
 
 
 def content_hash(columns: Sequence[str]) -> Column:
@@ -23,14 +30,50 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
+def _hash_runs(batches):
+    """(groups.., __p, __n, __h) of each run of equal (groups.., __p). Rows are (groups.., __p,
+    __h, __n) in that order; null digests count but are not hashed."""
+    key = first = state = None
+    n = 0
+
+    def row() -> pa.RecordBatch:
+        ends = [pa.array([n], pa.int64()), pa.array([state and state.hexdigest()], pa.string())]
+        return pa.RecordBatch.from_arrays(first.columns + ends, [*first.schema.names, "__n", "__h"])
+
+    for batch in batches:
+        keys = batch.select(batch.schema.names[:-2])
+        rows = zip(*(c.to_pylist() for c in batch.columns))
+        for i, (*own, digest, copies) in enumerate(rows):
+            own = repr(own)  # NaN equals itself
+            if own != key:
+                if key is not None:
+                    yield row()
+                key, first, state, n = own, keys.slice(i, 1), None, 0
+            n += copies
+            if digest is not None:
+                state = state or hashlib.sha256()
+                data = digest.encode()
+                for _ in range(copies // COPIES):
+                    state.update(data * COPIES)
+                state.update(data * (copies % COPIES))
+    if key is not None:
+        yield row()
+
+
 def set_hash(rows: DataFrame, digest: str, groups: Sequence[str] = (), *, count: str = "rows", out: str = "set_sha256") -> DataFrame:
     """(groups.., count, out): rows and set hash of the hex digests of each group; without
-    groups one row, also for an empty table. The order of rows does not matter."""
-    level = rows.select(*groups, F.col(digest).alias("__h"), F.substring(digest, 1, STEPS[0]).alias("__p"), F.lit(1).cast("long").alias("__n"))
-    for length in STEPS:
+    groups one row, also for an empty table. The order of rows does not matter. Null digests
+    are counted and not hashed."""
+    level = rows.groupBy(*groups, F.col(digest).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
+    level = level.select(*groups, F.coalesce(F.substring("__h", 1, STEPS[0]), F.lit("")).alias("__p"), "__h", "__n")
+    keys = [*groups, "__p"]
+    schema = StructType([*(level.schema[k] for k in keys), StructField("__n", LongType()), StructField("__h", StringType())])
+    level = level.repartition(*keys).sortWithinPartitions(*keys, "__h").mapInArrow(_hash_runs, schema)
+    for length in STEPS[1:]:
         items = F.array_sort(F.collect_list(F.struct("__p", "__h")))
+        joined = F.sha2(F.concat_ws("", F.transform(items, lambda e: e["__h"])), 256)
         level = level.groupBy(*groups, F.substring("__p", 1, length).alias("__to")).agg(
-            F.sum("__n").alias("__n"), F.sha2(F.concat_ws("", F.transform(items, lambda e: e["__h"])), 256).alias("__h")
+            F.sum("__n").alias("__n"), F.when(F.max("__h").isNotNull(), joined).alias("__h")
         ).withColumnRenamed("__to", "__p")
     found = level.select(*groups, F.col("__n").alias(count), F.col("__h").alias(out))
     if groups:

@@ -1,7 +1,10 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from actiongrid.domain import ReviewError
+from actiongrid.functions.hashing import set_hash
 from actiongrid.operators import health as H
 from actiongrid.operators import stats as S
 from actiongrid.operators import versions as V
@@ -81,6 +84,40 @@ def test_hashes_ignore_order_and_partitions(spark):
     assert len(V.row_hashes(rows, ["id"]).first().content_sha256) == 64
 
 
+def brute_set_hash(digests):
+    level = [(d, d) for d in sorted(d for d in digests if d is not None)]
+    for length in (4, 2, 0):
+        parts = {}
+        for prefix, h in level:
+            parts.setdefault(prefix[:length], []).append(h)
+        level = [(p, hashlib.sha256("".join(hs).encode()).hexdigest()) for p, hs in sorted(parts.items())]
+    return level[0][1] if level else None
+
+
+def test_set_hash_of_copies_and_nulls(spark):
+    sha = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [("a", sha(i % 900)) for i in range(2000)] + [("a", sha(1))] * 40_000 + [(g, None) for g in ("a", "b", "c", "c")] + [("b", sha(7))] * 3 + [(None, sha(8))]
+    df = spark.createDataFrame(rows, "g string, h string").repartition(7)
+    got = {r.g: (r.rows, r.set_sha256) for r in set_hash(df, "h", ["g"]).collect()}
+    assert got == {g: (len(own), brute_set_hash(own)) for g in ("a", "b", "c", None) for own in [[h for k, h in rows if k == g]]}
+    whole = set_hash(df, "h").collect()
+    assert [(r.rows, r.set_sha256) for r in whole] == [(len(rows), brute_set_hash([h for _, h in rows]))]
+    empty = set_hash(df.limit(0), "h").collect()
+    assert [(r.rows, r.set_sha256) for r in empty] == [(0, hashlib.sha256(b"").hexdigest())]
+
+
+def test_set_hash_of_a_hot_digest(spark):
+    """Copies that would make a string of over 2 GB."""
+    h, copies = hashlib.sha256(b"hot").hexdigest(), 34_000_000
+    state = hashlib.sha256()
+    for _ in range(34):
+        state.update(h.encode() * 1_000_000)
+    want = state.hexdigest()
+    for _ in range(2):
+        want = hashlib.sha256(want.encode()).hexdigest()
+    assert tuple(set_hash(spark.range(copies).select(F.lit(h).alias("h")), "h").first()) == (copies, want)
+
+
 def test_imports(spark):
     jobs = spark.createDataFrame([(1, "w", "csv", "h1", 1, ""), (2, "w", "csv", "h1", 1, ""), (3, "w", "csv", "h2", 1, "")],
                                  "job_id int, workspace_id string, import_kind string, source_sha256 string, contract_version int, options string"
