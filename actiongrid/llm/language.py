@@ -28,6 +28,16 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
+def lettered(text):
+    """has_letter of a text column; false for null."""
+
+    @F.pandas_udf("boolean")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(has_letter).astype(bool)
+
+    return of(text)
+
+
 def _bytes(text: str) -> np.ndarray:
     """The lowered text's bytes; runs of ASCII white space count as one blank."""
     return np.frombuffer(b" ".join(text.lower().encode("utf-8", "surrogatepass").split()), np.uint8)

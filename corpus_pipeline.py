@@ -7,15 +7,19 @@ from pyspark.sql import functions as F
 
 from actiongrid.llm.common import stored, table
 from actiongrid.llm.exact_dedup import unique_rows
-from actiongrid.llm.language import UNKNOWN, fit, judge
+from actiongrid.llm.language import UNKNOWN, fit, judge, lettered
 from actiongrid.llm.packing import packed_digests
 from actiongrid.llm.simhash import representatives
 from actiongrid.llm.substring_dedup import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language ID rejects: null texts and texts without a letter."""
-    return docs.where(judge(spark, fit(docs))(docs["text"])["lang_pred"] != UNKNOWN)
+    """Drops the documents that language ID rejects: null texts and texts without a letter.
+    Without labels there is no model, and the same rule is applied without one."""
+    model = fit(docs)
+    if model is None:
+        return docs.where(lettered(docs["text"]))
+    return docs.where(judge(spark, model)(docs["text"])["lang_pred"] != UNKNOWN)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,6 +51,13 @@ def test_stages(spark):
     assert got == {i: len(book.encode([t])[0]) + 1 for i, t in expect.items()}
 
 
+def test_language_id_without_labels(spark):
+    rows = [(1, "some words"), (2, "12 34"), (3, ""), (4, None), (5, "é"), (5, "é")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, docs, "unused").collect()
+    assert sorted((r.doc_id, r.text, r.lang) for r in kept) == [(1, "some words", None), (5, "é", None), (5, "é", None)]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
