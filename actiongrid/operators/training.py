@@ -62,6 +62,27 @@ def fit_window_classifier(
     return best[0], {"best_epoch": best[2], "best_macro_f1": best[1], "labels": list(labels), "history": history}
 
 
+def epoch_scores(rows: DataFrame, report: dict) -> DataFrame:
+    """(epoch, split, samples, accuracy, macro_f1, beats_majority) of the report of a fit on
+    `rows`: every epoch on train and val. The flag tells whether more rows are right than the
+    most frequent label of the train split (ties: the first label) would get right."""
+    seen = []
+    for h in report["history"]:
+        for split in ("train", "val"):
+            cells = h[split]["confusion_matrix"]["values"]
+            right = sum(row[i] for i, row in enumerate(cells))
+            seen.append((h["epoch"], split, h[split]["samples"], right, h[split]["accuracy"], h[split]["macro_f1"]))
+    # one row per epoch and split
+    scored = rows.sparkSession.createDataFrame(seen, "epoch int, split string, samples long, correct long, accuracy double, macro_f1 double")
+    counted = rows.where(F.col("label").isin(report["labels"])).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = counted.where("split = 'train'").orderBy(F.desc("n"), "label").limit(1).select("label")
+    common = counted.join(top, "label").select("split", F.col("n").alias("by_majority"))
+    return scored.join(common, "split", "left").select(
+        "epoch", "split", "samples", "accuracy", "macro_f1",
+        (F.col("correct") > F.coalesce("by_majority", F.lit(0))).alias("beats_majority"),
+    )
+
+
 def weighted_loss(scored: DataFrame) -> DataFrame:
     """Mean negative log likelihood per epoch of (epoch, probability of the true class)."""
     return scored.groupBy("epoch").agg(

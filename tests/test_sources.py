@@ -5,7 +5,7 @@ import pytest
 from actiongrid.domain import EVENT_COLUMNS, WINDOWS
 from actiongrid.operators.events import event_table, merge_windows
 from actiongrid.operators.inference import infer_events, score_windows, window_grid
-from actiongrid.operators.training import fit_window_classifier, weighted_loss
+from actiongrid.operators.training import epoch_scores, fit_window_classifier, weighted_loss
 from actiongrid.sources.documents import read_match
 from actiongrid.sources.sinks import inference_documents, read_record, write_documents, write_events_csv, write_record
 
@@ -61,3 +61,38 @@ def test_training(spark):
         fit_window_classifier(df.where("split = 'train'"), ("a", "b"))
     loss = weighted_loss(spark.createDataFrame([(1, 1.0), (1, 1.0)], "epoch int, probability double")).first()
     assert (loss.samples, loss.loss) == (2, 0.0)
+
+
+@pytest.mark.parametrize("learnable", [True, False])
+def test_epoch_scores(spark, learnable):
+    from pyspark.ml.linalg import Vectors
+
+    labels = ("a", "b", "c")
+    rows = [(Vectors.dense([float(i % 3 == 1 and i % 7 > 0), float(i % 3 == 2)] if learnable else [0.0, 0.0]), labels[i % 3], "val" if i % 5 == 0 else "train")
+            for i in range(91)]
+    df = spark.createDataFrame(rows, ["features", "label", "split"])
+    model, report = fit_window_classifier(df, labels, max_iterations=(4,))
+    guess = {r.features: int(r.prediction) for r in model.transform(df.select("features").distinct()).collect()}
+    train = [label for _, label, split in rows if split == "train"]
+    common = max(labels, key=train.count)
+    got = {r.split: r for r in epoch_scores(df, report).collect()}
+    assert set(got) == {"train", "val"}
+    for split, r in got.items():
+        pairs = [(label, labels[guess[x]]) for x, label, s in rows if s == split]
+        right = sum(a == b for a, b in pairs)
+        f1 = [2 * sum(a == b == c for a, b in pairs) / max(sum((a == c) + (b == c) for a, b in pairs), 1) for c in labels]
+        assert (r.epoch, r.samples) == (1, len(pairs))
+        assert abs(r.accuracy - right / len(pairs)) < 1e-6 and abs(r.macro_f1 - sum(f1) / 3) < 1e-6
+        assert r.beats_majority == (right > sum(a == common for a, _ in pairs))
+    assert {r.beats_majority for r in got.values()} == {learnable} or not learnable
+    assert not learnable or min(r.accuracy for r in got.values()) > 0.9
+    assert learnable or not got["train"].beats_majority
+
+
+def test_train_scores_query(spark):
+    from workload import load
+
+    queries, twins = load()
+    rows = queries["train_scores"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.epoch, r.split) for r in rows) == [(1, "train"), (1, "val"), (2, "train"), (2, "val")]
+    assert "train_scores" not in twins and "train_eval" in twins
