@@ -16,12 +16,10 @@ occurrences (the empty one above all) are merged in parts by the hash of the fol
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +27,13 @@ from .bpe import arrow_runs
 from .common import query, stored, table
 from .grams import WordHashes, bit_table, gram_hashes, may_hold, mixed
 
-#: Entries of stripes that a task holds before it emits them.
-HELD = 300_000
+#: Occurrences that a task holds before it folds and emits them, and words that it numbers.
+HELD = 3_000_000
+WORDS = 400_000
+#: Stripes of an Arrow batch.
+BATCH = 50_000
+#: Stands for a dictionary of hot prefixes: every prefix has SHARE parts.
+ALL = "all"
 #: A prefix with more than 1 / SHARE of all occurrences is merged in parts of that size.
 SHARE = 2000
 
@@ -62,61 +65,122 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
     return phrases.select("lang", "phrase").mapInArrow(run, "code long")
 
 
+class Vocabulary(dict):
+    """Numbers of words as they come, with their hashes; 0 is the empty word."""
+
+    def __init__(self):
+        super().__init__({b"": 0})
+        self.words = [b""]
+        self.hashes = np.zeros(1 << 10, np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        if number == len(self.hashes):
+            self.hashes = np.concatenate([self.hashes, np.zeros(number, np.uint64)])
+        self.hashes[number] = xxhash.xxh64_intdigest(word, 5)
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def _occurrences(ids: np.ndarray, counts: np.ndarray, size: int, hashes: np.ndarray, sieve: np.ndarray, salt: np.uint64) -> list[np.ndarray]:
+    """Columns (prefix words and the next word) of all occurrences of prefixes of `size` words.
+
+    ids are the words of pieces of `counts` words each. Without a piece, a frequent prefix or a
+    frequent rest the next word is the empty one, or the occurrence is left out.
+    """
+    if not size:
+        return [ids]
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(ids))
+    known = may_hold(sieve, mixed(gram_hashes(hashes[ids], size) ^ salt))
+    known &= left[:len(known)] >= size
+    more = np.zeros(len(known), bool)
+    more[:-1] = known[1:]  # the words behind the prefix's first are frequent as well
+    more &= left[:len(known)] > size
+    at = np.flatnonzero(known)
+    following = np.zeros(len(at), np.int64)
+    longer = more[at]
+    following[longer] = ids[at[longer] + size]
+    return [*(ids[at + i] for i in range(size)), following]
+
+
+def _folded(columns: list[np.ndarray], hashes: np.ndarray, words: pa.Array, langs: list[str], hot) -> list[pa.RecordBatch]:
+    """Equal occurrences counted, and entries of one prefix put into one stripe."""
+    size, base = len(columns) - 2, len(words)
+    key, top = columns[0].astype(np.int64), len(langs)
+    for column in columns[1:]:
+        if top * base >= 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+            top = len(key)
+        key, top = key * base + column, top * base
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    lang, *prefix, following = (c[first] for c in columns)
+    turn = np.zeros(len(first), bool)
+    turn[:1] = True
+    for column in (lang, *prefix):
+        turn[1:] |= column[1:] != column[:-1]
+    names = pa.array(langs, pa.string()).take(pa.array(lang[turn]))
+    text = pa.array([b""] * int(turn.sum()), pa.binary())
+    if size:
+        text = words.take(pa.array(prefix[0][turn]))
+        for column in prefix[1:]:
+            text = pc.binary_join_element_wise(text, words.take(pa.array(column[turn])), pa.scalar(b" ", pa.binary()))
+    parts = np.ones(len(text), np.int64)
+    if hot == ALL:
+        parts[:] = SHARE
+    elif hot:
+        keys = pa.array(sorted({prefix for _, prefix in hot}), pa.binary())
+        for i in np.flatnonzero(pc.is_in(text, keys).to_numpy(zero_copy_only=False)).tolist():
+            parts[i] = hot.get((names[i].as_py(), text[i].as_py()), 1)
+    group = np.cumsum(turn) - 1
+    part = (hashes[following] % parts[group].astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((part, group))
+    group, part, following, counts = group[order], part[order], following[order], counts[order]
+    turn = np.ones(len(group), bool)
+    turn[1:] = (group[1:] != group[:-1]) | (part[1:] != part[:-1])
+    starts = np.flatnonzero(turn)
+    offsets = pa.array(np.append(starts, len(group)).astype(np.int32))
+    owner = pa.array(group[starts])
+    whole = pa.RecordBatch.from_arrays(
+        [names.take(owner), text.take(owner), pa.array(part[starts].astype(np.int32)),
+         pa.ListArray.from_arrays(offsets, words.take(pa.array(following))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))],
+        ["lang", "prefix", "part", "words", "counts"],
+    )
+    return [whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)]
+
+
 def _counted(rows: DataFrame, size: int, bits, hot) -> DataFrame:
     """(lang, prefix, part, words, counts): stripes of prefixes of `size` words, not yet merged."""
     context = rows.sparkSession.sparkContext
     sieve, parts = context.broadcast(bits), context.broadcast(hot)
 
-    def emitted(held: dict):
-        stripes: dict = {}
-        for lang, counter in held.items():
-            for key, count in counter.items():
-                prefix, _, word = key.rpartition(b" ")
-                n = parts.value.get((lang, prefix), 1)
-                part = zlib.crc32(word) % n if n > 1 else 0
-                words, counts = stripes.setdefault((lang, prefix, part), ([], []))
-                words.append(word)
-                counts.append(count)
-        if stripes:
-            langs, prefixes, numbers = zip(*stripes)
-            words, counts = zip(*stripes.values())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(prefixes, pa.binary()), pa.array(numbers, pa.int32()),
-                 pa.array(words, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))],
-                ["lang", "prefix", "part", "words", "counts"],
-            )
-
-    def keys(pieces: list[list[bytes]], salt: np.uint64, hashes: WordHashes):
-        words = [w for piece in pieces for w in piece]
-        if not size:
-            return words
-        codes = hashes.of(words)
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        left = np.repeat(np.cumsum(counts), counts) - np.arange(len(words))
-        known = may_hold(sieve.value, mixed(gram_hashes(codes, size) ^ salt))
-        known &= left[:len(known)] >= size
-        more = np.zeros(len(known), bool)
-        more[:-1] = known[:-1] & known[1:]  # prefix and the words behind its first are both frequent
-        more &= left[:len(known)] > size
-        reach = size + 1
-        longer = [b" ".join(words[i:i + reach]) for i in np.flatnonzero(known & more).tolist()]
-        ended = [b" ".join(words[i:i + size]) + b" " for i in np.flatnonzero(known & ~more).tolist()]
-        return longer + ended
-
     def run(batches):
-        hashes = WordHashes()
-        held: dict[str, Counter] = {}
+        known, langs, held, n = Vocabulary(), {}, [], 0
+
+        def emitted():
+            columns = [np.concatenate(c) for c in zip(*held)]
+            yield from _folded(columns, known.hashes, pa.array(known.words, pa.binary()), list(langs), parts.value)
+
         for rows_, run_texts in arrow_runs(batches):
             by_lang: dict[str, list] = {}
             for lang, text in zip(rows_.column(0).to_pylist(), run_texts):
                 by_lang.setdefault(lang, []).extend(pieces_of(text))
             for lang, pieces in by_lang.items():
-                if pieces:
-                    held.setdefault(lang, Counter()).update(keys(pieces, _salt(lang), hashes))
-            if sum(map(len, held.values())) > HELD:
-                yield from emitted(held)
-                held = {}
-        yield from emitted(held)
+                ids = known.of([w for piece in pieces for w in piece])
+                counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                found = _occurrences(ids, counts, size, known.hashes, sieve.value, _salt(lang))
+                number = langs.setdefault(lang, len(langs))
+                held.append([np.full(len(found[0]), number, np.int32), *(c.astype(np.int32) for c in found)])
+                n += len(found[0])
+            if n > HELD or len(known) > WORDS:
+                yield from emitted()
+                held, n = [], 0
+                if len(known) > WORDS:
+                    known = Vocabulary()
+        if n:
+            yield from emitted()
 
     return rows.mapInArrow(run, "lang string, prefix binary, part int, words array<binary>, counts array<long>")
 
@@ -155,7 +219,7 @@ def collocations(
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     levels, total, grams = [], None, None
-    bits, hot = np.zeros(1, np.uint64), _Root()
+    bits, hot = np.zeros(1, np.uint64), ALL
     for size in range(most_words):
         level = stored(stripes(rows, size, least, bits, hot), f"stripes-{size}")
         levels.append(level)
@@ -191,7 +255,6 @@ def collocations(
             one = one.join(prefix_totals(k).withColumn("left", text(F.col("left"))), ["lang", "left"])
             rest = known[size - k].select("lang", text(F.col("phrase")).alias("right"), F.col("f").alias("r"))
             one = one.join(rest, ["lang", "right"])
-            wide = lambda c: F.col(c).cast("decimal(20,0)")
             score = F.expr(f"cast(a as decimal(20,0)) * {scale} div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
             cuts.append(one.select("lang", "phrase", "a", F.struct(score.alias("score"), F.lit(k).alias("k"), "l", "r").alias("cut")))
         joined = cuts[0]
@@ -215,13 +278,6 @@ def collocations(
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
-class _Root(dict):
-    """The empty prefix has SHARE parts in every language."""
-
-    def get(self, key, default=None):
-        return SHARE
-
-
 @query("op13_collocations", """
     WITH pieces AS (
         SELECT coalesce(lang, 'und') AS lang,

@@ -190,6 +190,8 @@ def test_collocations(spark, monkeypatch, least, most, top, share):
 
     monkeypatch.setattr(module, "SHARE", share)
     monkeypatch.setattr(module, "HELD", 50)
+    monkeypatch.setattr(module, "WORDS", 20 if least == 2 else 400_000)
+    monkeypatch.setattr(module, "BATCH", 3)
     rng = random.Random(most)
     words = ["new", "York", "city", "of", "the", "Éa", "a", "b ", "\x00q"]
     rows = [(rng.choice(["en", "fr", None, "und"]), rng.choice([" ", "\t", "  "]).join(rng.choices(words, [4, 4, 2, 3, 3, 1, 1, 1, 1], k=rng.randint(0, 40)))) for _ in range(60)]
