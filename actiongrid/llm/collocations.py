@@ -28,10 +28,12 @@ from .common import query, stored, table
 from .grams import WordHashes, bit_table, gram_hashes, may_hold, mixed
 
 #: Occurrences that a task holds before it folds and emits them, and words that it numbers.
-HELD = 3_000_000
-WORDS = 400_000
+HELD = 1_000_000
+WORDS = 150_000
+#: Words looked at in one go.
+TOGETHER = 100_000
 #: Stripes of an Arrow batch.
-BATCH = 50_000
+BATCH = 10_000
 #: Stands for a dictionary of hot prefixes: every prefix has SHARE parts.
 ALL = "all"
 #: A prefix with more than 1 / SHARE of all occurrences is merged in parts of that size.
@@ -40,10 +42,34 @@ SHARE = 2000
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 
 
-def pieces_of(text: str) -> list[list[bytes]]:
+def pieces_of(text: str):
     """Words (ended by spaces and tabs) of the pieces between `.,;:!?` and line ends; A-Z lowered."""
-    split = text.encode("utf-8", "surrogatepass").translate(_LETTERS).split(b"\n")
-    return [words for words in map(bytes.split, split) if words]
+    for piece in text.encode("utf-8", "surrogatepass").translate(_LETTERS).split(b"\n"):
+        words = piece.split()
+        if words:
+            yield words
+
+
+def _portions(texts: list[str], size: int):
+    """(words, words of each piece, prefixes of each piece) in portions of about TOGETHER words.
+
+    A longer piece is cut; its parts repeat `size` words of the next, so each prefix and the
+    word behind it lie in one part, and only the prefixes that begin before are its own.
+    """
+    words: list[bytes] = []
+    counts, own = [], []
+    for text in texts:
+        for piece in pieces_of(text):
+            for at in range(0, len(piece), TOGETHER):
+                part = piece[at:at + TOGETHER + size] if len(piece) > TOGETHER else piece
+                words += part
+                counts.append(len(part))
+                own.append(min(TOGETHER, len(piece) - at))
+                if len(words) > TOGETHER:
+                    yield words, np.array(counts), np.array(own)
+                    words, counts, own = [], [], []
+    if words:
+        yield words, np.array(counts), np.array(own)
 
 
 def _salt(lang: str) -> np.uint64:
@@ -85,20 +111,22 @@ class Vocabulary(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _occurrences(ids: np.ndarray, counts: np.ndarray, size: int, hashes: np.ndarray, sieve: np.ndarray, salt: np.uint64) -> list[np.ndarray]:
+def _occurrences(ids: np.ndarray, counts: np.ndarray, own: np.ndarray, size: int, hashes: np.ndarray, sieve: np.ndarray, salt: np.uint64) -> list[np.ndarray]:
     """Columns (prefix words and the next word) of all occurrences of prefixes of `size` words.
 
-    ids are the words of pieces of `counts` words each. Without a piece, a frequent prefix or a
-    frequent rest the next word is the empty one, or the occurrence is left out.
+    ids are the words of pieces of `counts` words each, of which the first `own` begin a prefix.
+    Prefixes that are not frequent are left out; where the words behind the first of a prefix
+    are not, or the piece ends, the next word is the empty one.
     """
     if not size:
-        return [ids]
+        return [ids]  # no piece of a cut repeats a word then
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(ids))
-    known = may_hold(sieve, mixed(gram_hashes(hashes[ids], size) ^ salt))
-    known &= left[:len(known)] >= size
-    more = np.zeros(len(known), bool)
-    more[:-1] = known[1:]  # the words behind the prefix's first are frequent as well
-    more &= left[:len(known)] > size
+    held = may_hold(sieve, mixed(gram_hashes(hashes[ids], size) ^ salt))
+    left, own = left[:len(held)], np.repeat(counts - own, counts)[:len(held)]
+    known = held & (left >= size) & (left > own)
+    more = np.zeros(len(held), bool)
+    more[:-1] = held[1:]  # the words behind the prefix's first are frequent as well
+    more &= left > size
     at = np.flatnonzero(known)
     following = np.zeros(len(at), np.int64)
     longer = more[at]
@@ -166,19 +194,18 @@ def _counted(rows: DataFrame, size: int, bits, hot) -> DataFrame:
         for rows_, run_texts in arrow_runs(batches):
             by_lang: dict[str, list] = {}
             for lang, text in zip(rows_.column(0).to_pylist(), run_texts):
-                by_lang.setdefault(lang, []).extend(pieces_of(text))
-            for lang, pieces in by_lang.items():
-                ids = known.of([w for piece in pieces for w in piece])
-                counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-                found = _occurrences(ids, counts, size, known.hashes, sieve.value, _salt(lang))
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
                 number = langs.setdefault(lang, len(langs))
-                held.append([np.full(len(found[0]), number, np.int32), *(c.astype(np.int32) for c in found)])
-                n += len(found[0])
-            if n > HELD or len(known) > WORDS:
-                yield from emitted()
-                held, n = [], 0
-                if len(known) > WORDS:
-                    known = Vocabulary()
+                for words, counts, own in _portions(texts, size):
+                    found = _occurrences(known.of(words), counts, own, size, known.hashes, sieve.value, _salt(lang))
+                    held.append([np.full(len(found[0]), number, np.int32), *(c.astype(np.int32) for c in found)])
+                    n += len(found[0])
+                    if n > HELD or len(known) > WORDS:
+                        yield from emitted()
+                        held, n = [], 0
+                        if len(known) > WORDS:
+                            known = Vocabulary()
         if n:
             yield from emitted()
 

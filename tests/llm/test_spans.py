@@ -181,7 +181,7 @@ def brute_collocations(rows, least, most, top):
 
 
 def test_pieces():
-    assert pieces_of("A b\tC.d e;; f\x0b\n\rg\x00h!") == [[b"a", b"b", b"c"], ["d e".encode()], [b"f"], [b"g\x00h"]]
+    assert list(pieces_of("A b\tC.d e;; f\x0b\n\rg\x00h!")) == [[b"a", b"b", b"c"], ["d e".encode()], [b"f"], [b"g\x00h"]]
 
 
 @pytest.mark.parametrize("least,most,top,share", [(3, 4, 2000, 2000), (2, 3, 5, 3), (30, 4, 10, 7)])
@@ -192,6 +192,7 @@ def test_collocations(spark, monkeypatch, least, most, top, share):
     monkeypatch.setattr(module, "HELD", 50)
     monkeypatch.setattr(module, "WORDS", 20 if least == 2 else 400_000)
     monkeypatch.setattr(module, "BATCH", 3)
+    monkeypatch.setattr(module, "TOGETHER", 100_000 if least == 30 else 7)
     rng = random.Random(most)
     words = ["new", "York", "city", "of", "the", "Éa", "a", "b ", "\x00q"]
     rows = [(rng.choice(["en", "fr", None, "und"]), rng.choice([" ", "\t", "  "]).join(rng.choices(words, [4, 4, 2, 3, 3, 1, 1, 1, 1], k=rng.randint(0, 40)))) for _ in range(60)]
@@ -239,3 +240,23 @@ def test_contract_columns(spark, tmp_path):
     found = QUERIES["op13_collocations"](spark, str(tmp_path))
     assert found.dtypes == [(c, "bigint") if c not in ("lang", "phrase") else (c, "string") for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")]
     assert sorted(map(tuple, found.collect())) == brute_collocations([(d[2], d[1]) for d in docs], 30, 4, 2000)
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 3])
+def test_portions_of_long_pieces(monkeypatch, size):
+    """Cut pieces count every prefix once, with the word behind it."""
+    from actiongrid.llm import collocations as module
+
+    monkeypatch.setattr(module, "TOGETHER", 7)
+    rng = random.Random(size)
+    texts = [rng.choice([" ", ". "]).join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(30)]
+    known, found, expect = module.Vocabulary(), Counter(), Counter()
+    table = np.full(1 << 10, ~np.uint64(0))  # everything passes
+    for words, counts, own in module._portions(texts, size):
+        columns = module._occurrences(known.of(words), counts, own, size, known.hashes, table, module._salt("en"))
+        found.update(zip(*(c.tolist() for c in columns)))
+    for text in texts:
+        for piece in pieces_of(text):
+            ids = [*known.of(piece).tolist(), 0]
+            expect.update(tuple(ids[i:i + size + 1]) for i in range(len(piece) - size + 1) if size or i < len(piece))
+    assert found == expect
