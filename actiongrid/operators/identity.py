@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
-from ..plans.intervals import earlier_overlap, overlap_pairs
+from ..plans.intervals import earlier_overlap
+from ..plans.sweep import sweep_pairs
 from ..plans.ordered import MAX_ROWS, Running, order_by_key
 
 
@@ -45,12 +46,10 @@ def number_conflicts(tracks: DataFrame, *, keys: Sequence[str] = ("video_id", "t
     return earlier_overlap(tracks.where("number is not null"), keys, id_col=id_col, **kw).where("witness is not null")
 
 
-def assign_events(events: DataFrame, tracks: DataFrame, *, width_us: int, keys: Sequence[str] = ("video_id",), **kw) -> DataFrame:
+def assign_events(events: DataFrame, tracks: DataFrame, *, keys: Sequence[str] = ("video_id",), **kw) -> DataFrame:
     """Every event with each track it overlaps in time and by how much; events without a
     track stay with null. No single actor is chosen."""
-    return overlap_pairs(
-        events, tracks, keys, left_id="event_id", right_id="track_id", width_us=width_us, how="left", **kw
-    )
+    return sweep_pairs(events, tracks, keys, left_id="event_id", right_id="track_id", how="left", **kw)
 
 
 def assignment_counts(assigned: DataFrame, *, keys: Sequence[str] = ("video_id", "event_id")) -> DataFrame:

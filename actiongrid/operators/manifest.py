@@ -260,9 +260,10 @@ def require_train_and_val(checked: DataFrame) -> None:
 
 def load_manifest(spark, path: str, **options) -> DataFrame:
     """Scan, check and require validity."""
+    from ..session import durable
     from ..sources.manifest_csv import scan_manifest
 
-    return require_valid(check_manifest(scan_manifest(spark, path), **options))
+    return require_valid(check_manifest(durable(scan_manifest(spark, path)), **options))
 
 
 def publish_manifest(rows: DataFrame, columns: Sequence[str], path: str, *, inputs=(), **options) -> dict:
@@ -272,6 +273,7 @@ def publish_manifest(rows: DataFrame, columns: Sequence[str], path: str, *, inpu
     Rows are written in the order of record_index, if they have one, and get it again when the
     version is scanned."""
     from ..plans.guards import output_apart_from_inputs
+    from ..session import durable
     from ..sources.manifest_csv import scan_manifest
     from ..sources.sinks import publish, write_csv
 
@@ -281,7 +283,7 @@ def publish_manifest(rows: DataFrame, columns: Sequence[str], path: str, *, inpu
         rows = rows.orderBy("record_index")
 
     def check(staged: str) -> dict:
-        stored = check_manifest(scan_manifest(rows.sparkSession, staged), **options)
+        stored = check_manifest(durable(scan_manifest(rows.sparkSession, staged)), **options)
         return summary_document(manifest_summary(require_valid(stored)))
 
     return publish(rows.sparkSession, path, lambda staged: write_csv(rows, staged, columns, inputs=inputs), check)

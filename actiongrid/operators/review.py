@@ -259,6 +259,7 @@ def apply_counters(rows: DataFrame, confirmations: DataFrame) -> DataFrame:
 def prepare_review_queue(spark, manifest: str, spec: str, output: str, **options) -> dict:
     """File to file: check manifest and spec, write the queue, return the counters."""
     from ..plans.guards import output_apart_from_inputs
+    from ..session import durable
     from ..sources.documents import read_spec
     from ..sources.manifest_csv import require_unique_index, scan_manifest
     from ..sources.sinks import write_review_queue
@@ -267,7 +268,7 @@ def prepare_review_queue(spark, manifest: str, spec: str, output: str, **options
     output_apart_from_inputs(output, (manifest, spec))
     head, requests = read_spec(spark, spec)
     require_same_name("manifest", head["manifest"], manifest)
-    raw = require_unique_index(scan_manifest(spark, manifest))
+    raw = require_unique_index(durable(scan_manifest(spark, manifest)))
     checked = require_valid(check_manifest(raw, **options))
     valid = require_no_errors(check_requests(requests, checked.count()))
     write_review_queue(review_queue(checked, valid), output, inputs=(manifest, spec))
@@ -283,9 +284,10 @@ def require_same_name(what: str, written: str | None, path: str) -> None:
 def apply_review(spark, manifest: str, spec: str, results: str, output: str, **options) -> dict:
     """File to file: check everything, then publish the next manifest version."""
     from ..plans.guards import output_apart_from_inputs
-    from ..sources.documents import read_results, read_spec
     from ..plans.ordered import numbered
-    from ..sources.manifest_csv import header_names, require_no_extra_cells, require_unique_index, scan_manifest
+    from ..session import durable
+    from ..sources.documents import read_results, read_spec
+    from ..sources.manifest_csv import PROVENANCE, require_no_extra_cells, require_unique_index, scan_manifest
     from .manifest import check_manifest, publish_manifest, require_valid
 
     inputs = (manifest, spec, results)
@@ -295,7 +297,7 @@ def apply_review(spark, manifest: str, spec: str, results: str, output: str, **o
     require_same_name("manifest", head["manifest"], manifest)
     require_same_name("manifest", found["manifest"], manifest)
     require_same_name("spec", found["spec"], spec)
-    raw = require_unique_index(scan_manifest(spark, manifest))
+    raw = require_unique_index(durable(scan_manifest(spark, manifest)))
     checked = require_valid(check_manifest(raw, **options))
     require_no_extra_cells(raw)
     valid = require_no_errors(check_requests(requests, checked.count()))
@@ -303,7 +305,7 @@ def apply_review(spark, manifest: str, spec: str, results: str, output: str, **o
     confirmed = require_no_errors(check_confirmations(confirmations, valid, raw))
     if not order_breaks(confirmed).isEmpty():
         raise ReviewError("order", "confirmations must follow the order of the requests")
-    names = header_names(spark, manifest)
+    names = [c for c in raw.columns if c not in PROVENANCE]
     columns = names + [c for c in ("review_status", "notes") if c not in names]
     result = apply_confirmations(raw, confirmed)
     # the file order of the result becomes its record index

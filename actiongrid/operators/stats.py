@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import content_hash, set_hash
 from ..functions.numbers import ratio
 from ..functions.text import optional_text
-from ..plans.intervals import cover, overlap_pairs
+from ..plans.intervals import cover
+from ..plans.sweep import sweep_pairs
 
 UNKNOWN = "Unknown"
 
@@ -72,9 +73,9 @@ def set_points(rallies: DataFrame, sets: DataFrame, *, keys: Sequence[str] = ("v
     return placed.groupBy(*keys, F.col("cover_id").alias("set_id"), "winner").agg(F.count(F.lit(1)).alias("points"))
 
 
-def playing_time(stints: DataFrame, sets: DataFrame, *, keys: Sequence[str] = ("video_id",), width_us: int) -> DataFrame:
+def playing_time(stints: DataFrame, sets: DataFrame, *, keys: Sequence[str] = ("video_id",), **kw) -> DataFrame:
     """On-court time per player and set: stints clipped to the sets."""
-    clipped = overlap_pairs(stints, sets, keys, left_id="stint_id", right_id="set_id", width_us=width_us)
+    clipped = sweep_pairs(stints, sets, keys, left_id="stint_id", right_id="set_id", **kw)
     players = stints.select("stint_id", "player")
     return clipped.join(players, "stint_id").groupBy(*keys, "set_id", "player").agg(
         F.sum("overlap_us").alias("played_us"), F.count(F.lit(1)).alias("stints")

@@ -203,7 +203,7 @@ class Document:
     """
 
     def __init__(self, spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.range_bytes = spark, path, range_bytes
         files = listing(spark, path)
         if len(files) != 1:
             raise ReviewError("document", f"{path} is {len(files)} files, not one document")
@@ -236,7 +236,7 @@ class Document:
                 self._inside.setdefault(r.range, []).append((r.start, r.commas))
 
     def _run(self, ranges, job: str, schema) -> DataFrame:
-        return read_ranges(self.spark, ranges, f"{__name__}:{job}", schema)
+        return read_ranges(self.spark, ranges, f"{__name__}:{job}", schema, self.range_bytes)
 
     def kind(self, name: str) -> str:
         """absent, null, bool, int, number, text, array or object."""

@@ -135,33 +135,33 @@ SUMMARY = "path string, start long, records array<long>, ends_inside array<boole
 
 
 def parse(piece: Range):
-    """The cells of the range as columns of all names; state: inside, index, header, names."""
-    names, header, index = (piece.state[k] for k in ("names", "header", "index"))
+    """The cells of the range as columns of all names; state: inside, index, header, names, place."""
+    names, header, index, place = (piece.state[k] for k in ("names", "header", "index", "place"))
     with open_file(piece.path) as file:
         part = _Slice(file, piece)
         rows = part.records(piece.state["inside"])
     if part.first:
         rows = rows[1:]
-    place = {name: i for i, name in enumerate(header)}
+    cell = {name: i for i, name in enumerate(header)}
     for at in range(0, len(rows), ROWS):
         some = rows[at:at + ROWS]
         columns = []
         for name in names:
-            i = place.get(name, sys.maxsize)
+            i = cell.get(name, sys.maxsize)
             columns.append(pa.array([(row[i] or None) if i < len(row) else None for row in some], pa.string()))
         columns += [
             pa.array([piece.path] * len(some), pa.string()),
             pa.array(range(index + at, index + at + len(some)), pa.int64()),
             pa.array([len(row) > len(header) for row in some], pa.bool_()),
         ]
-        yield pa.RecordBatch.from_arrays(columns, [*names, *PROVENANCE])
+        yield pa.RecordBatch.from_arrays(columns, [*names, "source_file", place, "extra_cells"])
 
 
 def planned(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[list[str], list[Range]]:
     """(header names, ranges with the state they begin in and the index of their first record)."""
     ranges = cut_into_ranges(listing(spark, path), range_bytes)
     here = f"{__name__}:"
-    seen = {(r.path, r.start): r for r in read_ranges(spark, ranges, here + "summarise", SUMMARY).collect()}
+    seen = {(r.path, r.start): r for r in read_ranges(spark, ranges, here + "summarise", SUMMARY, range_bytes).collect()}
     names, out, inside, index, header = [], [], False, 1, []
     for one in ranges:
         found = seen[one.path, one.start]
@@ -186,15 +186,21 @@ def header_names(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def scan_manifest(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Text columns of the header plus source_file, record_index (from 1, without gaps over
-    all files) and extra_cells. An empty cell is null."""
+def scan_csv(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, place: str = "record_index") -> DataFrame:
+    """Text columns of the header plus source_file, `place` (from 1, without gaps over all
+    files) and extra_cells. An empty cell is null."""
     names, ranges = planned(spark, path, range_bytes)
     if not names:
         raise ManifestError("missing_columns", f"{path} has no header")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    schema = schema.add("source_file", T.StringType()).add("record_index", T.LongType()).add("extra_cells", T.BooleanType())
-    return read_ranges(spark, ranges, f"{__name__}:parse", schema)
+    schema = schema.add("source_file", T.StringType()).add(place, T.LongType()).add("extra_cells", T.BooleanType())
+    ranges = [one._replace(state={**one.state, "place": place}) for one in ranges]
+    return read_ranges(spark, ranges, f"{__name__}:parse", schema, range_bytes)
+
+
+def scan_manifest(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """A manifest's cells with their record_index."""
+    return scan_csv(spark, path, range_bytes)
 
 
 def require_unique_index(rows: DataFrame) -> DataFrame:

@@ -21,14 +21,15 @@ def write_csv(
     df: DataFrame, path: str, columns: Sequence[str], *, inputs: Iterable[str] = (),
     bom: bool = True, mode: str = "error",
 ) -> str:
-    """CSV parts with a fixed header; nulls and empty text are both empty cells. The
-    byte order mark rides on the first header name of every part."""
+    """CSV parts with a fixed header; nulls and empty text are both empty cells, white space
+    around a text stays. The byte order mark rides on the first header name of every part."""
     output_apart_from_inputs(path, inputs)
     out = df.select(*columns)
     if bom:
         out = out.withColumnRenamed(columns[0], BOM + columns[0])
     (out.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
-     .option("nullValue", "").option("emptyValue", "").csv(path))
+     .option("nullValue", "").option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
     return path
 
 
@@ -104,6 +105,24 @@ def write_documents(documents: DataFrame, path: str, *, inputs: Iterable[str] =
     return path
 
 
+def write_list_document(
+    head: Mapping[str, object], field: str, items: DataFrame, path: str, *, inputs: Iterable[str] = (), mode: str = "error",
+) -> str:
+    """One JSON object: the fields of `head` and the list `field` of the texts `item` of `items`,
+    by `position`. A document is one file, so one task writes it, item after item."""
+    output_apart_from_inputs(path, inputs)
+    opening = json.dumps(dict(head), ensure_ascii=False)[:-1] + (", " if head else "") + json.dumps(field) + ": ["
+    line = lambda rank, text: items.sparkSession.range(1).select(
+        F.lit(rank).alias("__part"), F.lit(0).cast("long").alias("position"), F.lit(text).alias("value"))
+    first = F.col("position") == F.lit(items.agg(F.min("position")).first()[0])
+    body = items.select(
+        F.lit(1).alias("__part"), F.col("position").cast("long").alias("position"),
+        F.concat(F.when(first, "").otherwise(","), "item").alias("value"))
+    lines = line(0, opening).unionByName(body).unionByName(line(2, "]}"))
+    lines.repartition(1).sortWithinPartitions("__part", "position").select("value").write.mode(mode).text(path)
+    return path
+
+
 def write_record(spark: SparkSession, record: Mapping[str, object], path: str, *, mode: str = "error") -> str:
     """One JSON object: run settings, metrics, report heads."""
     spark.range(1).coalesce(1).select(

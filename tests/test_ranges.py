@@ -17,14 +17,12 @@ from actiongrid.sources.ranges import Range, cut_into_ranges
 CELLS = ["", "a", '"x"', '"a,b"', '"l1\nl2"', '"l1\r\nl2"', '"say ""hi"""', '""', 'mid"quote', '"tail"x', " ", "é", '"\n\n"', '""""', "😀", '","']
 
 
-def csv_rows(ranges, seen, inside_of=None):
+def csv_rows(ranges, seen):
     """All rows of one file, range by range, composed as `planned` composes."""
     inside, out = False, []
     for one in ranges:
         found = next(iter(C.summarise(one))).to_pylist()[0]
-        header = seen if one.start == 0 else seen
-        index = len(out) + 1
-        state = {"inside": inside, "index": index, "header": header, "names": list(header)}
+        state = {"inside": inside, "index": len(out) + 1, "header": seen, "names": seen, "place": "record_index"}
         rows = [r for batch in C.parse(one._replace(state=state)) for r in batch.to_pylist()]
         assert len(rows) == found["records"][inside] - (one.start == 0)
         out += rows

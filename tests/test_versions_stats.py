@@ -169,7 +169,7 @@ def test_stats(spark):
 def test_time_on_court(spark):
     sets = spark.createDataFrame([("v", "s1", 0, 100), ("v", "s2", 100, 200)], "video_id string, set_id string, start_us long, end_us long")
     stints = spark.createDataFrame([("v", 1, "p", 50, 150), ("v", 2, "p", 190, 250), ("v", 3, "q", 0, 10)], "video_id string, stint_id int, player string, start_us long, end_us long")
-    got = {(r.set_id, r.player): r.played_us for r in S.playing_time(stints, sets, width_us=60).collect()}
+    got = {(r.set_id, r.player): r.played_us for r in S.playing_time(stints, sets, range_rows=2).collect()}
     assert got == {("s1", "p"): 50, ("s2", "p"): 60, ("s1", "q"): 10}
     rallies = spark.createDataFrame([("v", 1, "near", 0, 10), ("v", 2, "near", 20, 30), ("v", 3, "far", 110, 120), ("v", 4, "far", 90, 110)], "video_id string, rally_id int, winner string, start_us long, end_us long")
     assert {(r.set_id, r.winner, r.points) for r in S.set_points(rallies, sets).collect()} == {("s1", "near", 2), ("s2", "far", 1), (None, "far", 1)}

@@ -92,7 +92,7 @@ def _sides(spark, folder):
 
 def _assigned(spark, folder, **kw):
     e, tracks = _sides(spark, folder)
-    return I.assign_events(e, tracks, width_us=6 * HOUR, **kw)
+    return I.assign_events(e, tracks, **kw)
 
 
 @query("event_tracks", ASSIGNED + " select * from a")
@@ -102,7 +102,23 @@ def event_tracks(spark, folder):
 
 @query("event_tracks_salted", ASSIGNED + " select * from a")
 def event_tracks_salted(spark, folder):
-    return _assigned(spark, folder, bucket_rows=3)
+    """The bucketed join, with every bucket of more than three rows split."""
+    e, tracks = _sides(spark, folder)
+    return overlap_pairs(e, tracks, ["video_id"], left_id="event_id", right_id="track_id", width_us=6 * HOUR, how="left", bucket_rows=3)
+
+
+@query("event_tracks_many_ranges", f"""with {EVENTS_SQL},
+e as (select user_id as video_id, event_id, start_us, end_us from ev),
+t as (select user_id as video_id, event_id as track_id, start_us + {HOUR} as start_us, end_us + {3 * HOUR} as end_us from ev where k % 3 <> 0
+      union all select user_id, -1 - user_id, min(start_us) - 1, max(end_us) + 1 from ev group by user_id)
+select e.video_id, e.event_id, t.track_id, case when t.track_id is not null then least(e.end_us, t.end_us) - greatest(e.start_us, t.start_us) end as overlap_us
+from e left join t on e.video_id = t.video_id and e.start_us < t.end_us and t.start_us < e.end_us""")
+def event_tracks_many_ranges(spark, folder):
+    """Short ranges of the line, and on every video one more track as long as all of it."""
+    e, tracks = _sides(spark, folder)
+    whole = e.groupBy("video_id").agg((F.min("start_us") - 1).alias("start_us"), (F.max("end_us") + 1).alias("end_us"))
+    whole = whole.select("video_id", (-1 - F.col("video_id")).alias("track_id"), "start_us", "end_us")
+    return I.assign_events(e, tracks.unionByName(whole), range_rows=500)
 
 
 @query("event_tracks_right_heavy", f"""with {EVENTS_SQL},

@@ -9,6 +9,7 @@ from actiongrid.operators import manifest as M
 from actiongrid.session import scratch_path
 from actiongrid.sources.manifest_csv import scan_manifest
 from actiongrid.sources.media import fingerprints, media_table
+from actiongrid.sources.ranges import RANGE_BYTES, listing
 from actiongrid.sources.sinks import write_csv
 
 from .bindings import EVENTS_SQL, MEDIA_SQL, manifest_rows, manifest_sql, media
@@ -144,10 +145,38 @@ def split_presence(spark, folder):
     return rows.where(F.col("split").isin("train", "val")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("file_fingerprints")
+@query("file_fingerprints", """
+select 'group=' || page_id % 40 as folder, cast(sum(strlen(coalesce(html, '')) + 1) as bigint) as length,
+       sha256(string_agg(coalesce(html, ''), chr(10) order by page_id) || chr(10)) as sha256
+from pages group by page_id % 40""")
 def file_fingerprints(spark, folder):
-    """SHA-256 of the table files themselves (no SQL twin: SQL sees no file bytes)."""
-    return fingerprints(spark, f"{folder}/*.parquet").select("video_id", "length", "sha256")
+    """Size and SHA-256 of files of pages, one file a group."""
+    path = scratch_path(spark, "pages")
+    pages = table(spark, folder, "pages").select((F.col("page_id") % 40).alias("group"), "page_id", F.coalesce("html", F.lit("")).alias("value"))
+    ordered = pages.repartition("group").sortWithinPartitions("group", "page_id").select("group", "value")
+    ordered.write.partitionBy("group").text(path)
+    found = fingerprints(spark, f"{path}/group=*")
+    return found.select(F.regexp_extract("path", "(group=[0-9]+)", 1).alias("folder"), "length", "sha256")
+
+
+@query("manifest_csv_one_large_file", CLEAN + """
+select record_index, 'clips/../u' || user_id || '.mp4' as video_path, upper(split) as split,
+  case when k % 5 = 0 then null else cast(k % 20 as varchar) end as player_number,
+  case when k % 3 = 0 then 'two' || chr(10) || 'lines, "' || k || '"' || chr(10) when k % 3 = 1 then '"' else 'n' || k || ',' end as notes
+from m""")
+def manifest_csv_one_large_file(spark, folder):
+    """A single file with line breaks, quotes and commas in its cells, read by many tasks."""
+    k = F.col("event_id")
+    e = table(spark, folder, "events").select("event_id", F.regexp_extract("props", r'"k": (\d+)', 1).cast("long").alias("k"))
+    notes = F.when(F.col("k") % 3 == 0, F.concat(F.lit('two\nlines, "'), F.col("k"), F.lit('"\n'))).when(F.col("k") % 3 == 1, '"').otherwise(
+        F.concat(F.lit("n"), F.col("k"), F.lit(",")))
+    rows = manifest_rows(spark, folder, clean=True).drop("notes").join(e.select((k + 1).alias("record_index"), notes.alias("notes")), "record_index")
+    columns = [c for c in rows.columns if c != "record_index"]
+    one = rows.repartition(1).sortWithinPartitions("record_index")
+    path = write_csv(one, scratch_path(spark, "one-file"), columns)
+    size = sum(n for _, n in listing(spark, path))
+    found = scan_manifest(spark, path, min(RANGE_BYTES, max(1 << 14, size // 16 + 1)))
+    return found.select("record_index", "video_path", "split", "player_number", "notes")
 
 
 @query("formula_guard", r"""

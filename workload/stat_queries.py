@@ -94,7 +94,7 @@ from ev join st on st.video_id = ev.user_id and ev.start_us < st.end_us and st.s
 def playing_time(spark, folder):
     stints = events(spark, folder).select(
         F.col("user_id").alias("video_id"), F.col("event_id").alias("stint_id"), (F.col("k") % 6).alias("player"), "start_us", "end_us")
-    return S.playing_time(stints, sets(spark, folder), width_us=24 * HOUR)
+    return S.playing_time(stints, sets(spark, folder))
 
 
 SNAP = """sha256('{"action":"' || action || '","event_id":"' || event_id || '"}')"""
