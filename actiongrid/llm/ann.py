@@ -97,17 +97,17 @@ def nearest(query_ids, queries, ids, vectors, codes, lengths, corrections, k: in
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector array<double>) of the rows that take part: not null, not zero, all
-    components finite, of the most frequent length (the larger of equally frequent ones)."""
+    """(vec_id, vector array<double>, dim) of the rows that take part: not null, not zero, all
+    components finite."""
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     bad = F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where("vec_id is not null and vector is not null").where(~bad).where(F.exists("vector", lambda x: x != 0))
-    dim = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
-    return rows.where(F.size("vector") == (dim["dim"] if dim else 0))
+    return rows.withColumn("dim", F.size("vector"))
 
 
 def _blocks(rows: DataFrame, block_rows: int, with_codes: bool) -> tuple[DataFrame, int]:
-    """(rows in blocks as packed binaries, number of blocks). Rows are dealt out evenly."""
+    """(rows in blocks as packed binaries, number of blocks). Rows are dealt out evenly; those of
+    one block and different lengths are packed apart."""
     number = max(1, -(-rows.count() // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(number)).cast("int"))
     schema = "block int, dim int, ids binary, vectors binary" + (", codes binary, lengths binary, corrections binary" if with_codes else "")
@@ -120,7 +120,7 @@ def _blocks(rows: DataFrame, block_rows: int, with_codes: bool) -> tuple[DataFra
             out |= {"codes": codes.tobytes(), "lengths": lengths.tobytes(), "corrections": corrections.tobytes()}
         return pd.DataFrame(out)
 
-    return dealt.groupBy("block").applyInPandas(pack, schema), number
+    return dealt.groupBy("dim", "block").applyInPandas(pack, schema), number
 
 
 def search(
@@ -130,13 +130,15 @@ def search(
     """(query_id, rank, vec_id, score): the k rows of largest inner product with every query.
 
     A row is never its own neighbour (rows of the query's id are left out). Nearest first, ties
-    to the smaller id. Queries and rows that cannot take part give nothing; so do empty tables.
+    to the smaller id; repeated rows are found once each. A query meets the vectors of its own
+    length, for which alone there is an inner product. Queries and rows that cannot take part give
+    nothing; so do empty tables. Blocks have `block_rows` rows, whatever the size of the table.
     """
     index, blocks = _blocks(usable(rows, id_col, vector_col), block_rows, True)
     index = stored(index, "codes")
     asked, _ = _blocks(usable(queries, id_col, vector_col), query_rows, False)
-    asked = asked.select(F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    pairs = index.join(asked, "block")
+    asked = asked.select("dim", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = index.join(asked, ["dim", "block"])
 
     def compare(batches):
         for batch in batches:

@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 
 from .bpe import arrow_runs
 from .common import query, stored, table
-from .grams import WordHashes, bit_table, gram_hashes, may_hold, mixed
+from .grams import Sieve, WordHashes, bit_table, gram_hashes, may_hold, mixed
 
 #: Occurrences that a task holds before it folds and emits them, and words that it numbers.
-HELD = 1_000_000
-WORDS = 150_000
+HELD = 3_000_000
+WORDS = 400_000
+#: Bits of a word's number in the key of an occurrence.
+BITS = 20
+#: The number of all words that are not frequent, and how many of them are remembered as such.
+RARE, RARE_WORDS = 1, 200_000
 #: Words looked at in one go.
 TOGETHER = 100_000
 #: Stripes of an Arrow batch.
@@ -39,37 +43,31 @@ ALL = "all"
 #: A prefix with more than 1 / SHARE of all occurrences is merged in parts of that size.
 SHARE = 2000
 
-_LETTERS = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
+#: The end of a piece, a byte that no word has.
+END = b"."
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 46 if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 
 
-def pieces_of(text: str):
-    """Words (ended by spaces and tabs) of the pieces between `.,;:!?` and line ends; A-Z lowered."""
-    for piece in text.encode("utf-8", "surrogatepass").translate(_LETTERS).split(b"\n"):
-        words = piece.split()
-        if words:
-            yield words
+def portions(texts: list[str], size: int):
+    """(words, how many of them begin prefixes) of the texts in portions of about TOGETHER words.
 
-
-def _portions(texts: list[str], size: int):
-    """(words, words of each piece, prefixes of each piece) in portions of about TOGETHER words.
-
-    A longer piece is cut; its parts repeat `size` words of the next, so each prefix and the
-    word behind it lie in one part, and only the prefixes that begin before are its own.
+    Words are ended by spaces and tabs, A-Z lowered; END stands behind each piece, and `.,;:!?`
+    and line ends part pieces. A portion ends with the `size` words that the next begins with.
     """
+    raw = b".".join([t.encode("utf-8", "surrogatepass") for t in texts]).translate(_LETTERS)
     words: list[bytes] = []
-    counts, own = [], []
-    for text in texts:
-        for piece in pieces_of(text):
-            for at in range(0, len(piece), TOGETHER):
-                part = piece[at:at + TOGETHER + size] if len(piece) > TOGETHER else piece
-                words += part
-                counts.append(len(part))
-                own.append(min(TOGETHER, len(piece) - at))
-                if len(words) > TOGETHER:
-                    yield words, np.array(counts), np.array(own)
-                    words, counts, own = [], [], []
-    if words:
-        yield words, np.array(counts), np.array(own)
+    at, step = 0, 8 * TOGETHER
+    while at < len(raw):
+        end = at + step
+        while end < len(raw) and raw[end] not in b" .":
+            end += 1
+        words += raw[at:end].replace(b".", b" . ").split()
+        at = end
+        if len(words) > TOGETHER and at < len(raw):
+            yield words, len(words) - size
+            words = words[len(words) - size:]
+    words.append(END)
+    yield words, len(words)
 
 
 def _salt(lang: str) -> np.uint64:
@@ -92,136 +90,185 @@ def phrase_hashes(phrases: DataFrame) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Numbers of words as they come, with their hashes; 0 is the empty word."""
+    """Numbers of the words of a language as they come, with their hashes. 0 is a piece's end.
 
-    def __init__(self):
-        super().__init__({b"": 0})
-        self.words = [b""]
+    With a sieve of frequent words all others are the word of number RARE, and forgotten again.
+    """
+
+    def __init__(self, frequent: np.ndarray | None = None, salt: int = 0):
+        super().__init__({END: 0})
+        self.sieve = None if frequent is None else Sieve(frequent)
+        self.salt, self.forgettable = int(salt), 0
+        self.words = [b"", b""]
         self.hashes = np.zeros(1 << 10, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh64_intdigest(word, 5)
+        if self.sieve is not None and not self.sieve.may_hold(self.sieve.mixed(self.sieve.mixed(code) ^ self.salt)):
+            self.forgettable += 1
+            if self.forgettable > RARE_WORDS:
+                self.clear()
+                self.update(zip(self.words[2:], range(2, len(self.words))))
+                self[END], self.forgettable = 0, 0
+            self[word] = RARE
+            return RARE
         number = self[word] = len(self.words)
         self.words.append(word)
         if number == len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros(number, np.uint64)])
-        self.hashes[number] = xxhash.xxh64_intdigest(word, 5)
+        self.hashes[number] = code
         return number
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def _occurrences(ids: np.ndarray, counts: np.ndarray, own: np.ndarray, size: int, hashes: np.ndarray, sieve: np.ndarray, salt: np.uint64) -> list[np.ndarray]:
-    """Columns (prefix words and the next word) of all occurrences of prefixes of `size` words.
+def occurrences(ids: np.ndarray, own: int, size: int, hashes: np.ndarray, sieve: np.ndarray, salt: np.uint64) -> list[np.ndarray]:
+    """Columns (prefix words, next word) of the prefixes of `size` words that begin with one of
+    the first `own` ids; 0 ends pieces.
 
-    ids are the words of pieces of `counts` words each, of which the first `own` begin a prefix.
-    Prefixes that are not frequent are left out; where the words behind the first of a prefix
-    are not, or the piece ends, the next word is the empty one.
+    Prefixes that are not frequent are left out. Where the words behind the first of a prefix are
+    not frequent, or the piece ends, the next word is 0.
     """
     if not size:
-        return [ids]  # no piece of a cut repeats a word then
-    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(ids))
-    held = may_hold(sieve, mixed(gram_hashes(hashes[ids], size) ^ salt))
-    left, own = left[:len(held)], np.repeat(counts - own, counts)[:len(held)]
-    known = held & (left >= size) & (left > own)
-    more = np.zeros(len(held), bool)
-    more[:-1] = held[1:]  # the words behind the prefix's first are frequent as well
-    more &= left > size
-    at = np.flatnonzero(known)
-    following = np.zeros(len(at), np.int64)
-    longer = more[at]
-    following[longer] = ids[at[longer] + size]
-    return [*(ids[at + i] for i in range(size)), following]
-
-
-def _folded(columns: list[np.ndarray], hashes: np.ndarray, words: pa.Array, langs: list[str], hot) -> list[pa.RecordBatch]:
-    """Equal occurrences counted, and entries of one prefix put into one stripe."""
-    size, base = len(columns) - 2, len(words)
-    key, top = columns[0].astype(np.int64), len(langs)
+        return [ids[ids > 0]]
+    places = max(len(ids) - size + 1, 0)
+    whole = ids[:places] > RARE
+    for i in range(1, size):
+        whole &= ids[i:places + i] > RARE
+    at = np.flatnonzero(whole)
+    code = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        code = mixed(code ^ hashes[ids[at + i]])
+    at = at[may_hold(sieve, mixed(code ^ salt))]
+    frequent = np.zeros(len(ids) + 1, bool)
+    frequent[at] = True
+    at = at[at < own]
+    following = np.append(ids, np.zeros(size, np.int64))[at + size]
+    following[following == RARE] = 0
+    return [*(ids[at + i] for i in range(size)), np.where(frequent[at + 1], following, 0)]
+
+
+def _keys(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    """One number for each row of word numbers, if they fit."""
+    key = columns[0]
     for column in columns[1:]:
-        if top * base >= 1 << 62:
-            key = np.unique(key, return_inverse=True)[1]
-            top = len(key)
-        key, top = key * base + column, top * base
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    lang, *prefix, following = (c[first] for c in columns)
-    turn = np.zeros(len(first), bool)
+        key = key << bits | column
+    return key
+
+
+def _folded(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct rows in order, how often each occurs)."""
+    if len(columns) * BITS <= 63:
+        key = np.sort(_keys(columns, BITS))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+        counts = np.diff(np.append(first, len(key)))
+        key, out = key[first], []
+        for _ in columns:
+            out.append(key & ((1 << BITS) - 1))
+            key = key >> BITS
+        return out[::-1], counts
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    turn = np.zeros(len(order), bool)
     turn[:1] = True
-    for column in (lang, *prefix):
+    for column in columns:
+        turn[1:] |= column[1:] != column[:-1]
+    first = np.flatnonzero(turn)
+    return [c[first] for c in columns], np.diff(np.append(first, len(order)))
+
+
+def _striped(columns: list[np.ndarray], known: Vocabulary, lang: str, hot):
+    """Record batches of stripes: equal occurrences counted, those of one prefix put together."""
+    (*prefix, following), counts = _folded(columns)
+    words = pa.array(known.words, pa.binary())
+    turn = np.zeros(len(counts), bool)
+    turn[:1] = True
+    for column in prefix:
         turn[1:] |= column[1:] != column[:-1]
-    names = pa.array(langs, pa.string()).take(pa.array(lang[turn]))
     text = pa.array([b""] * int(turn.sum()), pa.binary())
-    if size:
+    if prefix:
         text = words.take(pa.array(prefix[0][turn]))
         for column in prefix[1:]:
             text = pc.binary_join_element_wise(text, words.take(pa.array(column[turn])), pa.scalar(b" ", pa.binary()))
-    parts = np.ones(len(text), np.int64)
-    if hot == ALL:
-        parts[:] = SHARE
-    elif hot:
-        keys = pa.array(sorted({prefix for _, prefix in hot}), pa.binary())
-        for i in np.flatnonzero(pc.is_in(text, keys).to_numpy(zero_copy_only=False)).tolist():
-            parts[i] = hot.get((names[i].as_py(), text[i].as_py()), 1)
+    parts = np.full(len(text), SHARE if hot == ALL else 1, np.int64)
+    own = {p: n for (name, p), n in hot.items() if name == lang} if hot != ALL else {}
+    if own:
+        for i in np.flatnonzero(pc.is_in(text, pa.array(sorted(own), pa.binary())).to_numpy(zero_copy_only=False)).tolist():
+            parts[i] = own[text[i].as_py()]
     group = np.cumsum(turn) - 1
-    part = (hashes[following] % parts[group].astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((part, group))
-    group, part, following, counts = group[order], part[order], following[order], counts[order]
+    part = (known.hashes[following] % parts[group].astype(np.uint64)).astype(np.int64)
+    if (parts > 1).any():
+        order = np.lexsort((part, group))
+        group, part, following, counts = group[order], part[order], following[order], counts[order]
     turn = np.ones(len(group), bool)
     turn[1:] = (group[1:] != group[:-1]) | (part[1:] != part[:-1])
-    starts = np.flatnonzero(turn)
-    offsets = pa.array(np.append(starts, len(group)).astype(np.int32))
-    owner = pa.array(group[starts])
-    whole = pa.RecordBatch.from_arrays(
-        [names.take(owner), text.take(owner), pa.array(part[starts].astype(np.int32)),
-         pa.ListArray.from_arrays(offsets, words.take(pa.array(following))), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)))],
-        ["lang", "prefix", "part", "words", "counts"],
-    )
-    return [whole.slice(i, BATCH) for i in range(0, whole.num_rows, BATCH)]
-
-
-def _counted(rows: DataFrame, size: int, bits, hot) -> DataFrame:
-    """(lang, prefix, part, words, counts): stripes of prefixes of `size` words, not yet merged."""
+    starts = np.append(np.flatnonzero(turn), len(group))
+    for low in range(0, len(starts) - 1, BATCH):
+        edges = starts[low:low + BATCH + 1]
+        some = slice(edges[0], edges[-1])
+        entry = words.take(pa.array(following[some]))
+        often = (counts[some] > 1) | (following[some] == 0)
+        counted = pa.array(counts[some]).cast(pa.string()).cast(pa.binary())
+        entry = pc.if_else(pa.array(often), pc.binary_join_element_wise(entry, counted, pa.scalar(b"\t", pa.binary())), entry)
+        stripe = pc.binary_join(pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), entry), pa.scalar(b" ", pa.binary()))
+        owner = pa.array(group[edges[:-1]])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(stripe), pa.string()), text.take(owner), pa.array(part[edges[:-1]].astype(np.int32)), stripe.cast(pa.string())],
+            ["lang", "prefix", "part", "stripe"])
+
+
+def _counted(rows: DataFrame, size: int, bits, hot, words=None) -> DataFrame:
+    """(lang, prefix, part, stripe) of prefixes of `size` words, not yet merged.
+
+    A stripe is text: its entries, parted by blanks, are a word, or a word, a tab and its count;
+    the empty word counts what follows no further.
+    """
     context = rows.sparkSession.sparkContext
-    sieve, parts = context.broadcast(bits), context.broadcast(hot)
+    sieve, parts, frequent = (context.broadcast(x) for x in (bits, hot, words))
 
     def run(batches):
-        known, langs, held, n = Vocabulary(), {}, [], 0
+        known: dict[str, Vocabulary] = {}
+        held: dict[str, list] = {}
+        n = 0
 
         def emitted():
-            columns = [np.concatenate(c) for c in zip(*held)]
-            yield from _folded(columns, known.hashes, pa.array(known.words, pa.binary()), list(langs), parts.value)
+            for lang, found in held.items():
+                yield from _striped([np.concatenate(c) for c in zip(*found)], known[lang], lang, parts.value)
 
         for rows_, run_texts in arrow_runs(batches):
             by_lang: dict[str, list] = {}
             for lang, text in zip(rows_.column(0).to_pylist(), run_texts):
                 by_lang.setdefault(lang, []).append(text)
             for lang, texts in by_lang.items():
-                number = langs.setdefault(lang, len(langs))
-                for words, counts, own in _portions(texts, size):
-                    found = _occurrences(known.of(words), counts, own, size, known.hashes, sieve.value, _salt(lang))
-                    held.append([np.full(len(found[0]), number, np.int32), *(c.astype(np.int32) for c in found)])
+                own = known.get(lang)
+                if own is None:
+                    own = known[lang] = Vocabulary(frequent.value, _salt(lang))
+                for words, first in portions(texts, size):
+                    found = occurrences(own.of(words), first, size, own.hashes, sieve.value, _salt(lang))
+                    held.setdefault(lang, []).append(found)
                     n += len(found[0])
-                    if n > HELD or len(known) > WORDS:
-                        yield from emitted()
-                        held, n = [], 0
-                        if len(known) > WORDS:
-                            known = Vocabulary()
-        if n:
-            yield from emitted()
+            if n > HELD or sum(len(v.words) for v in known.values()) > WORDS:
+                yield from emitted()
+                held, n = {}, 0
+                if sum(len(v.words) for v in known.values()) > WORDS:
+                    known = {}
+        yield from emitted()
 
-    return rows.mapInArrow(run, "lang string, prefix binary, part int, words array<binary>, counts array<long>")
+    return rows.mapInArrow(run, "lang string, prefix binary, part int, stripe string")
 
 
-def stripes(rows: DataFrame, size: int, least: int, bits, hot) -> DataFrame:
+def stripes(rows: DataFrame, size: int, least: int, bits, hot, words=None) -> DataFrame:
     """(lang, prefix, part, total, entries) of all prefixes of `size` words, merged.
 
     entries: (word, f) of the following words with f >= least. Explode and sum stay within the
     partition that a stripe was dealt to and spill there; a stripe is never one Python object.
     """
-    dealt = _counted(rows, size, bits, hot).repartition("lang", "prefix", "part")
-    entry = F.explode(F.arrays_zip("words", "counts")).alias("e")
-    summed = dealt.select("lang", "prefix", "part", entry).groupBy("lang", "prefix", "part", F.col("e.words").alias("word"))
-    summed = summed.agg(F.sum("e.counts").alias("f"))
+    dealt = _counted(rows, size, bits, hot, words).repartition("lang", "prefix", "part")
+    one = dealt.select("lang", "prefix", "part", F.explode(F.split("stripe", " ")).alias("e"))
+    tab = F.instr("e", "\t")
+    count = F.when(tab == 0, 1).otherwise(F.expr("substring(e, instr(e, '\t') + 1)").cast("long"))
+    summed = one.groupBy("lang", "prefix", "part", F.substring_index("e", "\t", 1).cast("binary").alias("word")).agg(F.sum(count).alias("f"))
     kept = F.when((F.col("f") >= least) & (F.length("word") > 0), F.struct("word", "f"))
     return summed.groupBy("lang", "prefix", "part").agg(F.sum("f").alias("total"), F.collect_list(kept).alias("entries"))
 
@@ -245,10 +292,10 @@ def collocations(
     table, or one without a phrase of `least` occurrences, gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    levels, total, grams = [], None, None
+    levels, total, words = [], None, None
     bits, hot = np.zeros(1, np.uint64), ALL
     for size in range(most_words):
-        level = stored(stripes(rows, size, least, bits, hot), f"stripes-{size}")
+        level = stored(stripes(rows, size, least, bits, hot, words), f"stripes-{size}")
         levels.append(level)
         entry = level.select("lang", "prefix", F.explode("entries").alias("e"))
         word = F.col("e.word")
@@ -260,6 +307,7 @@ def collocations(
             total = level.agg(F.sum("total")).first()[0] or 0
         hot = _hot(grams, total)
         bits = bit_table(phrase_hashes(grams), "code")
+        words = bits if words is None else words
 
     def phrases(size: int) -> DataFrame:
         entry = levels[size - 1].select("lang", "prefix", F.explode("entries").alias("e"))
@@ -301,8 +349,8 @@ def collocations(
     ranked = every.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    words = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
-    return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    sizes = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
+    return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 @query("op13_collocations", """

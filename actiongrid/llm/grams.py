@@ -71,6 +71,24 @@ def may_hold(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return found
 
 
+class Sieve:
+    """`mixed` and `may_hold` for one hash at a time, on plain numbers."""
+
+    def __init__(self, table: np.ndarray):
+        self.far, self.table = 64 - (len(table).bit_length() + 5), memoryview(table)
+
+    @staticmethod
+    def mixed(code: int) -> int:
+        code = ((code ^ (code >> 29)) * int(MIX)) & 0xFFFFFFFFFFFFFFFF
+        return code ^ (code >> 29)
+
+    def may_hold(self, code: int) -> bool:
+        for place in (code >> self.far, ((code * int(MIX)) & 0xFFFFFFFFFFFFFFFF) >> self.far):
+            if not self.table[place >> 6] >> (place & 63) & 1:
+                return False
+        return True
+
+
 def bit_table(hashes: DataFrame, column: str) -> np.ndarray:
     """Bits of all `column` values (long) of `hashes`, 32 or more a value.
 

@@ -140,6 +140,11 @@ def test_search(spark):
         assert [i for _, i, _ in rows_] == sorted((i for _, i, _ in rows_), key=lambda i: (-exact[i], i))
         hits += len({i for _, i, _ in rows_} & set(sorted(exact, key=lambda i: (-exact[i], i))[:20]))
     assert hits / (20 * len(found)) >= 0.97
+    other = [(2000 + i, v.tolist(), 1) for i, v in enumerate(rng.normal(size=(14, 12)))]
+    short = spark.createDataFrame(other, "vec_id long, embedding array<double>, rank int")
+    mixed = search(table.where("vec_id < 200").unionByName(short), short.unionByName(table.where("vec_id < 10")), 20).collect()
+    assert Counter(r.query_id for r in mixed) == Counter({**{2000 + i: 13 for i in range(14)}, **{i: 20 for i in range(10)}})
+    assert all((r.query_id >= 2000) == (r.vec_id >= 2000) for r in mixed)
     few = search(table.where("vec_id < 5"), table.where("vec_id = 0"), 20).collect()
     assert len(few) == 4
     assert search(table.limit(0), table.limit(0)).count() == 0
@@ -192,6 +197,49 @@ def test_seats():
     assert (pitman_yor.seat(counts, np.full(7, 1e12), 0.5, rng) == counts).all()
 
 
+def seatings(customers):
+    """All ways to seat customers, as lists of table sizes."""
+    if not customers:
+        yield []
+        return
+    for sizes in seatings(customers - 1):
+        yield [*sizes, 1]
+        for i in range(len(sizes)):
+            yield [*sizes[:i], sizes[i] + 1, *sizes[i + 1:]]
+
+
+@pytest.mark.parametrize("discount,mass", [(0.8, 0.1), (0.5, 1.0), (0.2, 3.0), (0.8, 10.0)])
+def test_tables_follow_their_conditional_distribution(discount, mass):
+    """Against all seatings of up to 8 customers, and against the recursion for more."""
+    rng = np.random.default_rng(1)
+    for c in range(1, 9):
+        weight = np.zeros(c + 1)
+        for sizes in seatings(c):
+            weight[len(sizes)] += mass ** len(sizes) * math.prod(math.gamma(n - discount) / math.gamma(1 - discount) for n in sizes)
+        drawn = np.bincount(pitman_yor.seat(np.full(20_000, c), np.full(20_000, mass), discount, rng), minlength=c + 1) / 20_000
+        assert np.abs(drawn - weight / weight.sum()).max() < 0.02
+    logs = pitman_yor.partition_weights(600, discount)
+    for c in (12, 60, 200, 513, 600):
+        t = np.arange(1, c + 1)
+        p = np.exp(logs[c, 1:c + 1] + t * math.log(mass) - (logs[c, 1:c + 1] + t * math.log(mass)).max())
+        p /= p.sum()
+        mean, deviation = (p * t).sum(), math.sqrt((p * t * t).sum() - (p * t).sum() ** 2)
+        tables = pitman_yor.seat(np.full(20_000, c), np.full(20_000, mass), discount, rng)
+        near = c <= pitman_yor.SINGLE
+        assert abs(tables.mean() / mean - 1) < (0.02 if near else 0.05)
+        assert abs(tables.std() - deviation) < 0.05 * deviation + 0.02
+
+
+def test_rows_of_a_hot_word_are_folded():
+    import pyarrow as pa
+
+    codes = np.sort(np.random.default_rng(0).integers(0, 3, 50_000).astype(np.uint64) | np.uint64(7 << 8))
+    batches = [pa.RecordBatch.from_arrays([pa.array(codes[i:i + 500].view(np.int64)), pa.array(np.ones(len(codes[i:i + 500]), np.int64))], ["code", "n"])
+               for i in range(0, len(codes), 500)]
+    ((kinds, n),) = pitman_yor._by_word(batches)
+    assert len(kinds) <= 6 and n.sum() == len(codes)
+
+
 def test_pitman_yor_sweeps():
     """Three rounds and a last pass of two burnt sweeps each, four more kept: 12 a word."""
     given = {k: v.default for k, v in inspect.signature(pitman_yor.fit).parameters.items()}

@@ -58,6 +58,20 @@ def test_language_id_without_labels(spark):
     assert sorted((r.doc_id, r.text, r.lang) for r in kept) == [(1, "some words", None), (5, "é", None), (5, "é", None)]
 
 
+def test_stages_with_clashing_columns(spark):
+    """Columns named like those the stages add, null and repeated ids: all columns come out as they went in."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"start {passage} end", "en", 1, "x"), (None, f"begin {passage} stop", "en", 2, "y"), (1, "one more text", None, 3, "z"), (None, None, "en", 4, "n")]
+    docs = spark.createDataFrame([(*r, *["k"] * 5) for r in rows], "doc_id long, text string, lang string, n_removed int, kept string, "
+                                 "n_words string, component_id string, fingerprint string, lang_pred string, n_chars string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "unused")
+        assert docs.columns[:4] == ["doc_id", "text", "lang", "n_removed"] and len(docs.columns) == 10, name
+    found = sorted((r.n_removed, r.kept, r.text, r.doc_id) for r in docs.collect())
+    assert found == [(1, "x", "start end", 1), (2, "y", "begin stop", None), (3, "z", "one more text", 1)]
+    assert corpus_pipeline.packing(spark, docs, "unused").count() == 3
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from actiongrid.llm import decontaminate, grams
-from actiongrid.llm.collocations import collocations, pieces_of
+from actiongrid.llm.collocations import Vocabulary, collocations, occurrences, portions
 from actiongrid.llm.decontaminate import contamination, words_of
 from actiongrid.llm.fill_middle import BlockTree, fill_in_middle, restored
 from actiongrid.llm.queries import QUERIES
@@ -181,7 +181,8 @@ def brute_collocations(rows, least, most, top):
 
 
 def test_pieces():
-    assert list(pieces_of("A b\tC.d e;; f\x0b\n\rg\x00h!")) == [[b"a", b"b", b"c"], ["d e".encode()], [b"f"], [b"g\x00h"]]
+    ((words, own),) = portions(["A b\tC.d e;; f\x0b\n\rg\x00h!", "i"], 2)
+    assert words == b"a b c . d e . . f . . . g\x00h . . i .".split() and own == len(words)
 
 
 @pytest.mark.parametrize("least,most,top,share", [(3, 4, 2000, 2000), (2, 3, 5, 3), (30, 4, 10, 7)])
@@ -192,7 +193,6 @@ def test_collocations(spark, monkeypatch, least, most, top, share):
     monkeypatch.setattr(module, "HELD", 50)
     monkeypatch.setattr(module, "WORDS", 20 if least == 2 else 400_000)
     monkeypatch.setattr(module, "BATCH", 3)
-    monkeypatch.setattr(module, "TOGETHER", 100_000 if least == 30 else 7)
     rng = random.Random(most)
     words = ["new", "York", "city", "of", "the", "Éa", "a", "b ", "\x00q"]
     rows = [(rng.choice(["en", "fr", None, "und"]), rng.choice([" ", "\t", "  "]).join(rng.choices(words, [4, 4, 2, 3, 3, 1, 1, 1, 1], k=rng.randint(0, 40)))) for _ in range(60)]
@@ -216,6 +216,10 @@ def test_bit_table(spark):
     assert grams.may_hold(table, codes.astype(np.uint64)).all()
     others = np.random.default_rng(2).integers(0, 1 << 63, 50_000).astype(np.uint64)
     assert grams.may_hold(table, others).mean() < 0.02
+    one = grams.Sieve(table)
+    some = np.concatenate([codes[:200].astype(np.uint64), others[:2000]])
+    assert [one.may_hold(int(c)) for c in some] == grams.may_hold(table, some).tolist()
+    assert [one.mixed(int(c)) for c in some] == grams.mixed(some).tolist()
 
 
 def test_contract_columns(spark, tmp_path):
@@ -243,20 +247,33 @@ def test_contract_columns(spark, tmp_path):
 
 
 @pytest.mark.parametrize("size", [0, 1, 2, 3])
-def test_portions_of_long_pieces(monkeypatch, size):
-    """Cut pieces count every prefix once, with the word behind it."""
+def test_portions_count_once(monkeypatch, size):
+    """Wherever portions are cut, every prefix counts once, with the word behind it."""
     from actiongrid.llm import collocations as module
 
     monkeypatch.setattr(module, "TOGETHER", 7)
     rng = random.Random(size)
-    texts = [rng.choice([" ", ". "]).join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(30)]
-    known, found, expect = module.Vocabulary(), Counter(), Counter()
+    texts = [rng.choice([" ", ". ", "  ,"]).join(rng.choices(["a", "bb", "C"], k=rng.randint(0, 60))) for _ in range(30)]
+    known, found, expect = Vocabulary(), Counter(), Counter()
     table = np.full(1 << 10, ~np.uint64(0))  # everything passes
-    for words, counts, own in module._portions(texts, size):
-        columns = module._occurrences(known.of(words), counts, own, size, known.hashes, table, module._salt("en"))
+    for words, own in portions(texts, size):
+        columns = occurrences(known.of(words), own, size, known.hashes, table, module._salt("en"))
         found.update(zip(*(c.tolist() for c in columns)))
     for text in texts:
-        for piece in pieces_of(text):
-            ids = [*known.of(piece).tolist(), 0]
-            expect.update(tuple(ids[i:i + size + 1]) for i in range(len(piece) - size + 1) if size or i < len(piece))
+        for piece in re.split("[.,]", text.lower()):
+            ids = [*known.of([w.encode() for w in piece.split()]).tolist(), 0]
+            expect.update(tuple(ids[i:i + size + 1]) for i in range(len(ids) - size) if size or ids[i])
     assert found == expect
+
+
+@pytest.mark.parametrize("width", [1, 3, 4])
+def test_folding(width):
+    rows = np.random.default_rng(width).integers(0, 5, (1000, width))
+    columns, counts = collocations_module()._folded([rows[:, i].astype(np.int64) for i in range(width)])
+    assert dict(zip(zip(*(c.tolist() for c in columns)), counts.tolist())) == Counter(map(tuple, rows.tolist()))
+
+
+def collocations_module():
+    from actiongrid.llm import collocations as module
+
+    return module
