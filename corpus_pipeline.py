@@ -33,14 +33,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages out of the texts. Documents without any keep theirs as it is."""
-    found = without_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", chars)
-    return found.select(*docs.columns)
+    """Takes repeated passages out of the texts. Documents without any keep theirs as it is.
+
+    Columns travel under numbers, so that none clashes with what the operator adds.
+    """
+    numbers = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    inner = docs.toDF(*numbers.values())
+    found = without_repeats(inner, id_col=numbers["doc_id"], text_col=numbers["text"])
+    changed = F.col("n_removed") > 0
+    new = {"text": F.when(changed, F.col("kept")).otherwise(F.col(numbers["text"]))}
+    if "n_chars" in numbers:
+        new["n_chars"] = F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col(numbers["n_chars"]))
+    return found.select(*[new.get(name, F.col(c)).alias(name) for name, c in numbers.items()])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
