@@ -1,27 +1,26 @@
 """Content identities.
 
-A row hash is SHA-256 over ordered JSON. The hash of a *set* of rows is SHA-256 over their
-sorted digests, each as often as it occurs, taken in three steps: the digests that share four
-hex digits are hashed together, then the results that share two, then those. Copies are counted
-before the shuffle, and the first step reads (digest, count) rows in order and feeds them to the
-hash one after the other, so no task holds a list of digests, whatever their number or copies.
+A row hash is SHA-256 over ordered JSON. A *set* of rows is identified by a Merkle tree: its
+leaves are the distinct digests with their counts, and every node is the SHA-256 of what lies
+below it in order: of `digest:count` items for the nodes of four hex digits, of the digests of
+their children for those of two digits and for the root. Copies are counted before the shuffle,
+so a list has at most the distinct digests of one prefix (150,000 of 10^10), whatever the copies.
+
+The tree is a table and can be kept: a change recomputes only the nodes above it, and two trees
+are compared from the root downwards, so only what differs is read.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-#: Hex digits that the digests hashed together share, step by step. After the first step a
-#: list has at most 256 items.
+#: Hex digits that the digests below a node share, from the lowest nodes to the root.
 STEPS = (4, 2, 0)
-#: Copies of one digest passed to the hash at once, a megabyte.
-COPIES = 1 << 14
+#: The depth of the leaves: whole digests.
+LEAF = 64
 
 
 def content_hash(columns: Sequence[str]) -> Column:
@@ -30,52 +29,93 @@ def content_hash(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
 
 
-def _hash_runs(batches):
-    """(groups.., __p, __n, __h) of each run of equal (groups.., __p). Rows are (groups.., __p,
-    __h, __n) in that order; null digests count but are not hashed."""
-    key = first = state = None
-    n = 0
-
-    def row() -> pa.RecordBatch:
-        ends = [pa.array([n], pa.int64()), pa.array([state and state.hexdigest()], pa.string())]
-        return pa.RecordBatch.from_arrays(first.columns + ends, [*first.schema.names, "__n", "__h"])
-
-    for batch in batches:
-        keys = batch.select(batch.schema.names[:-2])
-        rows = zip(*(c.to_pylist() for c in batch.columns))
-        for i, (*own, digest, copies) in enumerate(rows):
-            own = repr(own)  # NaN equals itself
-            if own != key:
-                if key is not None:
-                    yield row()
-                key, first, state, n = own, keys.slice(i, 1), None, 0
-            n += copies
-            if digest is not None:
-                state = state or hashlib.sha256()
-                data = digest.encode()
-                for _ in range(copies // COPIES):
-                    state.update(data * COPIES)
-                state.update(data * (copies % COPIES))
-    if key is not None:
-        yield row()
+def _leaves(rows: DataFrame, digest: str, groups: Sequence[str]) -> DataFrame:
+    """(groups.., depth, prefix, n, sha256): distinct digests and how often each occurs."""
+    counted = rows.groupBy(*groups, F.col(digest).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(*groups, F.lit(LEAF).alias("depth"), "prefix", "n", F.col("prefix").alias("sha256"))
+
+
+def _above(level: DataFrame, groups: Sequence[str], depth: int) -> DataFrame:
+    """The nodes of `depth` over the nodes (or leaves) below them. Null digests count, and that
+    is all; a node of nothing else has a null hash."""
+    item = F.when(F.col("depth") == LEAF, F.concat("prefix", F.lit(":"), F.col("n").cast("string"))).otherwise(F.col("sha256"))
+    items = F.array_sort(F.collect_list(F.when(F.col("sha256").isNotNull(), F.struct("prefix", item.alias("item")))))
+    joined = F.sha2(F.concat_ws("", F.transform(items, lambda e: e["item"])), 256)
+    return level.groupBy(*groups, F.coalesce(F.substring("prefix", 1, depth), F.lit("")).alias("__to")).agg(
+        F.sum("n").alias("n"), F.when(F.max("sha256").isNotNull(), joined).alias("sha256")
+    ).select(*groups, F.lit(depth).alias("depth"), F.col("__to").alias("prefix"), "n", "sha256")
+
+
+def merkle_tree(rows: DataFrame, digest: str, groups: Sequence[str] = ()) -> DataFrame:
+    """All nodes (groups.., depth, prefix, n, sha256) over the hex digests of `rows`."""
+    level = _leaves(rows, digest, groups)
+    tree = level
+    for depth in STEPS:
+        level = _above(level, groups, depth)
+        tree = tree.unionByName(level)
+    return tree
+
+
+def _up(prefix: Column | str, depth: int) -> Column:
+    """The node of `depth` above a node; null digests lie under the empty one."""
+    return F.coalesce(F.substring(prefix, 1, depth), F.lit(""))
+
+
+def updated_tree(tree: DataFrame, added: DataFrame, removed: DataFrame, digest: str) -> DataFrame:
+    """The stored `tree` (without groups) after rows were added and removed.
+
+    Only the nodes above a changed digest are built again, from their stored neighbours; all
+    others are taken over. A digest removed more often than it occurs keeps a negative count.
+    """
+    side = lambda rows, sign: rows.select(F.col(digest).alias("prefix"), F.lit(sign).cast("long").alias("n"))
+    delta = side(added, 1).unionByName(side(removed, -1)).groupBy("prefix").agg(F.sum("n").alias("n")).where("n <> 0")
+    touched = delta.select(_up("prefix", STEPS[0]).alias("p")).distinct()
+
+    def at(depth: int) -> DataFrame:
+        return tree.where(F.col("depth") == depth)
+
+    def beside(level: DataFrame, depth: int, how: str) -> DataFrame:
+        """Rows of `level` under (or, as anti join, not under) a touched node of `depth`."""
+        nodes = touched.select(_up("p", depth).alias("o")).distinct()
+        return level.join(nodes, _up("prefix", depth) == F.col("o"), how)
+
+    near = beside(at(LEAF), STEPS[0], "left_semi").select("prefix", "n").unionByName(delta)
+    near = near.groupBy("prefix").agg(F.sum("n").alias("n")).where("n <> 0")
+    level = near.select(F.lit(LEAF).alias("depth"), "prefix", "n", F.col("prefix").alias("sha256"))
+    out = beside(at(LEAF), STEPS[0], "left_anti").unionByName(level)
+    for lower, depth in zip((LEAF, *STEPS), STEPS):
+        if lower != LEAF:  # neighbours below the same node that did not change
+            level = level.unionByName(beside(beside(at(lower), depth, "left_semi"), lower, "left_anti"))
+        level = _above(level, (), depth)
+        out = out.unionByName(beside(at(depth), depth, "left_anti")).unionByName(level)
+    return out
+
+
+def drifted(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(digest, old_count, new_count) of the digests whose counts differ between two trees
+    (without groups). From the root down, only children of differing nodes are compared."""
+    differing = None
+    for depth in (*STEPS[::-1], LEAF):
+        sides = [t.where(F.col("depth") == depth) for t in (old, new)]
+        if differing is not None:
+            parent = differing.select(F.col("prefix").alias("up"))
+            sides = [s.join(parent, F.col("prefix").substr(1, above) == F.col("up"), "left_semi") for s in sides]
+        a, b = (s.select("prefix", F.col("n").alias(f"{w}_n"), F.col("sha256").alias(f"{w}_sha")) for s, w in zip(sides, ("old", "new")))
+        both = a.join(b, "prefix", "full_outer")
+        differing = both.where(~(F.col("old_sha").eqNullSafe(F.col("new_sha")) & F.col("old_n").eqNullSafe(F.col("new_n"))))
+        above = depth
+    zero = F.lit(0).cast("long")
+    return differing.select(F.col("prefix").alias("digest"), F.coalesce("old_n", zero).alias("old_count"), F.coalesce("new_n", zero).alias("new_count"))
 
 
 def set_hash(rows: DataFrame, digest: str, groups: Sequence[str] = (), *, count: str = "rows", out: str = "set_sha256") -> DataFrame:
-    """(groups.., count, out): rows and set hash of the hex digests of each group; without
+    """(groups.., count, out): rows and root hash of the hex digests of each group; without
     groups one row, also for an empty table. The order of rows does not matter. Null digests
     are counted and not hashed."""
-    level = rows.groupBy(*groups, F.col(digest).alias("__h")).agg(F.count(F.lit(1)).alias("__n"))
-    level = level.select(*groups, F.coalesce(F.substring("__h", 1, STEPS[0]), F.lit("")).alias("__p"), "__h", "__n")
-    keys = [*groups, "__p"]
-    schema = StructType([*(level.schema[k] for k in keys), StructField("__n", LongType()), StructField("__h", StringType())])
-    level = level.repartition(*keys).sortWithinPartitions(*keys, "__h").mapInArrow(_hash_runs, schema)
-    for length in STEPS[1:]:
-        items = F.array_sort(F.collect_list(F.struct("__p", "__h")))
-        joined = F.sha2(F.concat_ws("", F.transform(items, lambda e: e["__h"])), 256)
-        level = level.groupBy(*groups, F.substring("__p", 1, length).alias("__to")).agg(
-            F.sum("__n").alias("__n"), F.when(F.max("__h").isNotNull(), joined).alias("__h")
-        ).withColumnRenamed("__to", "__p")
-    found = level.select(*groups, F.col("__n").alias(count), F.col("__h").alias(out))
+    level = _leaves(rows, digest, groups)
+    for depth in STEPS:
+        level = _above(level, groups, depth)
+    found = level.select(*groups, F.col("n").alias(count), F.col("sha256").alias(out))
     if groups:
         return found
     one = rows.sparkSession.range(1).select(F.lit(1).alias("__one"))

@@ -96,3 +96,66 @@ def test_train_scores_query(spark):
     rows = queries["train_scores"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.epoch, r.split) for r in rows) == [(1, "train"), (1, "val"), (2, "train"), (2, "val")]
     assert "train_scores" not in twins and "train_eval" in twins
+
+
+def plain_fit(x, y, w, splits, order, epochs, rate, decay, classes):
+    """Adam over weighted softmax regression, batch after batch, in plain loops."""
+    import numpy as np
+
+    rows = np.hstack([x, np.ones((len(x), 1))])
+    weights = first = second = np.zeros((rows.shape[1], classes))
+    steps, history = 0, []
+
+    def forward(at):
+        logits = rows[at] @ weights
+        chance = np.exp(logits - logits.max(axis=1, keepdims=True))
+        chance /= chance.sum(axis=1, keepdims=True)
+        loss = sum(-np.log(chance[i, y[j]]) * w[j] for i, j in enumerate(at)) / w[at].sum()
+        return chance, loss, logits.argmax(axis=1)
+
+    for _ in range(epochs):
+        total = right = 0
+        for at in order:
+            chance, loss, guess = forward(at)
+            total += loss * len(at)
+            right += (guess == y[at]).sum()
+            wrong = chance - np.eye(classes)[y[at]]
+            gradient = rows[at].T @ (wrong * w[at][:, None]) / w[at].sum() + decay * weights
+            steps += 1
+            first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+            weights = weights - rate * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.999**steps)) + 1e-8)
+        _, loss, guess = forward(splits["val"])
+        history.append((total / sum(map(len, order)), right / sum(map(len, order)), loss, (guess == y[splits["val"]]).mean()))
+    return weights, history
+
+
+def test_epochs_go_on(spark):
+    """Losses, scores and weights against plain loops; a fit in two halves is the fit in one."""
+    import numpy as np
+    from pyspark.ml.linalg import Vectors
+
+    from actiongrid.operators.training import fit_epochs
+
+    labels, rng = ("a", "b", "c"), np.random.default_rng(4)
+    y = rng.choice(3, 90, p=[0.6, 0.3, 0.1])
+    x = rng.normal(size=(90, 4)) + 2 * np.eye(3, 4)[y]
+    split = np.where(np.arange(90) % 6 == 0, "val", "train")
+    df = spark.createDataFrame([(Vectors.dense(v), labels[c], s) for v, c, s in zip(x.tolist(), y.tolist(), split.tolist())], ["features", "label", "split"]).coalesce(1)
+    n = np.bincount(y[split == "train"], minlength=3)
+    w = (len(y[split == "train"]) / (3 * n))[y]
+    train = np.flatnonzero(split == "train")
+    blocks = [train[i:i + 20] for i in range(0, len(train), 20)]
+    # blocks are numbered as they fill: 0, 1, 2, then the rest of val, then the rest of train
+    order = [np.concatenate([b for b, i in zip(blocks, (0, 1, 2, 4)) if i % 2 == k]) for k in range(2)]
+    best, state, report = fit_epochs(df, labels, epochs=3, steps=2, learning_rate=0.1, block_rows=20)
+    weights, history = plain_fit(x, y, w, {"val": np.flatnonzero(split == "val")}, order, 3, 0.1, 1e-4, 3)
+    found = [(h["train_loss"], h["train"]["accuracy"], h["val_loss"], h["val"]["accuracy"]) for h in report["history"]]
+    assert np.allclose(found, history, atol=2e-6) and np.allclose(state.matrix, weights)
+    assert [h["train"]["samples"] for h in report["history"]] == [75] * 3 and report["best_macro_f1"] > 0.6
+    assert report["history"][-1]["train_loss"] < report["history"][0]["train_loss"]
+    _, half, _ = fit_epochs(df, labels, epochs=1, steps=2, learning_rate=0.1, block_rows=20)
+    _, whole, again = fit_epochs(df, labels, epochs=2, steps=2, learning_rate=0.1, block_rows=20, go_on=half)
+    assert np.allclose(whole.matrix, state.matrix) and again["history"] == report["history"]
+    _, spread, _ = fit_epochs(df.repartition(40), labels, epochs=1, steps=1, learning_rate=0.1, block_rows=2)
+    _, one, _ = fit_epochs(df, labels, epochs=1, steps=1, learning_rate=0.1)
+    assert np.allclose(spread.matrix, one.matrix)

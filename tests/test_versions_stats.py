@@ -1,13 +1,15 @@
 import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from actiongrid.domain import ReviewError
-from actiongrid.functions.hashing import set_hash
+from actiongrid.functions.hashing import drifted, merkle_tree, set_hash, updated_tree
 from actiongrid.operators import health as H
 from actiongrid.operators import stats as S
 from actiongrid.operators import versions as V
+from actiongrid.session import durable
 
 
 def test_rally_notes(spark):
@@ -85,7 +87,8 @@ def test_hashes_ignore_order_and_partitions(spark):
 
 
 def brute_set_hash(digests):
-    level = [(d, d) for d in sorted(d for d in digests if d is not None)]
+    counts = Counter(d for d in digests if d is not None)
+    level = [(d, f"{d}:{n}") for d, n in sorted(counts.items())]
     for length in (4, 2, 0):
         parts = {}
         for prefix, h in level:
@@ -107,17 +110,35 @@ def test_set_hash_of_copies_and_nulls(spark):
 
 
 def test_set_hash_of_a_hot_digest(spark):
-    """Copies that would make a string of over 2 GB."""
+    """Copies that would make a string of over 2 GB are one leaf."""
     h, copies = hashlib.sha256(b"hot").hexdigest(), 34_000_000
-    state = hashlib.sha256()
-    for _ in range(34):
-        state.update(h.encode() * 1_000_000)
-    want = state.hexdigest()
-    for _ in range(2):
+    want = f"{h}:{copies}"
+    for _ in range(3):
         want = hashlib.sha256(want.encode()).hexdigest()
     assert tuple(set_hash(spark.range(copies).select(F.lit(h).alias("h")), "h").first()) == (copies, want)
 
 
+def test_trees(spark):
+    """A tree updated by a change is the tree of the changed rows; two trees name what differs."""
+    sha = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    old = [sha(i % 400) for i in range(600)] + [None]
+    gone, fresh = [sha(3), sha(3), sha(399), sha(250)], [sha(9), sha(1000), sha(1001), sha(1001)]
+    left = Counter(old)
+    left.subtract(gone)
+    left.update(fresh)
+    new = list(left.elements())
+    frame = lambda rows: spark.createDataFrame([(h,) for h in rows], "h string")
+    tree, fine = durable(merkle_tree(frame(old), "h")), merkle_tree(frame(new), "h")
+    made = updated_tree(tree, frame(fresh), frame(gone), "h")
+    assert Counter(map(tuple, made.collect())) == Counter(map(tuple, fine.collect()))
+    assert made.where("depth = 0").first().sha256 == brute_set_hash(new)
+    a, b = Counter(old), Counter(new)
+    assert {tuple(r) for r in drifted(tree, fine).collect()} == {(h, a[h], b[h]) for h in a | b if a[h] != b[h]}
+    assert drifted(tree, tree).count() == 0
+    empty = merkle_tree(frame([]), "h")
+    assert {tuple(r) for r in drifted(empty, tree).collect() if r.digest} == {(h, 0, n) for h, n in a.items() if h}
+
+
 def test_imports(spark):
     jobs = spark.createDataFrame([(1, "w", "csv", "h1", 1, ""), (2, "w", "csv", "h1", 1, ""), (3, "w", "csv", "h2", 1, "")],
                                  "job_id int, workspace_id string, import_kind string, source_sha256 string, contract_version int, options string"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from actiongrid.operators.training import epoch_scores, fit_window_classifier
+from actiongrid.operators.training import epoch_scores, fit_epochs, fit_window_classifier
 from actiongrid.session import scratch_path
 from actiongrid.streaming.merge import MergeSettings, closed_events, finish, start_merge_stream
 from actiongrid.streaming.validate import start_validation
@@ -69,8 +69,8 @@ def train_eval(spark, folder):
 
 @query("train_scores")
 def train_scores(spark, folder):
-    """The same fit's scores per epoch and split, and whether they beat the majority class (no
-    SQL twin: SQL fits no model)."""
+    """Losses and scores per epoch and split of a fit that goes on from epoch to epoch, and whether
+    they beat the majority class (no SQL twin: SQL fits no model)."""
     rows, labels = _vectors(spark, folder)
-    _, report = fit_window_classifier(rows, labels, max_iterations=(2, 5))
+    _, _, report = fit_epochs(rows, labels, epochs=2, steps=4, block_rows=256)
     return epoch_scores(rows, report)

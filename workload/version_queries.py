@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from actiongrid.functions.hashing import drifted, merkle_tree, updated_tree
 from actiongrid.operators import versions as V
+from actiongrid.session import durable
 
 from .bindings import EVENTS_SQL, events, manifest_rows, manifest_sql
 from .registry import query, table
@@ -189,7 +191,8 @@ def set_sql(source: str, column: str, name: str, group: str = "") -> str:
     """CTE `name`(group, n, h): rows and set hash of the digests of `source`."""
     by = f"{group}, " if group else ""
     return f"""
-{name}4 as (select {by}substr({column}, 1, 4) as p4, count(*) as n4, sha256(string_agg({column}, '' order by {column})) as h4 from {source} group by all),
+{name}1 as (select {by}{column} as d1, count(*) as n1 from {source} group by all),
+{name}4 as (select {by}substr(d1, 1, 4) as p4, sum(n1) as n4, sha256(string_agg(d1 || ':' || n1, '' order by d1)) as h4 from {name}1 group by all),
 {name}2 as (select {by}substr(p4, 1, 2) as p2, sum(n4) as n2, sha256(string_agg(h4, '' order by p4, h4)) as h2 from {name}4 group by all),
 {name} as (select {by}cast(sum(n2) as bigint) as n, sha256(string_agg(h2, '' order by p2, h2)) as h from {name}2 {"group by all" if group else ""})"""
 
@@ -205,6 +208,42 @@ def table_hash(spark, folder):
     return V.table_hash(table(spark, folder, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
+def _two_states(spark, folder):
+    """Digests of the orders as they were and as they are: some changed, some gone, some twice."""
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus"]
+    old = table(spark, folder, "orders").select(*columns)
+    moved = old.withColumn("o_custkey", F.when(F.col("o_orderkey") % 50 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    new = moved.where("o_orderkey % 70 <> 1").withColumn("copies", F.when(F.col("o_orderkey") % 90 == 2, 2).otherwise(1))
+    new = new.select(*columns, F.explode(F.sequence(F.lit(1), "copies"))).select(*columns)
+    return tuple(V.row_hashes(d, columns, out="h").select("h", "o_orderkey") for d in (old, new))
+
+
+DRIFT_SQL = f"""with a as (select {JSON_SQL} as h from orders),
+b as (select {JSON_SQL.replace("o_custkey ||", "(case when o_orderkey % 50 = 0 then o_custkey + 1 else o_custkey end) ||")} as h
+      from orders, (select unnest([1, 2]) as copy) where o_orderkey % 70 <> 1 and (copy = 1 or o_orderkey % 90 = 2)),
+ca as (select h, count(*) as n from a group by h), cb as (select h, count(*) as n from b group by h)"""
+
+
+@query("hash_drift_rows", DRIFT_SQL + """
+select coalesce(ca.h, cb.h) as digest, coalesce(ca.n, 0) as old_count, coalesce(cb.n, 0) as new_count
+from ca full outer join cb on ca.h = cb.h where ca.n is distinct from cb.n""")
+def hash_drift_rows(spark, folder):
+    """The rows in which two states differ, found by walking their trees from the roots."""
+    trees = [durable(merkle_tree(side, "h")) for side in _two_states(spark, folder)]
+    return drifted(*trees)
+
+
+@query("hash_tree_update", DRIFT_SQL + f""", {set_sql('b', 'h', 's')} select n as rows, h as set_sha256 from s""")
+def hash_tree_update(spark, folder):
+    """The root after a change, from the stored tree and the changed rows alone."""
+    old, new = _two_states(spark, folder)
+    tree = durable(merkle_tree(old, "h"))
+    drift = drifted(tree, merkle_tree(new, "h"))
+    times = lambda a, b: drift.where(f"{a} > {b}").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col(a) - F.col(b))), "digest").select("digest")
+    made = updated_tree(tree, times("new_count", "old_count"), times("old_count", "new_count"), "digest")
+    return made.where("depth = 0").select(F.col("n").alias("rows"), F.col("sha256").alias("set_sha256"))
+
+
 @query("idempotent_imports", f"""with {EVENTS_SQL},
 j as (select event_id as job_id, sha256(concat_ws(chr(31), cast(user_id % 10 as varchar), event_type, cast(k as varchar), '1', '')) as key from ev),
 f as (select key, min(job_id) as first_job from j group by key),
