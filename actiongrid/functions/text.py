@@ -59,15 +59,13 @@ def int_value(value: Column | str) -> Column:
 
 
 def _clock(centis: Column) -> Column:
-    seconds = int_div(centis, 100)
-    text = F.format_string(
-        "%02d:%02d:%02d.%02d",
-        int_div(seconds, 3600),
-        int_div(seconds, 60) % 60,
-        seconds % 60,
-        centis % 100,
+    """HH:MM:SS.cc; hours may have more digits. Null for null."""
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hours = int_div(centis, 360_000).cast("string")
+    return F.concat(
+        F.when(F.length(hours) < 2, F.concat(F.lit("0"), hours)).otherwise(hours), F.lit(":"),
+        two(int_div(centis, 6000) % 60), F.lit(":"), two(int_div(centis, 100) % 60), F.lit("."), two(centis % 100),
     )
-    return F.when(centis.isNotNull(), text)
 
 
 def timecode(seconds: Column | str) -> Column:

@@ -16,6 +16,7 @@ from ..functions.numbers import seconds_to_us
 from ..functions.text import file_name, float_value, int_of_stripped, optional_text, resolve_path, stripped_or_empty
 from ..plans.guards import columns_present
 from ..plans.literal import domain_table
+from ..plans.ordered import in_order
 from ..session import scratch_path
 
 
@@ -280,7 +281,7 @@ def publish_manifest(rows: DataFrame, columns: Sequence[str], path: str, *, inpu
     output_apart_from_inputs(path, inputs)
     require_valid(check_manifest(rows, **options))
     if "record_index" in rows.columns:
-        rows = rows.orderBy("record_index")
+        rows = in_order(rows, "record_index")
 
     def check(staged: str) -> dict:
         stored = check_manifest(durable(scan_manifest(rows.sparkSession, staged)), **options)

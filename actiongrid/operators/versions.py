@@ -200,6 +200,49 @@ def revision_faults(revisions: DataFrame, *, aggregate: str = "event_id", max_ro
     ).where("fault is not null").select("revision_id", aggregate, "revision_no", "parent_id", "fault")
 
 
+def revision_lineage(revisions: DataFrame, *, id_col: str = "revision_id", parent_col: str = "parent_id") -> DataFrame:
+    """(id, state, root, depth, cycle, cycle_size) of every revision, by pointer doubling.
+
+    state is `rooted` (root is the first revision of its chain, `depth` steps away; one whose
+    parent is missing is a root), `cycle` (a member; cycle is its smallest id) or `into_cycle`
+    (a chain that runs into one). Each round doubles how far a revision sees, so a chain of n
+    takes log2(n) rounds; a round is a stored table of the revisions not resolved yet.
+    """
+    ids = revisions.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent"))
+    known = ids.select(F.col("id").alias("parent"), F.lit(True).alias("__known"))
+    start = ids.join(known, "parent", "left")
+    up = F.when(F.col("__known"), F.col("parent"))
+    state = durable(start.select(
+        "id", up.alias("to"), F.when(up.isNull(), F.col("id")).alias("root"),
+        F.when(up.isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("id").alias("low"),
+    ))
+    done, seen, left = state.where("to IS NULL"), 1, state.where("to IS NOT NULL")
+    n, before = left.count(), -1
+    # a round without a newly resolved row leaves cycles and what leads to them; their members
+    # are told apart once every revision sees at least as far as there are revisions
+    while n and (n != before or seen < n):
+        ahead = done.unionByName(left).select(
+            F.col("id").alias("to"), F.col("to").alias("__to"), F.col("root").alias("__root"),
+            F.col("steps").alias("__steps"), F.col("low").alias("__low"))
+        state = durable(left.join(ahead, "to").select(
+            "id", F.col("__to").alias("to"), F.col("__root").alias("root"),
+            (F.col("steps") + F.col("__steps")).alias("steps"), F.least("low", "__low").alias("low")))
+        done, left = done.unionByName(state.where("to IS NULL")), state.where("to IS NOT NULL")
+        before, n, seen = n, left.count(), seen * 2
+    ends = left.select(F.col("to").alias("id")).distinct().withColumn("__on", F.lit(True))
+    looped = left.join(ends, "id", "left").withColumn("__on", F.coalesce("__on", F.lit(False)))
+    members = looped.where("__on").select(F.col("id").alias("to"), F.col("low").alias("cycle"))
+    sizes = members.groupBy("cycle").agg(F.count(F.lit(1)).alias("cycle_size"))
+    looped = looped.join(members, "to").join(sizes, "cycle")
+    kind = left.schema["id"].dataType
+    rooted = done.select("id", F.lit("rooted").alias("state"), "root", F.col("steps").alias("depth"),
+                         F.lit(None).cast(kind).alias("cycle"), F.lit(None).cast("long").alias("cycle_size"))
+    return rooted.unionByName(looped.select(
+        "id", F.when(F.col("__on"), "cycle").otherwise("into_cycle").alias("state"), F.lit(None).cast(kind).alias("root"),
+        F.lit(None).cast("long").alias("depth"), "cycle", "cycle_size",
+    ))
+
+
 def fixed_snapshot(events: DataFrame, revisions: DataFrame) -> DataFrame:
     """Rows of the revisions that are current now. The pointers are resolved once and
     stored, so a pointer that moves later cannot change a running export."""

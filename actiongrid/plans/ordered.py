@@ -118,6 +118,37 @@ def order_by_key(
     return OrderedRows(keys, order, cold, hot)
 
 
+def in_order(df: DataFrame, column: str, *, parts: int | None = None) -> DataFrame:
+    """`df` in the order of a whole-number `column`: every partition holds a range of it, in order.
+
+    A sort would sample its whole input, and so evaluate it a second time. Here the cut points
+    are quantiles of `column` alone: what the plan computes for other columns is pruned away.
+    `parts` is `spark.sql.shuffle.partitions` if not given; nulls come first.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = []
+    if shares:
+        asked = F.percentile_approx(column, F.array(*[F.lit(s) for s in shares]), F.lit(max(10_000, 20 * parts)))
+        cuts = sorted(set(df.select(column).agg(asked).first()[0] or []))
+    return (
+        df.withColumn("__bucket", F.coalesce(_cuts_upto(F.col(column), cuts), F.lit(0)))
+        .repartitionById(len(cuts) + 1, "__bucket").drop("__bucket").sortWithinPartitions(column)
+    )
+
+
+def _cuts_upto(value: Column, cuts: Sequence[int]) -> Column:
+    """How many of the sorted `cuts` are not above `value`, by two short scans."""
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    runs = [cuts[i:i + step] for i in range(0, len(cuts), step)]
+    literal = lambda values: F.array(*[F.lit(int(v)).cast("long") for v in values])
+    run = F.size(F.filter(literal([r[0] for r in runs]), lambda c: c <= value))
+    inner = F.size(F.filter(F.get(F.array(*map(literal, runs)), run - 1), lambda c: c <= value))
+    return F.when(run == 0, 0).otherwise((run - 1) * step + inner)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """`df` with the place of each row (from 1, without gaps) in the order of `order`.
 

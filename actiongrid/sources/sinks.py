@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..domain import EVALUATION_COLUMNS, EVENT_COLUMNS, REVIEW_QUEUE_COLUMNS
 from ..functions.numbers import int_div, us_to_seconds
 from ..plans.guards import output_apart_from_inputs
-from ..plans.ordered import MAX_ROWS, order_by_key
+from ..plans.ordered import MAX_ROWS, in_order, order_by_key
 
 BOM = "\ufeff"
 
@@ -59,7 +59,7 @@ def write_events_csv(events: DataFrame, path: str, **kw) -> str:
 
 
 def write_review_queue(queue: DataFrame, path: str, **kw) -> str:
-    return write_csv(queue.orderBy("record_index"), path, REVIEW_QUEUE_COLUMNS, **kw)
+    return write_csv(in_order(queue, "record_index"), path, REVIEW_QUEUE_COLUMNS, **kw)
 
 
 def write_evaluation_csv(rows: DataFrame, path: str, **kw) -> str:

@@ -1,5 +1,7 @@
 import random
 
+from collections import Counter
+
 import pytest
 
 from actiongrid.operators import segments as S
@@ -86,3 +88,19 @@ def test_segments(spark):
     refined = spark.createDataFrame([("i", "set", 1, 2, 0, 10), ("i", "dig", 3, 4, 0, 10)], "interval_id string, label string, start_us long, end_us long, range_start_us long, range_end_us long")
     actions = spark.createDataFrame([("i", "set", 1, 2), ("i", "dig", 3, 5), ("i", "dig", 20, 21)], "interval_id string, label string, start_us long, end_us long")
     assert {(r.end_us, r.in_refined) for r in S.refinement_faults(refined, actions).collect()} == {(4, 1), (5, 0)}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 50])
+def test_in_order(spark, parts):
+    """Ranges in order without a sort of the input; ties, nulls and few values included."""
+    from actiongrid.plans.ordered import in_order
+
+    rows = [(i * 7919 % 500 // 3, f"x{i}") for i in range(700)] + [(None, "none")]
+    df = spark.createDataFrame(rows, "n long, x string").repartition(5)
+    made = in_order(df, "n", parts=parts)
+    assert made.columns == ["n", "x"] and Counter(map(tuple, made.collect())) == Counter(rows)
+    held = [[r.n if r.n is not None else -1 for r in part] for part in made.rdd.glom().collect()]
+    flat = [n for part in held for n in part]
+    assert flat == sorted(flat) and len([p for p in held if p]) >= min(parts, 3)
+    assert in_order(df.limit(0), "n", parts=parts).count() == 0
+    assert "rangepartitioning" not in made._jdf.queryExecution().executedPlan().toString()

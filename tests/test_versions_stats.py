@@ -77,6 +77,31 @@ def test_revisions(spark, max_rows):
     assert [r.revision_id for r in V.fixed_snapshot(events, rev).collect()] == ["a2"]
 
 
+def test_lineage(spark):
+    """Against walking every chain by hand, with cycles of 1, 2 and 5 and a missing parent."""
+    import random
+
+    rng = random.Random(2)
+    parent = {f"r{i}": (f"r{rng.randrange(i)}" if i % 9 else None) for i in range(1, 60)}
+    parent["r0"] = "gone"
+    parent |= {f"l{i}": f"l{i - 1}" if i else None for i in range(70)}
+    parent |= {"s": "s", "t0": "t1", "t1": "t0", **{f"u{i}": f"u{(i + 1) % 5}" for i in range(5)}, "v": "u3", "w": "v", "x": "s"}
+    want = {}
+    for node in parent:
+        path, at = [node], node
+        while parent.get(at) in parent and parent[at] not in path:
+            at = parent[at]
+            path.append(at)
+        if parent.get(at) in parent:
+            loop = path[path.index(parent[at]):]
+            want[node] = ("cycle" if node in loop else "into_cycle", None, None, min(loop), len(loop))
+        else:
+            want[node] = ("rooted", at, len(path) - 1, None, None)
+    rows = spark.createDataFrame(list(parent.items()), "revision_id string, parent_id string")
+    assert {r.id: tuple(r)[1:] for r in V.revision_lineage(rows).collect()} == want
+    assert V.revision_lineage(rows.limit(0)).count() == 0
+
+
 def test_hashes_ignore_order_and_partitions(spark):
     rows = spark.range(100).selectExpr("id", "cast(id % 7 as string) v")
     a = V.table_hash(rows, ["id", "v"]).first()

@@ -154,6 +154,24 @@ def revision_faults_hot_events(spark, folder):
     return V.revision_faults(revisions(spark, folder), max_rows=17)
 
 
+LINE = """case when c_custkey % 100 = 1 then c_custkey when c_custkey % 100 in (2, 11, 12, 13, 14) then c_custkey + 1
+  when c_custkey % 100 = 15 then c_custkey - 4 when c_custkey % 100 in (0, 20) then null else c_custkey - 1 end"""
+
+
+@query("revision_lineage", f"""with recursive rv as (select c_custkey as id, {LINE} as parent from customer),
+up(id, cur, d) as (select id, id, 0 from rv
+  union all select up.id, rv.parent, d + 1 from up join rv on rv.id = up.cur where rv.parent in (select id from rv) and d < 200),
+far as (select id, max(d) as depth, arg_max(cur, d) as root, min(case when d >= 100 then cur end) as cycle,
+        count(distinct case when d >= 100 then cur end) as cycle_size, bool_or(cur = id and d > 0) as looped from up group by id)
+select id, case when depth < 200 then 'rooted' when looped then 'cycle' else 'into_cycle' end as state,
+  case when depth < 200 then root end as root, case when depth < 200 then cast(depth as bigint) end as depth,
+  case when depth = 200 then cycle end as cycle, case when depth = 200 then cycle_size end as cycle_size from far""")
+def revision_lineage(spark, folder):
+    """Chains of up to 79 steps, cycles of one, two and five revisions, and chains into them."""
+    rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("revision_id"), F.expr(LINE).alias("parent_id"))
+    return V.revision_lineage(rows)
+
+
 @query("latest_revisions", f"with {REVISIONS_SQL} select event_id, revision_id, revision_no from (select *, row_number() over (partition by event_id order by revision_no desc, revision_id desc) as rn from rv) where rn = 1")
 def latest_revisions(spark, folder):
     return V.latest_revisions(revisions(spark, folder)).select("event_id", "revision_id", "revision_no")
