@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bpe import arrow_runs
 from .common import query, stored, table
-from .grams import Sieve, WordHashes, bit_table, gram_hashes, may_hold, mixed
+from .grams import MIX, Sieve, WordHashes, bit_table, gram_hashes, may_hold, mixed
 
 #: Occurrences that a task holds before it folds and emits them, and words that it numbers.
 HELD = 3_000_000
@@ -36,8 +36,8 @@ BITS = 20
 RARE, RARE_WORDS = 1, 200_000
 #: Words looked at in one go.
 TOGETHER = 100_000
-#: Stripes of an Arrow batch.
-BATCH = 10_000
+#: Blocks of an Arrow batch.
+BATCH = 256
 #: Stands for a dictionary of hot prefixes: every prefix has SHARE parts.
 ALL = "all"
 #: A prefix with more than 1 / SHARE of all occurrences is merged in parts of that size.
@@ -178,8 +178,8 @@ def _folded(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
-def _striped(columns: list[np.ndarray], known: Vocabulary, lang: str, hot):
-    """Record batches of stripes: equal occurrences counted, those of one prefix put together."""
+def _striped(columns: list[np.ndarray], known: Vocabulary, lang: str, hot, buckets: int):
+    """Record batches of stripes by bucket: equal occurrences counted, those of one prefix put together."""
     (*prefix, following), counts = _folded(columns)
     words = pa.array(known.words, pa.binary())
     turn = np.zeros(len(counts), bool)
@@ -196,35 +196,42 @@ def _striped(columns: list[np.ndarray], known: Vocabulary, lang: str, hot):
     if own:
         for i in np.flatnonzero(pc.is_in(text, pa.array(sorted(own), pa.binary())).to_numpy(zero_copy_only=False)).tolist():
             parts[i] = own[text[i].as_py()]
+    code = np.zeros(len(text), np.uint64)
+    for column in prefix:
+        code = mixed(code ^ known.hashes[column[turn]])
+    code = mixed(code ^ _salt(lang))
     group = np.cumsum(turn) - 1
-    part = (known.hashes[following] % parts[group].astype(np.uint64)).astype(np.int64)
-    if (parts > 1).any():
-        order = np.lexsort((part, group))
-        group, part, following, counts = group[order], part[order], following[order], counts[order]
+    part = known.hashes[following] % parts[group].astype(np.uint64)
+    bucket = ((code[group] + part * MIX) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((group, bucket))
+    group, bucket, following, counts = group[order], bucket[order], following[order], counts[order]
     turn = np.ones(len(group), bool)
-    turn[1:] = (group[1:] != group[:-1]) | (part[1:] != part[:-1])
+    turn[1:] = (group[1:] != group[:-1]) | (bucket[1:] != bucket[:-1])
     starts = np.append(np.flatnonzero(turn), len(group))
-    for low in range(0, len(starts) - 1, BATCH):
-        edges = starts[low:low + BATCH + 1]
-        some = slice(edges[0], edges[-1])
-        entry = words.take(pa.array(following[some]))
-        often = (counts[some] > 1) | (following[some] == 0)
-        counted = pa.array(counts[some]).cast(pa.string()).cast(pa.binary())
-        entry = pc.if_else(pa.array(often), pc.binary_join_element_wise(entry, counted, pa.scalar(b"\t", pa.binary())), entry)
-        stripe = pc.binary_join(pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), entry), pa.scalar(b" ", pa.binary()))
-        owner = pa.array(group[edges[:-1]])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * len(stripe), pa.string()), text.take(owner), pa.array(part[edges[:-1]].astype(np.int32)), stripe.cast(pa.string())],
-            ["lang", "prefix", "part", "stripe"])
+    entry = words.take(pa.array(following))
+    often = pa.array((counts > 1) | (following == 0))
+    counted = pa.array(counts).cast(pa.string()).cast(pa.binary())
+    entry = pc.if_else(often, pc.binary_join_element_wise(entry, counted, pa.scalar(b"\t", pa.binary())), entry)
+    stripe = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), entry), pa.scalar(b" ", pa.binary()))
+    line = pc.binary_join_element_wise(text.take(pa.array(group[starts[:-1]])), stripe, pa.scalar(b"\r", pa.binary()))
+    home = bucket[starts[:-1]]
+    edges = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])[:len(home)]), len(home))
+    block = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), line), pa.scalar(b"\n", pa.binary()))
+    whole = pa.RecordBatch.from_arrays(
+        [pa.array([lang] * len(block), pa.string()), pa.array(home[edges[:-1]].astype(np.int32)), block.cast(pa.string())], ["lang", "bucket", "block"])
+    for low in range(0, len(block), BATCH):
+        yield whole.slice(low, BATCH)
 
 
 def _counted(rows: DataFrame, size: int, bits, hot, words=None) -> DataFrame:
-    """(lang, prefix, part, stripe) of prefixes of `size` words, not yet merged.
+    """(lang, bucket, block) of prefixes of `size` words, not yet merged.
 
-    A stripe is text: its entries, parted by blanks, are a word, or a word, a tab and its count;
-    the empty word counts what follows no further.
+    A block has the stripes of a task that go to one bucket, one a line: the prefix, a carriage
+    return and the entries, parted by blanks. An entry is a word, or a word, a tab and its count;
+    the empty word counts what follows no further. None of these marks lies in a word.
     """
     context = rows.sparkSession.sparkContext
+    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sieve, parts, frequent = (context.broadcast(x) for x in (bits, hot, words))
 
     def run(batches):
@@ -234,7 +241,7 @@ def _counted(rows: DataFrame, size: int, bits, hot, words=None) -> DataFrame:
 
         def emitted():
             for lang, found in held.items():
-                yield from _striped([np.concatenate(c) for c in zip(*found)], known[lang], lang, parts.value)
+                yield from _striped([np.concatenate(c) for c in zip(*found)], known[lang], lang, parts.value, buckets)
 
         for rows_, run_texts in arrow_runs(batches):
             by_lang: dict[str, list] = {}
@@ -255,22 +262,25 @@ def _counted(rows: DataFrame, size: int, bits, hot, words=None) -> DataFrame:
                     known = {}
         yield from emitted()
 
-    return rows.mapInArrow(run, "lang string, prefix binary, part int, stripe string")
+    return rows.mapInArrow(run, "lang string, bucket int, block string")
 
 
 def stripes(rows: DataFrame, size: int, least: int, bits, hot, words=None) -> DataFrame:
-    """(lang, prefix, part, total, entries) of all prefixes of `size` words, merged.
+    """(lang, prefix, total, entries) of all prefixes of `size` words, merged; a prefix of many
+    occurrences has several rows, each with its share of the following words.
 
     entries: (word, f) of the following words with f >= least. Explode and sum stay within the
-    partition that a stripe was dealt to and spill there; a stripe is never one Python object.
+    partition that a bucket was dealt to and spill there; a stripe is never one Python object.
     """
-    dealt = _counted(rows, size, bits, hot, words).repartition("lang", "prefix", "part")
-    one = dealt.select("lang", "prefix", "part", F.explode(F.split("stripe", " ")).alias("e"))
+    dealt = _counted(rows, size, bits, hot, words).repartition("bucket")
+    line = dealt.select("bucket", "lang", F.explode(F.split("block", "\n")).alias("line"))
+    one = line.select("bucket", "lang", F.substring_index("line", "\r", 1).alias("prefix"), F.explode(F.split(F.substring_index("line", "\r", -1), " ")).alias("e"))
     tab = F.instr("e", "\t")
     count = F.when(tab == 0, 1).otherwise(F.expr("substring(e, instr(e, '\t') + 1)").cast("long"))
-    summed = one.groupBy("lang", "prefix", "part", F.substring_index("e", "\t", 1).cast("binary").alias("word")).agg(F.sum(count).alias("f"))
-    kept = F.when((F.col("f") >= least) & (F.length("word") > 0), F.struct("word", "f"))
-    return summed.groupBy("lang", "prefix", "part").agg(F.sum("f").alias("total"), F.collect_list(kept).alias("entries"))
+    summed = one.groupBy("bucket", "lang", "prefix", F.substring_index("e", "\t", 1).alias("word")).agg(F.sum(count).alias("f"))
+    kept = F.when((F.col("f") >= least) & (F.col("word") != ""), F.struct(F.col("word").cast("binary").alias("word"), "f"))
+    merged = summed.groupBy("bucket", "lang", "prefix").agg(F.sum("f").alias("total"), F.collect_list(kept).alias("entries"))
+    return merged.select("lang", F.col("prefix").cast("binary").alias("prefix"), "total", "entries")
 
 
 def _hot(grams: DataFrame, total: int) -> dict:
