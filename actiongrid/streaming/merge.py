@@ -3,8 +3,10 @@
 Each micro-batch is one run of the batch merge over what is still open plus what has
 become ready, so hot videos are chunked exactly as in batch. What is carried between
 micro-batches is one row per video (open event, watermark, counter) and the windows
-that are not ready yet. Everything a batch writes goes under its own batch number:
-a replayed batch overwrites itself and reads the state of its predecessor.
+that are not ready yet. A video without arrivals does not change, so a batch reads and writes
+the state of its own videos only: state is a log (see `statelog`), whose latest entry of a video
+counts. Everything a batch writes goes under its own batch number: a replayed batch overwrites
+itself and reads the state before it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.events import as_spans, event_table, merge_spans, usable_windows
 from ..plans.guards import micros, non_negative
 from ..plans.ordered import MAX_ROWS, attach, order_by_key
+from .statelog import COMPACT_EVERY, StateLog, delete
 
 SPAN = "video_id string, ordinal long, start_us long, end_us long, action string, conf_sum long, n_windows long"
 VIDEO = (
@@ -119,46 +122,36 @@ def attach_full(videos: DataFrame, marks: DataFrame) -> DataFrame:
     return videos.join(marks, "video_id", "full_outer")
 
 
-def _paths(base: str, batch: int) -> dict[str, str]:
-    return {name: f"{base}/{name}/batch={batch}" for name in ("videos", "waiting", "events", "late", "merged")}
+def state_log(spark: SparkSession, base: str, compact_every: int = COMPACT_EVERY) -> StateLog:
+    return StateLog(spark, f"{base}/state", "video_id", {"videos": VIDEO, "waiting": SPAN}, compact_every)
 
 
-def run_batch(spark: SparkSession, base: str, batch: int, windows: DataFrame, settings: MergeSettings, *, final: bool = False) -> None:
-    """Read the state of the batch before, take one step, write everything of this batch.
+def run_batch(
+    spark: SparkSession, base: str, batch: int, windows: DataFrame, settings: MergeSettings, *, final: bool = False,
+    compact_every: int = COMPACT_EVERY,
+) -> None:
+    """Read the state of the batch's videos, take one step, write everything of this batch.
 
-    Arrivals are kept for the length of the batch, so its outputs read them once. State is
-    deleted two batches later: a batch that is taken again still finds the one before it."""
-    if batch == 0:
-        state = StreamState.empty(spark)
-    else:
-        before = _paths(base, batch - 1)
-        state = StreamState(
-            spark.read.schema(VIDEO).parquet(before["videos"]), spark.read.schema(SPAN).parquet(before["waiting"])
-        )
-    here = _paths(base, batch)
+    Arrivals are kept for the length of the batch, so its outputs read them once. `final` is a
+    step of all videos."""
+    log = state_log(spark, base, compact_every)
+    place = lambda name, number=batch: f"{base}/{name}/batch={number}"
 
     def store(merged: DataFrame) -> DataFrame:
-        merged.write.mode("overwrite").parquet(here["merged"])
-        return spark.read.schema(merged.schema).parquet(here["merged"])
+        merged.write.mode("overwrite").parquet(place("merged"))
+        return spark.read.schema(merged.schema).parquet(place("merged"))
 
     windows = windows.persist()
     try:
-        result = step(state, windows, settings, final=final, store=store)
-        outputs = {
-            "videos": result.state.videos, "waiting": result.state.waiting,
-            "events": result.events, "late": result.late,
-        }
-        for name, df in outputs.items():
-            df.write.mode("overwrite").parquet(here[name])
+        found = log.before(batch, None if final else windows.select("video_id").distinct())
+        result = step(StreamState(found["videos"], found["waiting"]), windows, settings, final=final, store=store)
+        log.write(batch, {"videos": result.state.videos, "waiting": result.state.waiting})
+        for name, df in (("events", result.events), ("late", result.late)):
+            df.write.mode("overwrite").parquet(place(name))
     finally:
         windows.unpersist()
-    for name in ("videos", "waiting", "merged"):
-        _delete(spark, _paths(base, batch - 2)[name])
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    log.compact(batch)
+    delete(spark, place("merged", batch - 2))
 
 
 def start_merge_stream(windows: DataFrame, base: str, settings: MergeSettings, *, checkpoint: str, trigger: dict | None = None):

@@ -2,8 +2,9 @@ import random
 
 from actiongrid.domain import WINDOWS
 from actiongrid.operators.events import merge_windows
-from actiongrid.streaming.merge import MergeSettings, StreamState, finish, start_merge_stream, step
-from actiongrid.streaming.validate import start_validation
+from actiongrid.streaming.merge import MergeSettings, StreamState, closed_events, finish, run_batch, start_merge_stream, step
+from actiongrid.streaming.statelog import StateLog
+from actiongrid.streaming.validate import leaks_so_far, start_leakage, start_validation
 from test_events import random_rows
 
 
@@ -33,6 +34,59 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_state_log(spark, tmp_path):
+    """A batch writes the keys it touched; the latest entry counts, before and after snapshots."""
+    log = StateLog(spark, str(tmp_path), "k", {"head": "k string, n long", "rows": "k string, x long"}, compact_every=3)
+    rng, now = random.Random(0), {}
+    history = [{}]
+    for batch in range(11):
+        keys = rng.sample("abcdefgh", 3)
+        for k in keys:
+            now[k] = (batch, [rng.randrange(9) for _ in range(rng.randrange(3))])
+        history.append(dict(now))
+        heads = spark.createDataFrame([(k, now[k][0]) for k in keys], "k string, n long")
+        rows = spark.createDataFrame([(k, x) for k in keys for x in now[k][1]], "k string, x long")
+        for _ in range(2):  # taken again, with the same result
+            seen = log.before(batch)
+            assert {r.k: r.n for r in seen["head"].collect()} == {k: n for k, (n, _) in history[batch].items()}
+            assert sorted(map(tuple, seen["rows"].collect())) == sorted((k, x) for k, (_, xs) in history[batch].items() for x in xs)
+            few = log.before(batch, heads.select("k"))
+            assert {r.k for r in few["head"].collect()} == set(keys) & set(history[batch])
+            log.write(batch, {"head": heads, "rows": rows})
+            log.compact(batch)
+        assert spark.read.parquet(f"{tmp_path}/head/batch={batch}").count() == 3
+    left = sorted(p.name for p in (tmp_path / "head").iterdir())
+    assert left == ["batch=10", "batch=6", "batch=7", "batch=8", "batch=9", "upto=5", "upto=8"]
+
+
+def test_merge_writes_touched_videos_only(spark, tmp_path):
+    settings = MergeSettings.of(delay_seconds=1.0)
+    frame = lambda videos, at: spark.createDataFrame([(v, at, at * 10**6, (at + 1) * 10**6, "set", 900_000) for v in videos], WINDOWS)
+    for batch, videos in enumerate([[f"v{i}" for i in range(20)], ["v3"], ["v3", "v7"]]):
+        run_batch(spark, str(tmp_path), batch, frame(videos, batch), settings)
+        assert spark.read.parquet(f"{tmp_path}/state/videos/batch={batch}").count() == len(videos)
+    finish(spark, str(tmp_path), 2, settings, WINDOWS)
+    got = {r.video_id: (r.start_us, r.end_us, r.n_windows) for r in closed_events(spark, str(tmp_path)).collect()}
+    want = {f"v{i}": (0, 10**6, 1) for i in range(20)} | {"v3": (0, 3 * 10**6, 3)}
+    assert {k: v for k, v in got.items() if k != "v7"} == {k: v for k, v in want.items() if k != "v7"}
+
+
+def test_leakage_stream(spark, tmp_path):
+    """Four batches with a restart between them: reported once, in the batch in which it leaks."""
+    schema = "record_index long, video_path string, start_seconds string, end_seconds string, label string, split string"
+    batches = [[("a", "train"), ("b", "val"), ("a", "train")], [("b", "test"), ("c", "val")], [("a", "val"), ("b", "train"), ("c", "bad")], [("c", "val"), ("a", "test")]]
+    told = []
+    for n, part in enumerate(batches):
+        spark.createDataFrame([(10 * n + i, v, "0", "1", "set", s) for i, (v, s) in enumerate(part)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = start_leakage(stream, str(tmp_path / "out"), checkpoint=str(tmp_path / "cp"), compact_every=2)
+        query.awaitTermination()
+        told.append(sorted((r.video_path, r.splits, r.firsts) for r in spark.read.parquet(str(tmp_path / f"out/leaks/batch={n}")).collect()))
+    assert told == [[], [("/b", 6, [None, 1, 10])], [("/a", 3, [0, 20, None])], []]
+    assert sorted((r.video_path, r.splits) for r in leaks_so_far(spark, str(tmp_path / "out"), 3).collect()) == [
+        ("/a", ["test", "train", "val"]), ("/b", ["test", "train", "val"])]
+
+
 def test_late_windows_go_aside(spark):
     settings = MergeSettings.of(delay_seconds=0.0)
     first = step(StreamState.empty(spark), spark.createDataFrame([("v", 0, 0, 10**6, "set", 900000), ("v", 1, 5 * 10**6, 6 * 10**6, "set", 900000)], WINDOWS), settings)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from actiongrid.operators.training import epoch_scores, fit_epochs, fit_window_classifier
 from actiongrid.session import scratch_path
 from actiongrid.streaming.merge import MergeSettings, closed_events, finish, start_merge_stream
-from actiongrid.streaming.validate import start_validation
+from actiongrid.streaming.validate import leaks_so_far, start_leakage, start_validation
 
 from .bindings import HOUR, WINDOWS_SQL, islands_sql, manifest_rows, manifest_sql, windows
 from .registry import query, table
@@ -44,6 +44,21 @@ def stream_validation(spark, folder):
     return broken.unionByName(fine).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("stream_split_leakage", f"""with {manifest_sql()}
+select video_path, string_agg(distinct split, ',' order by split) as splits
+from m where split in ('train', 'val', 'test') group by video_path having count(distinct split) > 1""")
+def stream_split_leakage(spark, folder):
+    """All rows arrive in four batches, each read by a restarted stream; what leaks equals batch."""
+    rows = manifest_rows(spark, folder)
+    source, base, checkpoint = (scratch_path(spark, n) for n in ("arrivals", "leakage", "checkpoint"))
+    for part in range(4):
+        rows.where(F.pmod(F.floor(F.col("record_index") / 7), F.lit(4)) == part).write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(rows.schema).parquet(source)
+        running = start_leakage(arriving, base, checkpoint=checkpoint, video_root="/media", compact_every=2)
+        running.awaitTermination()
+    return leaks_so_far(spark, base, running.lastProgress["batchId"]).withColumn("splits", F.array_join("splits", ","))
+
+
 def _vectors(spark, folder):
     """(features, label, split) of every vector, and the labels."""
     from pyspark.ml.functions import array_to_vector
