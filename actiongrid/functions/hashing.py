@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 #: Hex digits that the digests below a node share, from the lowest nodes to the root.
 STEPS = (4, 2, 0)
 #: The depth of the leaves: whole digests.
@@ -64,12 +66,13 @@ def _up(prefix: Column | str, depth: int) -> Column:
 def updated_tree(tree: DataFrame, added: DataFrame, removed: DataFrame, digest: str) -> DataFrame:
     """The stored `tree` (without groups) after rows were added and removed.
 
-    Only the nodes above a changed digest are built again, from their stored neighbours; all
-    others are taken over. A digest removed more often than it occurs keeps a negative count.
+    Only the nodes above a changed digest are built again, level by level (each stored), from
+    their stored neighbours; all others are taken over. A digest removed more often than it occurs keeps a negative count.
     """
     side = lambda rows, sign: rows.select(F.col(digest).alias("prefix"), F.lit(sign).cast("long").alias("n"))
     delta = side(added, 1).unionByName(side(removed, -1)).groupBy("prefix").agg(F.sum("n").alias("n")).where("n <> 0")
-    touched = delta.select(_up("prefix", STEPS[0]).alias("p")).distinct()
+    delta = durable(delta)
+    touched = durable(delta.select(_up("prefix", STEPS[0]).alias("p")).distinct())
 
     def at(depth: int) -> DataFrame:
         return tree.where(F.col("depth") == depth)
@@ -86,14 +89,15 @@ def updated_tree(tree: DataFrame, added: DataFrame, removed: DataFrame, digest:
     for lower, depth in zip((LEAF, *STEPS), STEPS):
         if lower != LEAF:  # neighbours below the same node that did not change
             level = level.unionByName(beside(beside(at(lower), depth, "left_semi"), lower, "left_anti"))
-        level = _above(level, (), depth)
+        level = durable(_above(level, (), depth))
         out = out.unionByName(beside(at(depth), depth, "left_anti")).unionByName(level)
     return out
 
 
 def drifted(old: DataFrame, new: DataFrame) -> DataFrame:
     """(digest, old_count, new_count) of the digests whose counts differ between two trees
-    (without groups). From the root down, only children of differing nodes are compared."""
+    (without groups). From the root down, only children of differing nodes are compared; what
+    differs on a level is stored. Both trees should be stored as well."""
     differing = None
     for depth in (*STEPS[::-1], LEAF):
         sides = [t.where(F.col("depth") == depth) for t in (old, new)]
@@ -102,7 +106,8 @@ def drifted(old: DataFrame, new: DataFrame) -> DataFrame:
             sides = [s.join(parent, F.col("prefix").substr(1, above) == F.col("up"), "left_semi") for s in sides]
         a, b = (s.select("prefix", F.col("n").alias(f"{w}_n"), F.col("sha256").alias(f"{w}_sha")) for s, w in zip(sides, ("old", "new")))
         both = a.join(b, "prefix", "full_outer")
-        differing = both.where(~(F.col("old_sha").eqNullSafe(F.col("new_sha")) & F.col("old_n").eqNullSafe(F.col("new_n"))))
+        same = F.col("old_sha").eqNullSafe(F.col("new_sha")) & F.col("old_n").eqNullSafe(F.col("new_n"))
+        differing = durable(both.where(~same))
         above = depth
     zero = F.lit(0).cast("long")
     return differing.select(F.col("prefix").alias("digest"), F.coalesce("old_n", zero).alias("old_count"), F.coalesce("new_n", zero).alias("new_count"))

@@ -256,7 +256,7 @@ def hash_tree_update(spark, folder):
     """The root after a change, from the stored tree and the changed rows alone."""
     old, new = _two_states(spark, folder)
     tree = durable(merkle_tree(old, "h"))
-    drift = drifted(tree, merkle_tree(new, "h"))
+    drift = durable(drifted(tree, durable(merkle_tree(new, "h"))))
     times = lambda a, b: drift.where(f"{a} > {b}").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col(a) - F.col(b))), "digest").select("digest")
     made = updated_tree(tree, times("new_count", "old_count"), times("old_count", "new_count"), "digest")
     return made.where("depth = 0").select(F.col("n").alias("rows"), F.col("sha256").alias("set_sha256"))
