@@ -109,6 +109,7 @@ def audit_note(
     action, start, end, note,
 ) -> Column:
     """The sentence a review leaves behind; times are already text."""
+    # The wording of the sentences.
     confirmed = F.concat(F.lit("confirmed="), action, F.lit("@"), start, F.lit("-"), end)
     added = F.concat(
         F.lit("Second-pass human-reviewed; added from source record "),

@@ -88,6 +88,7 @@ def removal_faults(rows: DataFrame, removals: DataFrame, columns: Sequence[str]
 
 
 def expansion_note(batch: str) -> Column:
+    # The wording of the note.
     return F.concat(
         F.lit(f"Expansion batch {batch}; source workbook cell "), F.col("workbook_cell"),
         F.lit("; input time "), F.col("input_time"), F.lit("; confirmed="), F.col("label"), F.lit("@"),

@@ -88,7 +88,9 @@ def inference_documents(
         F.col("action"), (F.col("conf_micro") / F.lit(1e6)).alias("confidence"),
     )
     scored = parts(windows, ("start_us", "end_us", "ordinal"), window_item, "windows")
-    merged = parts(events, ("start_ms", "event_id"), event_item, "events")
+    # ids are numbers of at least six digits: the longer one is the larger
+    placed = events.withColumn("__digits", F.length("event_id"))
+    merged = parts(placed, ("start_ms", "__digits", "event_id"), event_item, "events")
     heads = media.select("video_id", F.struct(*[F.col(c) for c in media.columns]).alias("video"))
     body = scored.join(merged, ["video_id", "part"], "full_outer").join(heads, "video_id")
     document = F.struct(

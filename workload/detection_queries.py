@@ -75,49 +75,58 @@ def evidence_parts(spark, folder):
 
 
 def vector_frames(spark, folder):
-    """Each vector as one frame: six class ids, five confidences and seven boxes, one short."""
+    """Each vector as one frame, all components read: eleven class ids, ten confidences and eleven
+    boxes, of which two are short."""
     e = F.col("embedding")
     unit = lambda x: F.floor(F.abs(x.cast("double")) * 1000)
     names = F.create_map(*[F.lit(x) for kv in {0: "ball", 1: "spike", 2: " Serve", 3: "SET", 4: "block", 5: "umpire"}.items() for x in kv])
-    boxes = F.array(*[F.slice(e, 12 + 4 * i, 3 if i == 3 else 4) for i in range(7)])
+    boxes = F.array(*[F.slice(e, 22 + 4 * i, 3 if i == 3 else 4) for i in range(11)])
     return table(spark, folder, "embeddings").select(
         F.col("vec_id").alias("window_id"), (F.col("label") % 3).alias("frame_index"),
-        F.transform(F.slice(e, 1, 6), lambda x: (unit(x) % 7).cast("int")).alias("class_ids"),
-        F.transform(F.slice(e, 7, 5), lambda x: unit(x) % 1000 / F.lit(1000.0)).alias("confidences"),
+        F.transform(F.slice(e, 1, 11), lambda x: (unit(x) % 7).cast("int")).alias("class_ids"),
+        F.transform(F.slice(e, 12, 10), lambda x: unit(x) % 1000 / F.lit(1000.0)).alias("confidences"),
         boxes.alias("boxes"), names.alias("names"),
     )
 
 
 @query("detection_extract", """
-with p as (select vec_id, label, embedding as e, unnest(range(1, 6)) as i from embeddings),
+with p as (select vec_id, label, embedding as e, unnest(range(1, 11)) as i from embeddings),
 q as (select vec_id as window_id, cast(label % 3 as integer) as frame_index, cast(i - 1 as integer) as position,
-             cast(floor(abs(e[i]::double) * 1000) as bigint) % 7 as c, cast(floor(abs(e[i + 6]::double) * 1000) as bigint) % 1000 as f from p)
+             cast(floor(abs(e[i]::double) * 1000) as bigint) % 7 as c, cast(floor(abs(e[i + 11]::double) * 1000) as bigint) % 1000 as f,
+             e[18 + 4 * i]::double as x1, e[19 + 4 * i]::double as y1, e[20 + 4 * i]::double as x2, e[21 + 4 * i]::double as y2 from p)
 select window_id, frame_index, position, case c when 1 then 'spike' when 2 then ' Serve' when 3 then 'SET' else 'block' end as source_label,
-       case c when 1 then 'attack' when 2 then 'serve' when 3 then 'set' else 'block' end as action, f * 1000 as conf_micro
+       case c when 1 then 'attack' when 2 then 'serve' when 3 then 'set' else 'block' end as action, f * 1000 as conf_micro, x1, y1, x2, y2
 from q where c between 1 and 4 and position <> 3""")
 def detection_extract(spark, folder):
-    return D.extract_detections(vector_frames(spark, folder)).drop("box_xyxy")
+    found = D.extract_detections(vector_frames(spark, folder))
+    corners = [F.get("box_xyxy", F.lit(i)).alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))]
+    return found.select(*[c for c in found.columns if c != "box_xyxy"], *corners)
 
 
 @query("sample_frames", """
-with p as (select vec_id as window_id, embedding as e, unnest(range(0, 4)) as i from embeddings)
+with p as (select vec_id as window_id, embedding as e, unnest(range(0, 32)) as i from embeddings)
 select window_id, cast(i as integer) as frame_index, e[i * 2 + 1]::double as a, e[i * 2 + 2]::double as b from p""")
 def sample_frames(spark, folder):
     e = F.col("embedding")
     pair = lambda i: F.struct(F.get(e, F.lit(2 * i)).cast("double").alias("a"), F.get(e, F.lit(2 * i + 1)).cast("double").alias("b"))
-    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("window_id"), F.array(*[pair(i) for i in range(4)]).alias("frames"))
+    rows = table(spark, folder, "embeddings").select(F.col("vec_id").alias("window_id"), F.array(*[pair(i) for i in range(32)]).alias("frames"))
     return D.frames_of_samples(rows, "frames")
 
 
-@query("scores_argmax", """
-with s as (select vec_id, embedding[1:7]::double[] as x from embeddings),
+#: One class for each component of a vector.
+CLASSES = ("background", *(f"c{i}" for i in range(1, 64)))
+CLASS_SQL = "case list_position(x, top) when 1 then 'background' else 'c' || (list_position(x, top) - 1) end"
+
+
+@query("scores_argmax", f"""
+with s as (select vec_id, embedding::double[] as x from embeddings),
 t as (select *, list_max(x) as top from s)
-select vec_id, ['background','serve','receive','set','attack','block','dig'][list_position(x, top)] as action,
+select vec_id, {CLASS_SQL} as action,
        cast(round(cast(round(1000000.0 / list_sum(list_transform(x, lambda v: exp(v - top)))) as bigint) / 1000.0) as bigint) as conf_milli
 from t""")
 def scores_argmax(spark, folder):
-    rows = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("scores"))
-    scored = D.score_to_label(rows, "scores", ACTION_LABELS)
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("scores"))
+    scored = D.score_to_label(rows, "scores", CLASSES)
     return scored.select("vec_id", "action", F.round(F.col("conf_micro") / 1000.0).cast("long").alias("conf_milli"))
 
 
@@ -257,27 +266,26 @@ def evaluation_report(spark, folder):
     return single.unionByName(classes).withColumn("value", F.round("value", 9)).join(F.broadcast(records), F.lit(True))
 
 
-@query("scored_events", islands_sql(EVENTS_SQL + """,
-sc as (select e.user_id, e.event_id, e.start_us, e.end_us, v.embedding[1:7]::double[] as x
+@query("scored_events", islands_sql(EVENTS_SQL + f""",
+sc as (select e.user_id, e.event_id, e.start_us, e.end_us, v.embedding::double[] as x
        from ev e join embeddings v on v.vec_id = e.event_id % (select count(*) from embeddings)),
 st as (select *, list_max(x) as top from sc),
-w as (select cast(user_id as varchar) as video_id, event_id as ordinal, start_us, end_us,
-             ['background','serve','receive','set','attack','block','dig'][list_position(x, top)] as action,
+w as (select cast(user_id as varchar) as video_id, event_id as ordinal, start_us, end_us, {CLASS_SQL} as action,
              cast(round(1000000.0 / list_sum(list_transform(x, lambda v: exp(v - top)))) as bigint) as conf_micro from st)""",
     0, HOUR, 60_000_000) + f"""
 select video_id, format('evt_{{:06d}}', event_no) as event_id, {half_even_sql('start_us', '1000')} as start_ms,
-       {half_even_sql('end_us', '1000')} as end_ms, action from merged""")
+       {half_even_sql('end_us', '1000')} as end_ms, action, {half_even_sql('conf_sum', 'n_windows')} as conf_micro from merged""")
 def scored_events(spark, folder):
-    """Score arrays to labels to events."""
+    """Score arrays of all components to labels to events with their confidence."""
     e = events(spark, folder)
     grid = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("ordinal"), "start_us", "end_us")
-    vectors = table(spark, folder, "embeddings").select("vec_id", F.slice("embedding", 1, 7).alias("scores"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("scores"))
     many = vectors.count()
     scores = e.select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("ordinal"),
                       (F.col("event_id") % many).alias("vec_id")).join(vectors, "vec_id")
-    made, _ = infer_events(score_windows(grid, scores, ACTION_LABELS), model_version="m1",
+    made, _ = infer_events(score_windows(grid, scores, CLASSES), model_version="m1",
                            confidence_threshold=0.0, merge_gap_seconds=3600.0, min_event_seconds=60.0)
-    return made.select("video_id", "event_id", "start_ms", "end_ms", "action")
+    return made.select("video_id", "event_id", "start_ms", "end_ms", "action", F.round(F.col("confidence") * 1_000_000).cast("long").alias("conf_micro"))
 
 
 @query("run_record", "select count(*) as events, cast(sum(event_id) as bigint) as id_sum from events")
