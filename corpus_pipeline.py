@@ -43,7 +43,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept")).otherwise(F.col(numbers["text"]))}
     if "n_chars" in numbers:
-        new["n_chars"] = F.when(changed, F.char_length("kept").cast("long")).otherwise(F.col(numbers["n_chars"]))
+        new["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(numbers["n_chars"]))
     return found.select(*[new.get(name, F.col(c)).alias(name) for name, c in numbers.items()])
 
 
