@@ -22,6 +22,8 @@ from ..session import durable
 
 CHUNK = "__chunk"
 MAX_ROWS = 4_000_000
+#: Rows of a chunk below which more chunks are no use, beyond one for each shuffle partition.
+CHUNK_ROWS = 1_000_000
 #: So many hot keys are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -109,15 +111,24 @@ def order_by_key(
         heavy = F.broadcast(heavy)
     condition = same_keys(df, heavy, [(k, k) for k in keys])
     cold = df.join(heavy, condition, "left_anti")
-    chunks = max(2, -(-int(n_rows) * 4 // max_rows))
     hot = durable(
         df.join(heavy, condition, "left_semi")
-        .repartitionByRange(chunks, *keys, *order)
+        .repartitionByRange(chunk_count(df.sparkSession, int(n_rows), max_rows), *keys, *order)
         .withColumn(CHUNK, F.spark_partition_id())
     )
     return OrderedRows(keys, order, cold, hot)
 
 
+def chunk_count(spark, n_rows: int, max_rows: int) -> int:
+    """Chunks for `n_rows` rows of hot keys: quarters of `max_rows`, yet a task should be worth its start.
+
+    Every chunk is a task, a sample and a bound on the driver. A small `max_rows` says which keys are
+    cut; it does not make chunks of a few rows out of a large table.
+    """
+    enough = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // CHUNK_ROWS))
+    return max(2, min(-(-n_rows * 4 // max_rows), enough))
+
+
 def in_order(df: DataFrame, column: str, *, parts: int | None = None) -> DataFrame:
     """`df` in the order of a whole-number `column`: every partition holds a range of it, in order.
 

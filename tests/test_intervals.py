@@ -104,3 +104,12 @@ def test_in_order(spark, parts):
     assert flat == sorted(flat) and len([p for p in held if p]) >= min(parts, 3)
     assert in_order(df.limit(0), "n", parts=parts).count() == 0
     assert "rangepartitioning" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_max_rows_makes_no_chunk_per_row(spark):
+    """A limit of few rows cuts many keys, but tasks stay in proportion to rows."""
+    rows = spark.range(4000).select((F.col("id") % 7).alias("key"), F.col("id").alias("t"))
+    split = order_by_key(rows, ["key"], ["t"], max_rows=3)
+    assert split.hot.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = split.scan(number="n").rows().where("n <> (t - key) div 7 + 1").count()
+    assert (got, split.hot.count()) == (0, 4000)
