@@ -28,14 +28,19 @@ START, END = "start_us", "end_us"
 #: Rows a range should have, and sampled rows a range to find its cut.
 RANGE_ROWS = 500_000
 SAMPLED = 32
+#: Rows sampled for ranges smaller than RANGE_ROWS.
+MOST_SAMPLED = 500_000
 #: Pairs written in one batch.
 BATCH = 200_000
 
 
-def cut_points(line: DataFrame, range_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key hash, start) of the first place of every range but the first, in order."""
-    n = line.count()
-    ranges = -(-n // range_rows)
+def cut_points(line: DataFrame, range_rows: int, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(key hash, start) of the first place of every range but the first, in order.
+
+    The driver holds SAMPLED rows a range, of MOST_SAMPLED at most: beyond, ranges get more rows.
+    """
+    n = line.count() if n is None else n
+    ranges = min(-(-n // range_rows), max(-(-n // RANGE_ROWS), MOST_SAMPLED // SAMPLED))
     if ranges < 2:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     wanted = SAMPLED * ranges
@@ -52,12 +57,13 @@ def cut_points(line: DataFrame, range_rows: int) -> tuple[np.ndarray, np.ndarray
 def places(cuts: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, points: np.ndarray, side: str) -> np.ndarray:
     """How many cuts lie before (`left`: strictly before) each (hash, point)."""
     low, high = (np.searchsorted(cuts[0], hashes, s) for s in ("left", "right"))
-    out = low.copy()
-    inner = np.flatnonzero(low < high)
-    for first in np.unique(low[inner]):  # keys with a cut inside: fewer than ranges
-        own = inner[low[inner] == first]
-        out[own] = first + np.searchsorted(cuts[1][first:high[own[0]]], points[own], side)
-    return out
+    while len(open_ := np.flatnonzero(low < high)):  # a binary search among the cuts inside the key, all rows at once
+        middle = (low[open_] + high[open_]) // 2
+        at, point = cuts[1][middle], points[open_]
+        before = at < point if side == "left" else at <= point
+        low[open_[before]] = middle[before] + 1
+        high[open_[~before]] = middle[~before]
+    return low
 
 
 def _ranks(groups: np.ndarray, values: np.ndarray, at_groups: np.ndarray, at_values: np.ndarray, side: str) -> np.ndarray:
@@ -133,7 +139,8 @@ def sweep_pairs(
         ).where(" and ".join(f"`{c}` is not null" for c in [*keys, "__start", "__end"]))
 
     line = durable(side(left, True).unionByName(side(right, False)))
-    cuts = cut_points(line, range_rows)
+    n_rows = line.count()
+    cuts = cut_points(line, range_rows, n_rows)
     shared = line.sparkSession.sparkContext.broadcast(cuts)
 
     def dealt(batches):
@@ -150,7 +157,9 @@ def sweep_pairs(
 
     wide = T.StructType([*line.schema.fields, T.StructField("__range", T.LongType()), T.StructField("__open", T.BooleanType())])
     ranged = line.mapInArrow(dealt, wide)
-    ranged = ranged.repartition(max(1, len(cuts[0]) + 1), "__range").sortWithinPartitions("__range")
+    # a task takes several ranges, one after another, if they are smaller than is worth a task
+    tasks = min(len(cuts[0]) + 1, max(int(line.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // RANGE_ROWS)))
+    ranged = ranged.repartition(tasks, "__range").sortWithinPartitions("__range")
     names = [*keys, left_id, right_id, "overlap_us"]
     kinds = [*(line.schema[k].dataType for k in keys), kind_a, kind_b, T.LongType()]
     out = T.StructType([T.StructField(n, k) for n, k in zip(names, kinds)])

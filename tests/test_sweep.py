@@ -78,3 +78,11 @@ def test_long_interval_costs_one_row_a_cut(spark):
     assert copies.max() == len(cuts[0]) >= 9 and (copies > 0).sum() == 1
     with pytest.raises(ValueError):
         S.sweep_pairs(df, df, ["key"], left_id="id", right_id="id", range_rows=0)
+
+
+def test_small_ranges_share_tasks(spark):
+    rows = [("k", i, i + 2, i) for i in range(1000)]
+    left = spark.createDataFrame(rows, "key string, start_us long, end_us long, aid long")
+    pairs = S.sweep_pairs(left, left.withColumnRenamed("aid", "bid"), ["key"], left_id="aid", right_id="bid", range_rows=7)
+    assert pairs.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert pairs.count() == 1000 + 2 * 999
