@@ -174,18 +174,19 @@ def items(piece: Range):
             return
         ends = np.append(starts[1:] - 1, -1)
         data, at, depth = [span.data], span.end, int(after[-1]) if len(after) else state["depth"]
+        step = 1 << 14  # most items are short
         while ends[-1] < 0:
             if high <= at:
                 ends[-1] = high
                 break
-            end = cut(file, piece.size, at + (1 << 20), BACKSLASH)
+            end = cut(file, piece.size, at + step, BACKSLASH)
             more = read_at(file, at, end)
             places, before, after, inside = _structure(more, inside, depth)
             found = places[(before == 2) & (after == 2)] + at
             if len(found) and found[0] < high:
                 ends[-1] = found[0]
             data.append(more)
-            at, depth = end, int(after[-1]) if len(after) else depth
+            at, depth, step = end, int(after[-1]) if len(after) else depth, min(2 * step, 1 << 20)
     whole = b"".join(data)
     for first in range(0, len(starts), ROWS):
         some = range(first, min(first + ROWS, len(starts)))
@@ -203,7 +204,7 @@ class Document:
     """
 
     def __init__(self, spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES):
-        self.spark, self.path, self.range_bytes = spark, path, range_bytes
+        self.spark, self.path = spark, path
         files = listing(spark, path)
         if len(files) != 1:
             raise ReviewError("document", f"{path} is {len(files)} files, not one document")
@@ -236,7 +237,7 @@ class Document:
                 self._inside.setdefault(r.range, []).append((r.start, r.commas))
 
     def _run(self, ranges, job: str, schema) -> DataFrame:
-        return read_ranges(self.spark, ranges, f"{__name__}:{job}", schema, self.range_bytes)
+        return read_ranges(self.spark, ranges, f"{__name__}:{job}", schema)
 
     def kind(self, name: str) -> str:
         """absent, null, bool, int, number, text, array or object."""

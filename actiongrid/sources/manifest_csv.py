@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +83,9 @@ class _Slice:
         starts = starts[starts < len(raw)]
         return starts[(raw[starts] != 10) & (raw[starts] != 13)], at_end
 
-    def rest(self, inside: bool, step: int = 1 << 20) -> bytes:
-        """What follows the range up to the end of the record that runs over its edge."""
+    def rest(self, inside: bool, step: int = 1 << 14) -> bytes:
+        """What follows the range up to the end of the record that runs over its edge, read in
+        steps that double: most records are short."""
         out, at, before = [], self.end, self.data[-1:]
         while at < self.size:
             end = cut(self.file, self.size, at + step, QUOTE)
@@ -93,21 +96,21 @@ class _Slice:
                 out.append(data[:ends[0] + 1])
                 break
             out.append(data)
-            at, inside, before = end, at_end, data[-1:]
+            at, inside, before, step = end, at_end, data[-1:], min(2 * step, 1 << 20)
         return b"".join(out)
 
-    def records(self, inside: bool) -> list[list[str]]:
+    def records(self, inside: bool) -> Iterator[list[str]]:
         """Cells of the records that begin here; a CR LF in a cell is read as LF."""
         starts, at_end = self.begins(inside)
         if not len(starts):
-            return []
+            return
         csv.field_size_limit(sys.maxsize)
         text = self.data[starts[0]:]
         raw_end = record_ends(text[-1:], self.following, np.zeros(0, np.int64), at_end)
         if not len(raw_end):  # the last record does not end with the range
             text += self.rest(at_end)
         lines = io.StringIO(text.replace(b"\r\n", b"\n").decode("utf-8", "replace"), newline="")
-        return [row for row in csv.reader(lines) if row]
+        yield from (row for row in csv.reader(lines) if row)
 
 
 def summarise(piece: Range):
@@ -117,8 +120,7 @@ def summarise(piece: Range):
         (plain, plain_end), (quoted, quoted_end) = part.begins(False), part.begins(True)
         header = None
         if part.first:
-            rows = part.records(False)
-            header = rows[0] if rows else []
+            header = next(part.records(False), [])
     yield pa.RecordBatch.from_pydict(
         {
             "path": [piece.path], "start": [piece.start],
@@ -140,28 +142,28 @@ def parse(piece: Range):
     with open_file(piece.path) as file:
         part = _Slice(file, piece)
         rows = part.records(piece.state["inside"])
-    if part.first:
-        rows = rows[1:]
-    cell = {name: i for i, name in enumerate(header)}
-    for at in range(0, len(rows), ROWS):
-        some = rows[at:at + ROWS]
-        columns = []
-        for name in names:
-            i = cell.get(name, sys.maxsize)
-            columns.append(pa.array([(row[i] or None) if i < len(row) else None for row in some], pa.string()))
-        columns += [
-            pa.array([piece.path] * len(some), pa.string()),
-            pa.array(range(index + at, index + at + len(some)), pa.int64()),
-            pa.array([len(row) > len(header) for row in some], pa.bool_()),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, [*names, "source_file", place, "extra_cells"])
+        if part.first:
+            next(rows, None)
+        cell = {name: i for i, name in enumerate(header)}
+        while some := list(itertools.islice(rows, ROWS)):
+            columns = []
+            for name in names:
+                i = cell.get(name, sys.maxsize)
+                columns.append(pa.array([(row[i] or None) if i < len(row) else None for row in some], pa.string()))
+            columns += [
+                pa.array([piece.path] * len(some), pa.string()),
+                pa.array(range(index, index + len(some)), pa.int64()),
+                pa.array([len(row) > len(header) for row in some], pa.bool_()),
+            ]
+            index += len(some)
+            yield pa.RecordBatch.from_arrays(columns, [*names, "source_file", place, "extra_cells"])
 
 
 def planned(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> tuple[list[str], list[Range]]:
     """(header names, ranges with the state they begin in and the index of their first record)."""
     ranges = cut_into_ranges(listing(spark, path), range_bytes)
     here = f"{__name__}:"
-    seen = {(r.path, r.start): r for r in read_ranges(spark, ranges, here + "summarise", SUMMARY, range_bytes).collect()}
+    seen = {(r.path, r.start): r for r in read_ranges(spark, ranges, here + "summarise", SUMMARY).collect()}
     names, out, inside, index, header = [], [], False, 1, []
     for one in ranges:
         found = seen[one.path, one.start]
@@ -195,7 +197,7 @@ def scan_csv(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, pla
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     schema = schema.add("source_file", T.StringType()).add(place, T.LongType()).add("extra_cells", T.BooleanType())
     ranges = [one._replace(state={**one.state, "place": place}) for one in ranges]
-    return read_ranges(spark, ranges, f"{__name__}:parse", schema, range_bytes)
+    return read_ranges(spark, ranges, f"{__name__}:parse", schema)
 
 
 def scan_manifest(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

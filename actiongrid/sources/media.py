@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..domain import MediaError
 from ..functions.text import file_stem
-from .ranges import RANGE_BYTES, Range, listing, open_file, read_ranges
+from .ranges import TASK_BYTES, Range, listing, open_file, read_ranges
 
 PIECE_BYTES = 8 << 20
 
@@ -39,7 +39,7 @@ def digest(piece: Range):
     yield pa.RecordBatch.from_pydict({"path": [piece.path], "length": [piece.size], "sha256": [running.hexdigest()]})
 
 
-def fingerprints(spark: SparkSession, path: str, task_bytes: int = RANGE_BYTES) -> DataFrame:
+def fingerprints(spark: SparkSession, path: str, task_bytes: int = TASK_BYTES) -> DataFrame:
     """SHA-256 of the bytes of every file under `path`, whatever its size.
 
     A hash runs over a file from front to back, so a file is one task's work; small files share

@@ -20,8 +20,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..session import scratch_path
 
-#: Bytes of a range; a task holds one range at a time.
-RANGE_BYTES = 32 << 20
+#: Bytes of a range. A task holds one range at a time, and some tens of times its bytes to parse it.
+RANGE_BYTES = 4 << 20
+#: Bytes of neighbouring ranges that one task reads, one after another.
+TASK_BYTES = 32 << 20
+#: Ranges of a listing above which small ranges grow: the driver holds one row of each.
+MOST_RANGES = 2048
 STEP = 1 << 16
 
 
@@ -45,6 +49,16 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def open_output(path: str):
+    """A new file of the local or a remote file system, for writing."""
+    from pyarrow import fs
+
+    if path.startswith("file:") or "://" not in path:
+        return fs.LocalFileSystem().open_output_stream(re.sub("^file:/*", "/", path))
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_output_stream(inner)
+
+
 def save_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file, written through Spark's file system classes."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,7 +87,9 @@ def listing(spark: SparkSession, path: str) -> list[tuple[str, int]]:
 
 
 def cut_into_ranges(files: list[tuple[str, int]], range_bytes: int = RANGE_BYTES) -> list[Range]:
-    """All ranges in order; an empty file has one empty range."""
+    """All ranges in order, of `range_bytes` or, in large listings, up to RANGE_BYTES; an empty
+    file has one empty range."""
+    range_bytes = max(range_bytes, min(RANGE_BYTES, sum(size for _, size in files) // MOST_RANGES))
     return [
         Range(path, size, at, min(at + range_bytes, size))
         for path, size in files for at in range(0, max(size, 1), range_bytes)
@@ -123,14 +139,17 @@ class _Reader(DataSourceReader):
             yield from job(Range(*piece))
 
 
-def read_ranges(spark: SparkSession, ranges: list[Range], job: str, schema, task_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_ranges(spark: SparkSession, ranges: list[Range], job: str, schema, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Rows that `job` (module:function, Range -> record batches) makes of the ranges.
 
-    Neighbouring small ranges share a task of up to `task_bytes`.
+    Neighbouring small ranges share a task: four tasks a core, none of more than `task_bytes` unless
+    a range has more.
     """
+    cost = lambda one: max(one.end - one.start, STEP)  # noqa: E731 - opening a file costs something too
+    task_bytes = min(task_bytes, -(-sum(map(cost, ranges)) // (4 * spark.sparkContext.defaultParallelism)))
     tasks, held = [], task_bytes
     for one in ranges:
-        size = max(one.end - one.start, STEP)  # opening a file costs something too
+        size = cost(one)
         if held + size > task_bytes:
             tasks.append([])
             held = 0

@@ -136,3 +136,14 @@ def test_file_above_two_gigabytes(tmp_path, monkeypatch):
     expect.update(bytes(5))
     assert (row["length"], row["sha256"]) == (size, expect.hexdigest())
     assert max(sizes) == PIECE_BYTES <= 64 << 20
+
+
+def test_small_ranges_neither_multiply_nor_make_tasks(spark, tmp_path):
+    """Ranges grow with a listing and share tasks: the driver holds a row of each range."""
+    assert len(cut_into_ranges([("x", 1 << 30)], 1 << 16)) <= 2049
+    assert len(cut_into_ranges([("x", 1 << 34)], 1 << 16)) == 1 << 12  # 4 MB at most
+    path = tmp_path / "a.csv"
+    path.write_text("p,q\n" + "".join(f'{i},"x{i}\n"\n' for i in range(20_000)))
+    found = C.scan_manifest(spark, str(path), range_bytes=1 << 10)
+    assert found.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism + 1
+    assert found.where("q <> concat('x', p, '\n') or p <> record_index - 1").isEmpty() and found.count() == 20_000
