@@ -24,6 +24,8 @@ CHUNK = "__chunk"
 MAX_ROWS = 4_000_000
 #: Rows of a chunk below which more chunks are no use, beyond one for each shuffle partition.
 CHUNK_ROWS = 1_000_000
+#: Rows of a range that is sorted and written by one task, at least and at most (for even ranges).
+RANGE_ROWS = (10_000, 500_000)
 #: So many hot keys are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -134,9 +136,9 @@ def in_order(df: DataFrame, column: str, *, parts: int | None = None) -> DataFra
 
     A sort would sample its whole input, and so evaluate it a second time. Here the cut points
     are quantiles of `column` alone: what the plan computes for other columns is pruned away.
-    `parts` is `spark.sql.shuffle.partitions` if not given; nulls come first.
+    `parts` follows from the number of rows if not given (see `range_count`); nulls come first.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or range_count(df.sparkSession, df.select(column).count())
     shares = [i / parts for i in range(1, parts)]
     cuts = []
     if shares:
@@ -148,6 +150,13 @@ def in_order(df: DataFrame, column: str, *, parts: int | None = None) -> DataFra
     )
 
 
+def range_count(spark, n_rows: int) -> int:
+    """Ranges of sorted rows: as many as shuffle partitions, unless these get too few or too many rows."""
+    least, most = RANGE_ROWS
+    usual = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // least))
+    return max(1, usual, -(-n_rows // most))
+
+
 def _cuts_upto(value: Column, cuts: Sequence[int]) -> Column:
     """How many of the sorted `cuts` are not above `value`, by two short scans."""
     if not cuts:
@@ -163,16 +172,19 @@ def _cuts_upto(value: Column, cuts: Sequence[int]) -> Column:
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """`df` with the place of each row (from 1, without gaps) in the order of `order`.
 
-    Rows are cut into ranges, stored with their range, and counted per range; no task sees more
-    than its range. Rows equal in `order` get places next to each other.
+    Rows are cut into ranges, sorted and stored with their place in their range, and counted per
+    range; no task sees more than its range. Rows equal in `order` get places next to each other.
     """
-    parts = durable(df.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()))
-    counts = parts.groupBy(CHUNK).agg(F.count(F.lit(1)).alias("__n"))  # a row per range
-    before = F.sum("__n").over(Window.orderBy(CHUNK)) - F.col("__n")
-    starts = counts.select(F.col(CHUNK).alias("__of"), before.alias("__before"))
-    local = F.row_number().over(Window.partitionBy(CHUNK).orderBy(*order))
-    ranked = parts.withColumn("__local", local).join(F.broadcast(starts), F.col(CHUNK) == F.col("__of"))
-    return ranked.withColumn(name, F.col("__local") + F.col("__before")).drop("__local", "__before", "__of", CHUNK)
+    parts = range_count(df.sparkSession, df.select(*order).count())
+    # an id of two parts: the partition above 33 bits, the row in it below
+    stored = durable(
+        df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    of = F.shiftright("__id", 33)
+    counts = stored.groupBy(of.alias("__of")).agg(F.count(F.lit(1)).alias("__n"))  # a row per range
+    starts = counts.select("__of", (F.sum("__n").over(Window.orderBy("__of")) - F.col("__n")).alias("__before"))
+    local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stored.join(F.broadcast(starts), of == F.col("__of"))
+    return placed.withColumn(name, F.col("__before") + local + 1).drop("__id", "__of", "__before")
 
 
 def _window(keys, order, before=False):

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import uuid
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +16,81 @@ from ..domain import EVALUATION_COLUMNS, EVENT_COLUMNS, REVIEW_QUEUE_COLUMNS
 from ..functions.numbers import int_div, us_to_seconds
 from ..plans.guards import output_apart_from_inputs
 from ..plans.ordered import MAX_ROWS, in_order, order_by_key
+from ..session import scratch_path
+from .ranges import listing, open_file, open_output
 
 BOM = "\ufeff"
+#: Bytes held by the task that joins parts to one file.
+PIECE_BYTES = 8 << 20
 
 
 def write_csv(
     df: DataFrame, path: str, columns: Sequence[str], *, inputs: Iterable[str] = (),
-    bom: bool = True, mode: str = "error",
+    bom: bool = True, mode: str = "error", one_file: bool = False,
 ) -> str:
     """CSV parts with a fixed header; nulls and empty text are both empty cells, white space
-    around a text stays. The byte order mark rides on the first header name of every part."""
+    around a text stays. The byte order mark rides on the first header name of every part.
+    `one_file` joins the parts, in the order of the partitions of `df`, under one header."""
     output_apart_from_inputs(path, inputs)
     out = df.select(*columns)
     if bom:
         out = out.withColumnRenamed(columns[0], BOM + columns[0])
-    (out.write.mode(mode).option("header", "true").option("quote", '"').option("escape", '"')
+    target = scratch_path(df.sparkSession, "csv") if one_file else path
+    (out.write.mode(mode).option("header", not one_file).option("quote", '"').option("escape", '"')
      .option("nullValue", "").option("emptyValue", "")
-     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(target))
+    if one_file:
+        header = io.StringIO()
+        csv.writer(header, lineterminator="\n").writerow(out.columns)
+        join_parts(df.sparkSession, target, path, opening=header.getvalue(), suffix=".csv", mode=mode)
+    return path
+
+
+def join_parts(
+    spark: SparkSession, parts: str, path: str, *, opening: str = "", closing: str = "", skip: int = 0,
+    suffix: str = ".txt", mode: str = "error",
+) -> str:
+    """The folder `path` with one file: `opening`, the files at `parts` in order of their names
+    without the first `skip` bytes of all, and `closing`.
+
+    What has to be sorted was sorted by many tasks; the task that writes the file copies bytes and
+    holds PIECE_BYTES of them. Each attempt has a file of its own, the driver takes that of the last.
+    """
+    names = [name for name, size in listing(spark, parts) if size]
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "overwrite":
+        files.delete(target, True)
+    place = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+
+    def write(staged: str) -> None:
+        files.mkdirs(place(staged))
+        folder = files.getFileStatus(place(staged)).getPath().toString()
+
+        def copy(batches):
+            for batch in batches:
+                for _ in range(batch.num_rows):
+                    made = f"{folder}/_{uuid.uuid4().hex}"
+                    with open_output(made) as out:
+                        out.write(opening.encode("utf-8"))
+                        left = skip
+                        for name in names:
+                            with open_file(name) as part:
+                                left -= len(part.read(left)) if left else 0
+                                while data := part.read(PIECE_BYTES):
+                                    out.write(data)
+                        out.write(closing.encode("utf-8"))
+                    yield pa.RecordBatch.from_pydict({"made": [made]})
+
+        made = spark.range(1).coalesce(1).mapInArrow(copy, "made string").first()["made"]
+        if not files.rename(place(made), place(f"{staged}/part-00000{suffix}")):
+            raise OSError(f"{made} could not be renamed")
+        for status in files.listStatus(place(staged)):
+            if status.getPath().getName().startswith("_"):
+                files.delete(status.getPath(), True)
+
+    publish(spark, path, write, lambda staged: None)
+    files.delete(place(parts), True)
     return path
 
 
@@ -111,18 +172,15 @@ def write_list_document(
     head: Mapping[str, object], field: str, items: DataFrame, path: str, *, inputs: Iterable[str] = (), mode: str = "error",
 ) -> str:
     """One JSON object: the fields of `head` and the list `field` of the texts `item` of `items`,
-    by `position`. A document is one file, so one task writes it, item after item."""
+    by `position`. Many tasks sort and write ranges of the items; a document is one file, so one
+    task copies these, piece by piece (see `join_parts`)."""
     output_apart_from_inputs(path, inputs)
     opening = json.dumps(dict(head), ensure_ascii=False)[:-1] + (", " if head else "") + json.dumps(field) + ": ["
-    line = lambda rank, text: items.sparkSession.range(1).select(
-        F.lit(rank).alias("__part"), F.lit(0).cast("long").alias("position"), F.lit(text).alias("value"))
-    first = F.col("position") == F.lit(items.agg(F.min("position")).first()[0])
-    body = items.select(
-        F.lit(1).alias("__part"), F.col("position").cast("long").alias("position"),
-        F.concat(F.when(first, "").otherwise(","), "item").alias("value"))
-    lines = line(0, opening).unionByName(body).unionByName(line(2, "]}"))
-    lines.repartition(1).sortWithinPartitions("__part", "position").select("value").write.mode(mode).text(path)
-    return path
+    lines = items.select(F.col("position").cast("long").alias("position"), F.concat(F.lit(","), "item").alias("value"))
+    parts = scratch_path(items.sparkSession, "items")
+    in_order(lines, "position").select("value").write.text(parts)
+    # the first item has no comma before it
+    return join_parts(items.sparkSession, parts, path, opening=opening + "\n", closing="]}\n", skip=1, mode=mode)
 
 
 def write_record(spark: SparkSession, record: Mapping[str, object], path: str, *, mode: str = "error") -> str:

@@ -113,3 +113,14 @@ def test_small_max_rows_makes_no_chunk_per_row(spark):
     assert split.hot.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
     got = split.scan(number="n").rows().where("n <> (t - key) div 7 + 1").count()
     assert (got, split.hot.count()) == (0, 4000)
+
+
+def test_numbered_places_come_from_sorted_ranges(spark):
+    """Gapless places over several ranges, without a second shuffle of whole rows by a window."""
+    from actiongrid.plans.ordered import numbered
+
+    rows = spark.range(30_000).selectExpr("(id * 7919) % 30000 as t", "id % 2 as origin").repartition(5)
+    made = numbered(rows, ("origin", "t"), "place")
+    want = F.col("origin") * F.lit(15_000) + F.expr("t div 2") + 1
+    assert made.count() == 30_000 and made.where(F.col("place") != want).isEmpty()
+    assert "row_number" not in made._jdf.queryExecution().executedPlan().toString()

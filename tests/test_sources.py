@@ -159,3 +159,27 @@ def test_epochs_go_on(spark):
     _, spread, _ = fit_epochs(df.repartition(40), labels, epochs=1, steps=1, learning_rate=0.1, block_rows=2)
     _, one, _ = fit_epochs(df, labels, epochs=1, steps=1, learning_rate=0.1)
     assert np.allclose(spread.matrix, one.matrix)
+
+
+def test_one_file_from_sorted_parts(spark, tmp_path):
+    """One file in order, though no task sorts all rows; the header stands once."""
+    from actiongrid.plans.ordered import in_order
+    from actiongrid.sources.documents import Document
+    from actiongrid.sources.manifest_csv import scan_csv
+    from actiongrid.sources.sinks import write_csv, write_list_document
+
+    n = 30_000
+    rows = spark.range(n).selectExpr("(id * 7919) % 30000 as position", "concat('{\"a\": ', (id * 7919) % 30000, '}') as item").repartition(5)
+    ordered = in_order(rows, "position")
+    assert ordered.rdd.getNumPartitions() > 1
+    path = write_csv(ordered, str(tmp_path / "csv"), ["position", "item"], one_file=True)
+    assert [p.name for p in (tmp_path / "csv").iterdir() if p.name[0] not in "._"] == ["part-00000.csv"]
+    cells = scan_csv(spark, path, place="place")
+    assert cells.count() == n and cells.where("position <> place - 1 or item <> concat('{\"a\": ', position, '}')").isEmpty()
+    doc = Document(spark, write_list_document({"b": 1}, "l", rows, str(tmp_path / "doc")))
+    items = doc.items("l")
+    assert doc.fields["b"] == 1 and items.count() == n and items.where("item <> concat('{\"a\": ', position - 1, '}')").isEmpty()
+    empty = write_list_document({}, "l", rows.limit(0), str(tmp_path / "empty"))
+    assert Document(spark, empty).items("l").count() == 0
+    with pytest.raises(FileExistsError):
+        write_csv(ordered, path, ["position"], one_file=True)

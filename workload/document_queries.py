@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from actiongrid.operators import review as R
+from actiongrid.plans.ordered import in_order
 from actiongrid.session import scratch_path
 from actiongrid.sources.documents import CONFIRMATION_FIELDS, REQUEST_FIELDS, read_match, read_results, read_spec
 from actiongrid.sources.manifest_csv import scan_csv, scan_manifest
@@ -141,8 +142,7 @@ def review_files(spark, folder):
     base = scratch_path(spark, "review")
     rows = manifest_rows(spark, folder, clean=True)
     columns = [c for c in rows.columns if c != "record_index"]
-    cut = rows.repartitionByRange(4, "record_index").sortWithinPartitions("record_index")
-    manifest = write_csv(cut, f"{base}/manifest.csv", columns)
+    manifest = write_csv(in_order(rows, "record_index"), f"{base}/manifest.csv", columns)
     wanted = requests(spark, folder).withColumn("suggested_end_seconds", F.col("suggested_end_seconds") + 1)  # no empty window
     spec = write_list_document(SPEC_HEAD, "requests", json_items(wanted, REQUEST_FIELDS), f"{base}/spec.json")
     results = write_list_document(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from actiongrid.functions.text import formula_guard
 from actiongrid.operators import manifest as M
+from actiongrid.plans.ordered import in_order
 from actiongrid.session import scratch_path
 from actiongrid.sources.manifest_csv import scan_manifest
 from actiongrid.sources.media import fingerprints, media_table
@@ -172,8 +173,7 @@ def manifest_csv_one_large_file(spark, folder):
         F.concat(F.lit("n"), F.col("k"), F.lit(",")))
     rows = manifest_rows(spark, folder, clean=True).drop("notes").join(e.select((k + 1).alias("record_index"), notes.alias("notes")), "record_index")
     columns = [c for c in rows.columns if c != "record_index"]
-    one = rows.repartition(1).sortWithinPartitions("record_index")
-    path = write_csv(one, scratch_path(spark, "one-file"), columns)
+    path = write_csv(in_order(rows, "record_index"), scratch_path(spark, "one-file"), columns, one_file=True)
     size = sum(n for _, n in listing(spark, path))
     found = scan_manifest(spark, path, min(RANGE_BYTES, max(1 << 14, size // 16 + 1)))
     return found.select("record_index", "video_path", "split", "player_number", "notes")

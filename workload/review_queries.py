@@ -8,7 +8,7 @@ from actiongrid.domain import REVIEW_OPERATIONS
 from actiongrid.functions.text import seconds_text_us
 from actiongrid.operators import manifest as M
 from actiongrid.operators import review as R
-from actiongrid.plans.ordered import numbered
+from actiongrid.plans.ordered import in_order, numbered, range_count
 from actiongrid.session import scratch_path
 from actiongrid.sources.documents import CONFIRMATION_FIELDS, REQUEST_FIELDS, item_cells, table_cells
 from actiongrid.sources.manifest_csv import require_unique_index, scan_manifest
@@ -99,10 +99,10 @@ def review_queue(spark, folder):
 
 
 def parts(spark, folder):
-    """The clean manifest written as four CSV parts and scanned again."""
+    """The clean manifest written as CSV parts, four or more, and scanned again."""
     rows = manifest_rows(spark, folder, clean=True)
     columns = [c for c in rows.columns if c != "record_index"]
-    cut = rows.repartitionByRange(4, "record_index").sortWithinPartitions("record_index")
+    cut = in_order(rows, "record_index", parts=max(4, range_count(spark, record_count(spark, folder))))
     return scan_manifest(spark, write_csv(cut, scratch_path(spark, "parts"), columns))
 
 
