@@ -24,8 +24,12 @@ CHUNK = "__chunk"
 MAX_ROWS = 4_000_000
 #: Rows of a chunk below which more chunks are no use, beyond one for each shuffle partition.
 CHUNK_ROWS = 1_000_000
+#: Rows of ordinary keys that one task holds on average; its windows take about a kilobyte a row.
+TASK_ROWS = 1_000_000
 #: Rows of a range that is sorted and written by one task, at least and at most (for even ranges).
 RANGE_ROWS = (10_000, 500_000)
+#: Quantiles taken in the pass that counts the rows.
+GRID = 2048
 #: So many hot keys are sent to every task; more are joined by a shuffle.
 BROADCAST_KEYS = 100_000
 
@@ -104,11 +108,11 @@ def order_by_key(
     keys, order = tuple(keys), tuple(order)
     if key_counts is None:
         key_counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    heavy = key_counts.select(*keys, F.col("n").alias("__n")).where(F.col("__n") > max_rows)
-    n_keys, n_rows = heavy.agg(F.count(F.lit(1)), F.sum("__n")).first()
+    hot_if = F.col("n") > max_rows
+    n_keys, n_rows, n_all = key_counts.agg(F.count_if(hot_if), F.sum(F.when(hot_if, F.col("n"))), F.sum("n")).first()
     if not n_keys:
-        return OrderedRows(keys, order, df)
-    heavy = durable(heavy.select(*keys))
+        return OrderedRows(keys, order, _spread(df, keys, n_all or 0))
+    heavy = durable(key_counts.where(hot_if).select(*keys))
     if n_keys <= BROADCAST_KEYS:
         heavy = F.broadcast(heavy)
     condition = same_keys(df, heavy, [(k, k) for k in keys])
@@ -118,7 +122,14 @@ def order_by_key(
         .repartitionByRange(chunk_count(df.sparkSession, int(n_rows), max_rows), *keys, *order)
         .withColumn(CHUNK, F.spark_partition_id())
     )
-    return OrderedRows(keys, order, cold, hot)
+    return OrderedRows(keys, order, _spread(cold, keys, n_all - n_rows), hot)
+
+
+def _spread(cold: DataFrame, keys: Sequence[str], n_rows: int) -> DataFrame:
+    """`cold` by its keys, in more partitions than the session's if these got more than TASK_ROWS each."""
+    parts = -(-n_rows // TASK_ROWS)
+    usual = int(cold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cold.repartition(parts, *keys) if parts > usual else cold
 
 
 def chunk_count(spark, n_rows: int, max_rows: int) -> int:
@@ -138,12 +149,16 @@ def in_order(df: DataFrame, column: str, *, parts: int | None = None) -> DataFra
     are quantiles of `column` alone: what the plan computes for other columns is pruned away.
     `parts` follows from the number of rows if not given (see `range_count`); nulls come first.
     """
-    parts = parts or range_count(df.sparkSession, df.select(column).count())
-    shares = [i / parts for i in range(1, parts)]
-    cuts = []
-    if shares:
-        asked = F.percentile_approx(column, F.array(*[F.lit(s) for s in shares]), F.lit(max(10_000, 20 * parts)))
-        cuts = sorted(set(df.select(column).agg(asked).first()[0] or []))
+    quantiles = lambda n: F.percentile_approx(
+        column, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(max(10_000, 20 * n)))
+    narrow, points = df.select(column), []
+    if not parts:  # a fine grid, of which the cuts are taken once the number of rows is known
+        n_rows, grid = narrow.agg(F.count(F.lit(1)), quantiles(GRID)).first()
+        parts = range_count(df.sparkSession, n_rows)
+        points = [grid[i * GRID // parts - 1] for i in range(1, parts)] if grid and parts <= GRID else []
+    if parts > 1 and not points:
+        points = narrow.agg(quantiles(parts)).first()[0]
+    cuts = sorted(set(points or []))
     return (
         df.withColumn("__bucket", F.coalesce(_cuts_upto(F.col(column), cuts), F.lit(0)))
         .repartitionById(len(cuts) + 1, "__bucket").drop("__bucket").sortWithinPartitions(column)

@@ -124,3 +124,13 @@ def test_numbered_places_come_from_sorted_ranges(spark):
     want = F.col("origin") * F.lit(15_000) + F.expr("t div 2") + 1
     assert made.count() == 30_000 and made.where(F.col("place") != want).isEmpty()
     assert "row_number" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ordinary_keys_get_more_partitions_with_more_rows(spark, monkeypatch):
+    from actiongrid.plans import ordered as O
+
+    monkeypatch.setattr(O, "TASK_ROWS", 100)
+    rows = spark.range(1000).select((F.col("id") % 50).alias("key"), F.col("id").alias("t"))
+    split = O.order_by_key(rows, ["key"], ["t"])
+    assert split.hot is None and split.cold.rdd.getNumPartitions() == 10
+    assert split.scan(number="n").rows().where("n <> t div 50 + 1").isEmpty()
