@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..domain import ACTION_LABELS, COMPATIBLE_LABELS
+from ..plans.ordered import in_order
+from ..session import durable
 from ..sources.sinks import write_record
 from .detections import evaluation_rows, evidence_parts, window_winner
 from .metrics import evaluate, per_class, summary
@@ -51,15 +53,19 @@ def metric_sets(rows: DataFrame) -> DataFrame:
 
 def write_report(rows: DataFrame, path: str, *, settings: Mapping[str, object], manifest: Mapping[str, object]) -> str:
     """The report: `head` is one JSON object with format_version, settings, manifest_summary and
-    both metric sets (rows of a closed label domain); `records` has a JSON line per row."""
+    both metric sets (rows of a closed label domain); `records` has a JSON line per row, in order, in
+    compressed parts: the evidence of neighbouring rows is much alike."""
+    in_order(rows, "record_index").write.option("compression", "gzip").json(f"{path}/records")
+    # the metrics ask for the labels several times: these are taken from the records, not computed again
+    labels = rows.select("expected_action", "predicted_action").schema
+    stored = durable(rows.sparkSession.read.schema(labels).json(f"{path}/records"))
     sets: dict = {}
-    for r in metric_sets(rows).collect():  # labels times metrics
+    for r in metric_sets(stored).collect():  # labels times metrics
         place = sets.setdefault(r.metric_set, {"per_class": {}})
         if r.label:
             place["per_class"].setdefault(r.label, {})[r.metric] = r.value
         else:
             place[r.metric] = r.value
-    rows.orderBy("record_index").write.json(f"{path}/records")
     head = {"format_version": 1, "settings": dict(settings), "manifest_summary": dict(manifest), "metrics": sets, "records": "records"}
     write_record(rows.sparkSession, head, f"{path}/head")
     return path

@@ -148,3 +148,17 @@ def test_frames_sheets_batches_fill(spark):
         assert filled.where("missing_first").count() == 1
     with pytest.raises(ValueError):
         W.batch_groups(many, 0)
+
+
+def test_report_records_in_order_and_metrics_from_them(spark, tmp_path):
+    import json
+
+    from actiongrid.operators.evaluation import write_report
+
+    rows = spark.range(200).selectExpr(
+        "(id * 37) % 200 as record_index", "'serve' as expected_action", "if(id % 4 = 0, 'dig', 'serve') as predicted_action").repartition(3)
+    path = write_report(rows, str(tmp_path / "report"), settings={}, manifest={})
+    assert all(p.name.endswith(".json.gz") for p in (tmp_path / "report" / "records").glob("part-*"))
+    assert [r.record_index for r in spark.read.json(f"{path}/records").collect()] == list(range(200))
+    head = json.loads(spark.read.text(f"{path}/head").first()[0])
+    assert (head["metrics"]["strict"]["samples"], head["metrics"]["strict"]["accuracy"]) == (200, 0.75)
