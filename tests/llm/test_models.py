@@ -230,6 +230,38 @@ def test_tables_follow_their_conditional_distribution(discount, mass):
         assert abs(tables.std() - deviation) < 0.05 * deviation + 0.02
 
 
+def last_weights(customers, tables, discount):
+    """log weights of up to `tables` tables, by the recursion over customers."""
+    row, t = np.full(tables + 1, -np.inf), np.arange(tables + 1)
+    row[0] = 0
+    with np.errstate(divide="ignore"):
+        for c in range(customers):
+            stay = np.where(c - discount * t > 0, np.log(np.maximum(c - discount * t, 1e-300)), -np.inf) + row
+            row = np.logaddexp(stay, np.concatenate([[-np.inf], row[:-1]]))
+    return row[1:]
+
+
+@pytest.mark.parametrize("discount", [0.05, 0.8, 0.95])
+def test_tables_of_many_customers_are_exact(discount, monkeypatch):
+    """The whole distribution beside the recursion: few tables, many, nearly one a customer."""
+    seen, given = [], pitman_yor.further_tables
+    monkeypatch.setattr(pitman_yor, "further_tables", lambda *x: seen.append((x[3], given(*x))) or seen[-1][1])
+    for customers, most, masses in [(513, 513, [0, 0.1, 10, 1e3, 1e4, 1e12]), (1000, 1000, [1, 300, 1e5]), (5000, 200, [1e-3, 5, 30 * discount + 5])]:
+        logs = last_weights(customers, most, discount)
+        for mass in masses:
+            p = logs + np.arange(most) * math.log(max(mass, 1e-300))
+            p = np.exp(p - p.max())
+            pitman_yor.seat(np.array([customers]), np.array([mass]), discount, np.random.default_rng(0))
+            (first, weights), got = seen[-1], np.zeros(most)
+            part = weights[0][:most - first[0]]
+            got[first[0]:first[0] + len(part)] = part / weights.sum()
+            assert np.abs(got - p / p.sum()).max() < 1e-7
+    counts = np.array([600, 10**6, 10**9])
+    for mass in (0.0, 1.0, 1e5, 1e9):
+        tables = pitman_yor.seat(counts, np.full(3, mass), discount, np.random.default_rng(0))
+        assert (tables >= 1).all() and (tables <= counts).all()
+
+
 def test_rows_of_a_hot_word_are_folded():
     import pyarrow as pa
 
