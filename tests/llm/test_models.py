@@ -262,6 +262,16 @@ def test_tables_of_many_customers_are_exact(discount, monkeypatch):
         assert (tables >= 1).all() and (tables <= counts).all()
 
 
+def test_tokens():
+    batch = ["", " \n", "Ab  c\td\x0b", "é", "x" * 50 + " \x1cy\x85", "\ud800 z"]
+    ids, contexts, at = pitman_yor.tokens(batch)
+    words = [w for t in batch for w in [*t.encode("utf-8", "surrogatepass").lower().split(), b""]]
+    assert ids.tolist() == [pitman_yor.xxhash.xxh64_intdigest(w, 17) >> 8 for w in words]
+    assert bytes(contexts) == (b" " + b"".join(w[-1:] or b" " for w in words))[:-1]
+    assert np.diff(at).tolist() == [len(t.encode("utf-8", "surrogatepass").split()) + 1 for t in batch]
+    assert at[0] == 0 and pitman_yor.tokens([])[2].tolist() == [0]
+
+
 def test_rows_of_a_hot_word_are_folded():
     import pyarrow as pa
 
