@@ -179,6 +179,50 @@ def test_toxicity(spark):
     assert toxicity.classify(docs.limit(0), net).count() == 0
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """More toxic rows than were drawn once, in several blocks; every row trains or calibrates."""
+    monkeypatch.setattr(toxicity, "BLOCK_ROWS", 1500)
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(200)]
+    rows = [(i, " ".join(rng.choices(words, k=5)) + (" zorgle" if i % 2 else ""), "xy"[i % 3 == 0], i % 2) for i in range(5600)] + [(5600, None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    seen, given = [], toxicity.Net.start_table
+    monkeypatch.setattr(toxicity.Net, "start_table", lambda net, cells, n: seen.append((cells.copy(), n.copy())) or given(net, cells, n))
+    cuts, best = [], toxicity.best_cuts
+    monkeypatch.setattr(toxicity, "best_cuts", lambda scored: cuts.append(scored.where("lang = -1").count()) or best(scored))
+    net = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"), epochs=2)
+    (held, of_label), zorgle = seen[0], toxicity.cells("zorgle")[0]
+    assert of_label.sum() + cuts[0] == len(rows) and of_label[1] > 2000
+    assert held[1, zorgle] == of_label[1] and net.langs == ["x", "y"]
+    got = toxicity.classify(docs, net).join(docs, "doc_id").collect()
+    assert np.mean([r.predicted == r.toxic for r in got]) > 0.99
+
+
+def test_best_cuts(spark):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(12) / 4, int(rng.random() < 0.3)) for k in (0, 1, 2) for _ in range(40)] + [(3, 0.5, 0), (3, 2.0, 0), (4, 1.0, 1)]
+    got = toxicity.best_cuts(spark.createDataFrame(rows, "lang int, logit double, toxic int"))
+    for lang in range(5):
+        own = [(x, y) for k, x, y in rows if k == lang]
+        levels, hits = sorted({x for x, _ in own}, reverse=True), sum(y for _, y in own)
+        f1 = [2 * sum(y for x, y in own if x >= level) / (sum(x >= level for x, _ in own) + hits) for level in levels]
+        at = f1.index(max(f1))
+        cut = (levels[at] + levels[at + 1]) / 2 if at + 1 < len(levels) else levels[at] - 0.5
+        assert got[lang] == (hits, cut if hits else levels[0] + 1)
+
+
+def test_long_texts_teach(monkeypatch):
+    """A text in parts pulls the same table rows as in one."""
+    rng = np.random.default_rng(0)
+    docs = [rng.integers(1, 60_000, n).astype(np.int32) for n in (40, 3, 0, 17)]
+    whole = toxicity.Net().pooled(docs, where=True)
+    monkeypatch.setattr(toxicity, "PART", 5)
+    parts = toxicity.Net().pooled(docs, where=True)
+    assert np.allclose(whole[0], parts[0], atol=1e-5)
+    for a, b in zip(whole[1], parts[1]):
+        assert (a[:2] == b[:2]).all() and (a[3] == b[3]).all()
+
+
 def test_long_texts_go_in_parts(monkeypatch):
     net = toxicity.Net()
     docs = [toxicity.cells(" ".join(map(str, range(n)))) for n in (0, 1, 7, 50)]
