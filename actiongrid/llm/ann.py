@@ -3,7 +3,7 @@
 A unit vector is turned by a fixed random rotation into `bits` dimensions and kept as the signs
 of its coordinates, packed, with two scalars: the vector's length and the correction, the inner
 product of the vector with its own code. For a query, rotated alike and rounded to four-bit
-coordinates, counting common bits gives its inner product with a code; divided by the
+coordinates, adding these up where a code has its bits gives its inner product with a code; divided by the
 correction it estimates that with the vector, with an error of about
 sqrt(1/correction^2 - 1) / sqrt(bits - 1). The bound, `width` times that plus what rounding the
 query adds, says which vectors could be among the nearest: all whose upper bound reaches the
@@ -56,13 +56,9 @@ def estimate(queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray, correc
     low = turned.min(axis=1)
     step = np.maximum((turned.max(axis=1) - low) / ((1 << PLANES) - 1), 1e-12)
     rounded = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
-    total = np.zeros((len(queries), len(codes)))
-    for plane in range(PLANES):
-        packed = np.packbits(rounded >> plane & 1, axis=1).view(np.uint64)
-        common = np.zeros(total.shape, np.int32)
-        for word in range(codes.shape[1]):
-            common += np.bitwise_count(packed[:, word][:, None] & codes[:, word][None, :])
-        total += common * float(1 << plane)
+    # all four planes at once: sums of small whole numbers, exact in single precision
+    bits_set = np.unpackbits(codes.view(np.uint8), axis=1)
+    total = rounded.astype(np.float32) @ bits_set.T.astype(np.float32)
     ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int64)
     whole = low * bits + step * rounded.sum(axis=1, dtype=np.int64)
     inner = (2 * (low[:, None] * ones[None, :] + step[:, None] * total) - whole[:, None]) / np.sqrt(bits)
@@ -72,6 +68,15 @@ def estimate(queries: np.ndarray, codes: np.ndarray, lengths: np.ndarray, correc
     return inner / corrections[None, :] * scale, error * scale
 
 
+def sums(queries: np.ndarray, vectors: np.ndarray, who: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """Inner products of queries[who] with vectors[what], component by component."""
+    score = np.empty(len(who))
+    for i in range(0, len(who), 1 << 16):
+        s = slice(i, i + (1 << 16))
+        score[s] = (queries[who[s]] * vectors[what[s]]).sum(axis=1)
+    return score
+
+
 def nearest(query_ids, queries, ids, vectors, codes, lengths, corrections, k: int, width: float) -> pd.DataFrame:
     """The k best of a block for every query: (query_id, vec_id, score)."""
     out = []
@@ -83,11 +88,14 @@ def nearest(query_ids, queries, ids, vectors, codes, lengths, corrections, k: in
         lower = np.where(other, guess - error, -np.inf)
         at = max(len(ids) - k - 1, 0)  # one place more, for the query itself
         bar = np.partition(lower, at, axis=1)[:, at]
-        who, what = np.nonzero(other & (guess + error >= bar[:, None]))
-        score = np.empty(len(who))
-        for i in range(0, len(who), 1 << 16):
-            s = slice(i, i + (1 << 16))
-            score[s] = (part[who[s]] * vectors[what[s]]).sum(axis=1)
+        close = other & (guess + error >= bar[:, None])
+        # many pairs pass on scattered vectors: their products come first all at once, and the final
+        # sums, component by component, only for those that rounding may put among the k best
+        product = np.where(close, part @ vectors.T, -np.inf)
+        at = max(len(ids) - k, 0)
+        floor = np.partition(product, at, axis=1)[:, at] - 1e-11 * np.sqrt((part * part).sum(axis=1)) * lengths.max()
+        who, what = np.nonzero(close & ~(product < floor[:, None]))
+        score = sums(part, vectors, who, what)
         order = np.lexsort((ids[what], -score, who))
         who, what, score = who[order], what[order], score[order]
         first = np.searchsorted(who, np.arange(len(part)))

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from actiongrid.llm import language, pitman_yor, toxicity, url_filter
+from actiongrid.llm import ann, language, pitman_yor, toxicity, url_filter
 from actiongrid.llm.ann import search
 
 FOLDER = "/root/testdata/sf0.01"
@@ -150,6 +150,16 @@ def test_search(spark):
     assert search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_few_pairs_are_summed_by_component(monkeypatch):
+    """Of scattered vectors most reach the bound; only about k of a query go on to the final sums."""
+    vectors = np.random.default_rng(1).normal(size=(2000, 64))
+    taken, given = [], ann.sums
+    monkeypatch.setattr(ann, "sums", lambda *x: taken.append(len(x[2])) or given(*x))
+    got = ann.nearest(np.arange(100), vectors[:100], np.arange(2000), vectors, *ann.encode(vectors, 128), 20, 2.5)
+    assert len(got) == 2000 and sum(taken) <= 2100
+    assert (got["score"].to_numpy() == (vectors[got["query_id"]] * vectors[got["vec_id"]]).sum(axis=1)).all()
+
+
 def toxic_rows(n, seed):
     rng = random.Random(seed)
     words = ["".join(rng.choices("abcdefghij", k=4)) for _ in range(400)]
