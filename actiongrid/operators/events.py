@@ -26,8 +26,12 @@ def usable_windows(
     background_label: str = BACKGROUND_LABEL,
 ) -> DataFrame:
     """Drop background, weak and empty windows; all three are pushed to the scan."""
+    return windows.where(usable_if(confidence_threshold, background_label))
+
+
+def usable_if(confidence_threshold: float, background_label: str = BACKGROUND_LABEL) -> Column:
     fraction("confidence_threshold", confidence_threshold)
-    return windows.where(
+    return (
         (F.col("action") != background_label)
         & (F.col("conf_micro") >= round(confidence_threshold * 1_000_000))
         & (F.col("end_us") > F.col("start_us"))
@@ -180,9 +184,12 @@ def as_spans(windows: DataFrame) -> DataFrame:
     )
 
 
-def merge_spans(spans: DataFrame, *, gap_us: int, min_us: int, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The merge itself, on spans that may already stand for several windows."""
-    split = order_by_key(spans, ("video_id",), ORDER, max_rows=max_rows)
+def merge_spans(
+    spans: DataFrame, *, gap_us: int, min_us: int, max_rows: int = MAX_ROWS, key_counts: DataFrame | None = None,
+) -> DataFrame:
+    """The merge itself, on spans that may already stand for several windows; `key_counts` as in
+    `order_by_key`."""
+    split = order_by_key(spans, ("video_id",), ORDER, max_rows=max_rows, key_counts=key_counts)
 
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("island"))
     cold = (

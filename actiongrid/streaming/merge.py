@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.events import as_spans, event_table, merge_spans, usable_windows
+from ..operators.events import as_spans, event_table, merge_spans, usable_if, usable_windows
 from ..plans.guards import micros, non_negative
 from ..plans.ordered import MAX_ROWS, attach, order_by_key
 from .statelog import COMPACT_EVERY, StateLog, delete
@@ -63,58 +63,77 @@ class StepResult:
     late: DataFrame
 
 
+def arrivals(windows: DataFrame, settings: MergeSettings) -> DataFrame:
+    """One row per video that got windows: the largest start and how many windows are usable."""
+    return windows.groupBy("video_id").agg(
+        F.max("start_us").alias("seen_us"), F.count_if(usable_if(settings.confidence_threshold)).alias("n_usable"))
+
+
 def step(
     state: StreamState, windows: DataFrame, settings: MergeSettings, *, final: bool = False,
-    store: Callable[[DataFrame], DataFrame] = lambda merged: merged,
+    store: Callable[[str, DataFrame], DataFrame] = lambda name, df: df, seen: DataFrame | None = None,
 ) -> StepResult:
     """One micro-batch. A window is late when its start lies at or before the watermark of
     its video (largest start seen minus the delay) as it stood before the batch. Ready are
     the windows up to the new watermark; an event is closed by a later one or when the
     watermark has passed its end plus the gap. `final` closes everything. `store` may write
-    the merged spans and read them back, so that no output computes them again."""
-    known = state.videos.select("video_id", "watermark_us")
-    arrived = attach(windows, known, ("video_id",)).withColumn(
-        "is_late", F.coalesce(F.col("start_us") <= F.col("watermark_us"), F.lit(False))
-    )
-    on_time = arrived.where(~F.col("is_late"))
-    marks = on_time.groupBy("video_id").agg((F.max("start_us") - settings.delay_us).alias("seen_us"))
-    videos = attach_full(state.videos, marks).withColumn(
-        "mark_us", F.greatest("watermark_us", "seen_us")
-    )
-
-    usable = as_spans(usable_windows(on_time, confidence_threshold=settings.confidence_threshold))
-    pool = attach(state.waiting.unionByName(usable), videos.select("video_id", "mark_us"), ("video_id",))
+    a table and read it back, so that nothing that needs it computes it again: the videos and
+    the next state have one row per video, the merged spans are what the events are taken from.
+    `seen` are the `arrivals` of the windows, if they are at hand."""
+    seen = arrivals(windows, settings) if seen is None else seen
+    # a late window starts at or before the old watermark, so the largest start needs no look at it
+    held = state.waiting.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_held"))
+    videos = store("videos", attach(attach_full(state.videos, seen), held, ("video_id",)).select(
+        "video_id", "watermark_us", "emitted", "open",
+        F.greatest("watermark_us", F.col("seen_us") - settings.delay_us).alias("mark_us"),
+        (F.coalesce("n_usable", F.lit(0)) + F.coalesce("n_held", F.lit(0)) + 1).alias("n"),
+    ))
+
+    marks = videos.select("video_id", "watermark_us", "mark_us")
+    is_late = F.coalesce(F.col("start_us") <= F.col("watermark_us"), F.lit(False))
     ready_if = F.lit(True) if final else F.col("start_us") <= F.col("mark_us")
+    usable = attach(as_spans(usable_windows(windows, confidence_threshold=settings.confidence_threshold)), marks, ("video_id",))
+    pool = usable.where(~is_late).unionByName(attach(state.waiting, marks, ("video_id",))).drop("watermark_us")
     ready = pool.where(ready_if).drop("mark_us")
     waiting = pool.where(~ready_if).drop("mark_us")
 
-    reopened = state.videos.where("open is not null").select(
+    reopened = videos.where("open is not null").select(
         "video_id", F.lit(-1).cast("long").alias("ordinal"), "open.start_us", "open.end_us",
         "open.action", "open.conf_sum", "open.n_windows",
     )
-    merged = merge_spans(ready.unionByName(reopened), gap_us=settings.gap_us, min_us=0, max_rows=settings.max_rows)
-    last = merged.groupBy("video_id").agg(F.max("event_no").alias("last_no"))
-    ends = attach(attach(merged, last, ("video_id",)), videos.select("video_id", "mark_us"), ("video_id",))
-    past = F.lit(True) if final else F.coalesce(F.col("mark_us") > F.col("end_us") + settings.gap_us, F.lit(False))
-    ends = store(ends.withColumn("closed", (F.col("event_no") < F.col("last_no")) | past))
-
-    kept = ends.where(F.col("closed") & (F.col("end_us") - F.col("start_us") >= settings.min_us))
-    numbered = order_by_key(kept, ("video_id",), ("event_no",), max_rows=settings.max_rows).scan(number="nth").rows()
-    emitted_before = state.videos.select("video_id", "emitted")
-    events = attach(numbered, emitted_before, ("video_id",)).select(
-        "video_id", (F.col("nth") + F.coalesce("emitted", F.lit(0))).alias("event_no"),
-        "start_us", "end_us", "action", "conf_sum", "n_windows",
+    merged = store("merged", merge_spans(
+        ready.unionByName(reopened), gap_us=settings.gap_us, min_us=0, max_rows=settings.max_rows,
+        key_counts=videos.select("video_id", "n")))
+
+    # only the last span of a video may stay open
+    is_long = F.col("end_us") - F.col("start_us") >= settings.min_us
+    last = merged.groupBy("video_id").agg(
+        F.max("event_no").alias("last_no"), F.count_if(is_long).alias("n_long"),
+        F.max_by(F.struct("start_us", "end_us", "action", "conf_sum", "n_windows"), "event_no").alias("last"),
     )
-    counts = kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_new"))
-    still_open = ends.where(~F.col("closed")).select(
-        "video_id", F.struct("start_us", "end_us", "action", "conf_sum", "n_windows").alias("now_open")
-    )
-    next_videos = attach(attach(videos, counts, ("video_id",)), still_open, ("video_id",)).select(
-        "video_id", F.col("mark_us").alias("watermark_us"),
-        (F.coalesce("emitted", F.lit(0)) + F.coalesce("n_new", F.lit(0))).cast("long").alias("emitted"),
+    past = F.lit(True) if final else F.coalesce(F.col("mark_us") > F.col("last.end_us") + settings.gap_us, F.lit(False))
+    after = attach(videos.drop("open"), last, ("video_id",)).withColumn("now_open", F.when(~past, F.col("last")))
+    open_long = F.coalesce(F.col("now_open.end_us") - F.col("now_open.start_us") >= settings.min_us, F.lit(False))
+    after = store("after", after.select(
+        "video_id", "mark_us", "now_open", "last_no", F.coalesce("emitted", F.lit(0)).cast("long").alias("emitted"),
+        (F.coalesce("n_long", F.lit(0)) - F.when(open_long, 1).otherwise(0)).cast("long").alias("n_new"),
+    ))
+    next_videos = after.select(
+        "video_id", F.col("mark_us").alias("watermark_us"), (F.col("emitted") + F.col("n_new")).alias("emitted"),
         F.col("now_open").alias("open"),
     )
-    late = arrived.where("is_late").drop("is_late", "watermark_us")
+
+    before = after.select("video_id", "emitted", F.when(F.col("now_open").isNotNull(), F.col("last_no")).alias("open_no"))
+    kept = attach(merged.where(is_long), before, ("video_id",)).where("open_no is null or event_no < open_no").drop("open_no")
+    numbered = order_by_key(
+        kept, ("video_id",), ("event_no",), max_rows=settings.max_rows,
+        key_counts=after.where("n_new > 0").select("video_id", F.col("n_new").alias("n")),
+    ).scan(number="nth").rows()
+    events = numbered.select(
+        "video_id", (F.col("nth") + F.col("emitted")).alias("event_no"),
+        "start_us", "end_us", "action", "conf_sum", "n_windows",
+    )
+    late = attach(windows, marks.where("watermark_us is not null"), ("video_id",), "inner").where(is_late).drop("watermark_us", "mark_us")
     return StepResult(StreamState(next_videos, waiting), events, late)
 
 
@@ -137,21 +156,25 @@ def run_batch(
     log = state_log(spark, base, compact_every)
     place = lambda name, number=batch: f"{base}/{name}/batch={number}"
 
-    def store(merged: DataFrame) -> DataFrame:
-        merged.write.mode("overwrite").parquet(place("merged"))
-        return spark.read.schema(merged.schema).parquet(place("merged"))
+    made = ("seen", "videos", "merged", "after")
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(place(name))
+        return spark.read.schema(df.schema).parquet(place(name))
 
     windows = windows.persist()
     try:
-        found = log.before(batch, None if final else windows.select("video_id").distinct())
-        result = step(StreamState(found["videos"], found["waiting"]), windows, settings, final=final, store=store)
+        seen = store("seen", arrivals(windows, settings))
+        found = log.before(batch, None if final else seen.select("video_id"))
+        result = step(StreamState(found["videos"], found["waiting"]), windows, settings, final=final, store=store, seen=seen)
         log.write(batch, {"videos": result.state.videos, "waiting": result.state.waiting})
         for name, df in (("events", result.events), ("late", result.late)):
             df.write.mode("overwrite").parquet(place(name))
     finally:
         windows.unpersist()
     log.compact(batch)
-    delete(spark, place("merged", batch - 2))
+    for name in made:
+        delete(spark, place(name, batch - 2))
 
 
 def start_merge_stream(windows: DataFrame, base: str, settings: MergeSettings, *, checkpoint: str, trigger: dict | None = None):

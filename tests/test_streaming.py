@@ -71,6 +71,32 @@ def test_merge_writes_touched_videos_only(spark, tmp_path):
     assert {k: v for k, v in got.items() if k != "v7"} == {k: v for k, v in want.items() if k != "v7"}
 
 
+def test_hot_videos_over_batches(spark, tmp_path):
+    """Videos above max_rows, counted from the arrivals, equal the batch merge; windows wait for the delay."""
+    rows = sorted(random_rows(6, videos=2, n=40), key=lambda r: (r[2], r[3], r[1]))
+    settings = MergeSettings.of(merge_gap_seconds=0.1, min_event_seconds=0.2, delay_seconds=1.0, confidence_threshold=0.3, max_rows=8)
+    cuts = [0, len(rows) // 2, len(rows)]
+    for batch, (low, high) in enumerate(zip(cuts, cuts[1:])):
+        run_batch(spark, str(tmp_path), batch, spark.createDataFrame(rows[low:high], WINDOWS), settings)
+    finish(spark, str(tmp_path), 1, settings, WINDOWS)
+    want = merge_windows(spark.createDataFrame(rows, WINDOWS), confidence_threshold=0.3, merge_gap_seconds=0.1, min_event_seconds=0.2)
+    got = closed_events(spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_jobs_of_a_merge_batch(spark, tmp_path):
+    """Videos, merged spans and the next state are stored once; no output computes them again."""
+    context = spark.sparkContext
+    rows = [(f"v{i}", i, 10**6, 2 * 10**6, "set", 900_000) for i in range(20)]
+    context.setJobGroup("merge batch", "")
+    try:
+        run_batch(spark, str(tmp_path), 0, spark.createDataFrame(rows, WINDOWS), MergeSettings.of())
+        jobs = len(context.statusTracker().getJobIdsForGroup("merge batch"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 45
+
+
 def test_leakage_stream(spark, tmp_path):
     """Four batches with a restart between them: reported once, in the batch in which it leaks."""
     schema = "record_index long, video_path string, start_seconds string, end_seconds string, label string, split string"
