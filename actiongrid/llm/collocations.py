@@ -1,17 +1,15 @@
-"""Phrase collocations from stripes.
-
-A stripe is a prefix of words with a counter of the words that follow it; the piece's end and
-words that cannot matter count under the empty word, so the sum of a stripe is the frequency of
-its prefix. Tasks count in memory and emit stripes; stripes of one prefix are merged elementwise
-after one shuffle. One structure then gives everything a collocation needs: the entries are the
-frequencies of the extensions, the sum is the prefix's own, and the largest entry is the right
-half of the subsumption test (the left half: the same entries by their last words).
-
-Prefixes grow by one word a pass, from the empty one. A phrase can only reach `least` occurrences
-if both its parts without the first or last word do; these are put into a bounded bit table
-(`grams.bit_table`), and what the table does not hold is counted under the empty word. The
-table may let rarer phrases pass; the counts decide. Prefixes with a large share of all
-occurrences (the empty one above all) are merged in parts by the hash of the following word.
+"""Phrase collocations from counted hashes.
+
+Phrases grow by one word a pass, from single words. A phrase can only reach `least` occurrences if
+both its parts without the first or last word do; these are put into a bounded bit table
+(`grams.bit_table`), and only phrases whose parts it holds are counted in the next pass. A pass
+counts 64-bit hashes: tasks fold theirs by sorting and emit one block for each bucket (a range of
+hashes), and a bucket's blocks are merged in arrays. Phrases that share a hash share its count, so
+no phrase of `least` occurrences is missed, and only hashes of `least` occurrences leave a pass.
+
+A last pass counts phrases by their words, exactly: those whose hashes are in the table of all
+lengths. The table may let rarer phrases pass; the counts decide. The number of buckets follows
+from the length of the texts, so a bucket has about as many entries in a large table as in a small one.
 """
 
 from __future__ import annotations
@@ -25,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import arrow_runs
 from .common import query, stored, table
-from .grams import MIX, Sieve, WordHashes, bit_table, gram_hashes, may_hold, mixed
+from .grams import Sieve, bit_table, may_hold, mixed
 
 #: Occurrences that a task holds before it folds and emits them, and words that it numbers.
 HELD = 3_000_000
@@ -38,10 +36,8 @@ RARE, RARE_WORDS = 1, 200_000
 TOGETHER = 100_000
 #: Blocks of an Arrow batch.
 BATCH = 256
-#: Stands for a dictionary of hot prefixes: every prefix has SHARE parts.
-ALL = "all"
-#: A prefix with more than 1 / SHARE of all occurrences is merged in parts of that size.
-SHARE = 2000
+#: Kilobytes of text for each bucket of a merge.
+SHARE = 8000
 
 #: The end of a piece, a byte that no word has.
 END = b"."
@@ -74,21 +70,6 @@ def _salt(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode("utf-8", "surrogatepass"), 9))
 
 
-def phrase_hashes(phrases: DataFrame) -> DataFrame:
-    """(code) of (lang, phrase) rows, as the counting tasks hash their words."""
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            codes = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = hashes.of(phrase.split(b" "))
-                codes.append(mixed(gram_hashes(words, len(words)) ^ _salt(lang))[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(codes, np.uint64).view(np.int64))], ["code"])
-
-    return phrases.select("lang", "phrase").mapInArrow(run, "code long")
-
-
 class Vocabulary(dict):
     """Numbers of the words of a language as they come, with their hashes. 0 is a piece's end.
 
@@ -168,6 +149,15 @@ def _folded(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
             out.append(key & ((1 << BITS) - 1))
             key = key >> BITS
         return out[::-1], counts
+    if len(columns) == 4:  # the first two become one number
+        pairs, pair = np.unique(_keys(columns[:2], BITS), return_inverse=True)
+        if len(pairs) < 1 << 63 - 2 * BITS:
+            key = np.sort(_keys([pair, *columns[2:]], BITS))
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+            counts = np.diff(np.append(first, len(key)))
+            key, low = key[first], (1 << BITS) - 1
+            pair = pairs[key >> 2 * BITS]
+            return [pair >> BITS, pair & low, key >> BITS & low, key & low], counts
     order = np.lexsort(columns[::-1])
     columns = [c[order] for c in columns]
     turn = np.zeros(len(order), bool)
@@ -178,115 +168,171 @@ def _folded(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
     return [c[first] for c in columns], np.diff(np.append(first, len(order)))
 
 
-def _striped(columns: list[np.ndarray], known: Vocabulary, lang: str, hot, buckets: int):
-    """Record batches of stripes by bucket: equal occurrences counted, those of one prefix put together."""
-    (*prefix, following), counts = _folded(columns)
-    words = pa.array(known.words, pa.binary())
-    turn = np.zeros(len(counts), bool)
-    turn[:1] = True
-    for column in prefix:
-        turn[1:] |= column[1:] != column[:-1]
-    text = pa.array([b""] * int(turn.sum()), pa.binary())
-    if prefix:
-        text = words.take(pa.array(prefix[0][turn]))
-        for column in prefix[1:]:
-            text = pc.binary_join_element_wise(text, words.take(pa.array(column[turn])), pa.scalar(b" ", pa.binary()))
-    parts = np.full(len(text), SHARE if hot == ALL else 1, np.int64)
-    own = {p: n for (name, p), n in hot.items() if name == lang} if hot != ALL else {}
-    if own:
-        for i in np.flatnonzero(pc.is_in(text, pa.array(sorted(own), pa.binary())).to_numpy(zero_copy_only=False)).tolist():
-            parts[i] = own[text[i].as_py()]
-    code = np.zeros(len(text), np.uint64)
-    for column in prefix:
-        code = mixed(code ^ known.hashes[column[turn]])
-    code = mixed(code ^ _salt(lang))
-    group = np.cumsum(turn) - 1
-    part = known.hashes[following] % parts[group].astype(np.uint64)
-    bucket = ((code[group] + part * MIX) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((group, bucket))
-    group, bucket, following, counts = group[order], bucket[order], following[order], counts[order]
-    turn = np.ones(len(group), bool)
-    turn[1:] = (group[1:] != group[:-1]) | (bucket[1:] != bucket[:-1])
-    starts = np.append(np.flatnonzero(turn), len(group))
-    entry = words.take(pa.array(following))
-    often = pa.array((counts > 1) | (following == 0))
-    counted = pa.array(counts).cast(pa.string()).cast(pa.binary())
-    entry = pc.if_else(often, pc.binary_join_element_wise(entry, counted, pa.scalar(b"\t", pa.binary())), entry)
-    stripe = pc.binary_join(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), entry), pa.scalar(b" ", pa.binary()))
-    line = pc.binary_join_element_wise(text.take(pa.array(group[starts[:-1]])), stripe, pa.scalar(b"\r", pa.binary()))
-    home = bucket[starts[:-1]]
-    edges = np.append(np.flatnonzero(np.append(True, home[1:] != home[:-1])[:len(home)]), len(home))
-    block = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), line), pa.scalar(b"\n", pa.binary()))
-    whole = pa.RecordBatch.from_arrays(
-        [pa.array([lang] * len(block), pa.string()), pa.array(home[edges[:-1]].astype(np.int32)), block.cast(pa.string())], ["lang", "bucket", "block"])
-    for low in range(0, len(block), BATCH):
-        yield whole.slice(low, BATCH)
-
-
-def _counted(rows: DataFrame, size: int, bits, hot, words=None) -> DataFrame:
-    """(lang, bucket, block) of prefixes of `size` words, not yet merged.
-
-    A block has the stripes of a task that go to one bucket, one a line: the prefix, a carriage
-    return and the entries, parted by blanks. An entry is a word, or a word, a tab and its count;
-    the empty word counts what follows no further. None of these marks lies in a word.
+def _codes(columns: list[np.ndarray], hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
+    """The hash of each row's words, in its language."""
+    code = np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        code = mixed(code ^ hashes[column])
+    return mixed(code ^ salt)
+
+
+def _phrases(ids: np.ndarray, own: int, size: int, hashes: np.ndarray, sieve: np.ndarray, salt: np.uint64) -> list[np.ndarray]:
+    """Columns of the words of phrases of `size` words whose parts are frequent."""
+    columns = occurrences(ids, own, size - 1, hashes, sieve, salt)
+    whole = columns[-1] > RARE
+    return [c[whole] for c in columns]
+
+
+def _homes(codes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash; a bucket is a range of hashes."""
+    return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin, and the end."""
+    return np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])[:len(sorted_)]), len(sorted_))
+
+
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The bytes of each run of values."""
+    return pa.Array.from_buffers(
+        pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _unpacked(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _sliced(batch: pa.RecordBatch):
+    for low in range(0, len(batch), BATCH):
+        yield batch.slice(low, BATCH)
+
+
+def _read(rows: pa.RecordBatch, run_texts: list[str], size: int, known: dict[str, Vocabulary], frequent):
+    """(lang, its vocabulary, ids of a portion, how many of them begin phrases) of a run of texts."""
+    by_lang: dict[str, list] = {}
+    for lang, text in zip(rows.column(0).to_pylist(), run_texts):
+        by_lang.setdefault(lang, []).append(text)
+    for lang, texts in by_lang.items():
+        own = known.get(lang)
+        if own is None:
+            own = known[lang] = Vocabulary(frequent, _salt(lang))
+        for words, first in portions(texts, size - 1):
+            yield lang, own, own.of(words), first
+
+
+def _full(known: dict[str, Vocabulary]) -> bool:
+    return sum(len(v.words) for v in known.values()) > WORDS
+
+
+def frequent_codes(rows: DataFrame, size: int, least: int, buckets: int, bits, words) -> DataFrame:
+    """(code) of all phrases of `size` words with `least` occurrences, and of no hash with fewer.
+
+    A block has the hashes of a task that belong to one bucket, sorted, and their counts, as bytes.
     """
-    context = rows.sparkSession.sparkContext
-    buckets = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sieve, parts, frequent = (context.broadcast(x) for x in (bits, hot, words))
+    sieve, frequent = (rows.sparkSession.sparkContext.broadcast(x) for x in (bits, words))
+
+    def emitted(held):
+        codes = np.sort(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+        turns = _edges(codes)
+        codes, counts = codes[turns[:-1]], np.diff(turns).astype(np.uint32)
+        home = _homes(codes, buckets)
+        edges = _edges(home)
+        yield from _sliced(pa.RecordBatch.from_arrays(
+            [pa.array(home[edges[:-1]]), _packed(codes, edges), _packed(counts, edges)], ["bucket", "codes", "counts"]))
 
     def run(batches):
         known: dict[str, Vocabulary] = {}
-        held: dict[str, list] = {}
-        n = 0
-
-        def emitted():
-            for lang, found in held.items():
-                yield from _striped([np.concatenate(c) for c in zip(*found)], known[lang], lang, parts.value, buckets)
-
-        for rows_, run_texts in arrow_runs(batches):
-            by_lang: dict[str, list] = {}
-            for lang, text in zip(rows_.column(0).to_pylist(), run_texts):
-                by_lang.setdefault(lang, []).append(text)
-            for lang, texts in by_lang.items():
-                own = known.get(lang)
-                if own is None:
-                    own = known[lang] = Vocabulary(frequent.value, _salt(lang))
-                for words, first in portions(texts, size):
-                    found = occurrences(own.of(words), first, size, own.hashes, sieve.value, _salt(lang))
-                    held.setdefault(lang, []).append(found)
-                    n += len(found[0])
-            if n > HELD or sum(len(v.words) for v in known.values()) > WORDS:
-                yield from emitted()
-                held, n = {}, 0
-                if sum(len(v.words) for v in known.values()) > WORDS:
-                    known = {}
-        yield from emitted()
-
-    return rows.mapInArrow(run, "lang string, bucket int, block string")
-
-
-def stripes(rows: DataFrame, size: int, least: int, bits, hot, words=None) -> DataFrame:
-    """(lang, prefix, total, entries) of all prefixes of `size` words, merged; a prefix of many
-    occurrences has several rows, each with its share of the following words.
-
-    entries: (word, f) of the following words with f >= least. Explode and sum stay within the
-    partition that a bucket was dealt to and spill there; a stripe is never one Python object.
+        held, n = [], 0
+        for part in arrow_runs(batches):
+            for lang, own, ids, first in _read(*part, size, known, frequent.value):
+                salt = _salt(lang)
+                held.append(_codes(_phrases(ids, first, size, own.hashes, sieve.value, salt), own.hashes, salt))
+                n += len(held[-1])
+                if n > HELD:
+                    yield from emitted(held)
+                    held, n = [], 0
+            if _full(known):
+                known = {}
+        yield from emitted(held)
+
+    def merged(blocks):
+        codes, counts = _unpacked(blocks.column("codes"), np.uint64), _unpacked(blocks.column("counts"), np.uint32)
+        order = np.argsort(codes)
+        codes, counts = codes[order], counts[order].astype(np.int64)
+        first = _edges(codes)[:-1]
+        codes = codes[first][np.add.reduceat(counts, first) >= least]
+        return pa.table([pa.array(codes.view(np.int64))], ["code"])
+
+    blocks = rows.mapInArrow(run, "bucket int, codes binary, counts binary")
+    return blocks.groupBy("bucket").applyInArrow(merged, "code long")
+
+
+def counted(rows: DataFrame, most_words: int, least: int, buckets: int, bits, words) -> DataFrame:
+    """(lang, phrase, size, f) of the phrases of 1 to `most_words` words with f >= least, counted by
+    their words; the empty phrase of size 0 counts all words of its language.
+
+    A block has the phrases of a task and a language that belong to one bucket, one a line (no word
+    has a line end), and their counts as bytes.
     """
-    dealt = _counted(rows, size, bits, hot, words).repartition("bucket")
-    line = dealt.select("bucket", "lang", F.explode(F.split("block", "\n")).alias("line"))
-    one = line.select("bucket", "lang", F.substring_index("line", "\r", 1).alias("prefix"), F.explode(F.split(F.substring_index("line", "\r", -1), " ")).alias("e"))
-    tab = F.instr("e", "\t")
-    count = F.when(tab == 0, 1).otherwise(F.expr("substring(e, instr(e, '\t') + 1)").cast("long"))
-    summed = one.groupBy("bucket", "lang", "prefix", F.substring_index("e", "\t", 1).alias("word")).agg(F.sum(count).alias("f"))
-    kept = F.when((F.col("f") >= least) & (F.col("word") != ""), F.struct(F.col("word").cast("binary").alias("word"), "f"))
-    merged = summed.groupBy("bucket", "lang", "prefix").agg(F.sum("f").alias("total"), F.collect_list(kept).alias("entries"))
-    return merged.select("lang", F.col("prefix").cast("binary").alias("prefix"), "total", "entries")
+    sieve, frequent = (rows.sparkSession.sparkContext.broadcast(x) for x in (bits, words))
+
+    def emitted(held, known, n_words):
+        for lang, by_size in held.items():
+            own, salt = known[lang], _salt(lang)
+            words = pa.array(own.words, pa.binary())
+            phrases, counts, codes = [pa.array([b""], pa.binary())], [[n_words[lang]]], [[salt]]
+            for found in by_size.values():
+                columns, often = _folded([np.concatenate(c).astype(np.int64) for c in zip(*found)])
+                text = words.take(pa.array(columns[0]))
+                for column in columns[1:]:
+                    text = pc.binary_join_element_wise(text, words.take(pa.array(column)), pa.scalar(b" ", pa.binary()))
+                phrases.append(text)
+                counts.append(often)
+                codes.append(_codes(columns, own.hashes, salt))
+            home = _homes(np.concatenate(codes), buckets)
+            order = np.argsort(home, kind="stable")
+            edges = _edges(home[order])
+            lines = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.concat_arrays(phrases).take(pa.array(order)))
+            block = pc.binary_join(lines, pa.scalar(b"\n", pa.binary())).cast(pa.string())
+            yield from _sliced(pa.RecordBatch.from_arrays(
+                [pa.array(home[order][edges[:-1]]), pa.array([lang] * len(block), pa.string()), block,
+                 _packed(np.concatenate(counts).astype(np.int64)[order], edges)], ["bucket", "lang", "block", "counts"]))
 
-
-def _hot(grams: DataFrame, total: int) -> dict:
-    """Parts of the prefixes with a large share of all occurrences; at most SHARE prefixes."""
-    heavy = max(1, total // SHARE)
-    return {(r.lang, bytes(r.phrase)): 1 + r.f // heavy for r in grams.where(F.col("f") > max(heavy, 10_000)).collect()}
+    def run(batches):
+        known: dict[str, Vocabulary] = {}
+        held, n_words, n = {}, {}, 0
+        for part in arrow_runs(batches):
+            for lang, own, ids, first in _read(*part, most_words, known, frequent.value):
+                salt, by_size = _salt(lang), held.setdefault(lang, {})
+                n_words[lang] = n_words.get(lang, 0) + int(np.count_nonzero(ids[:first]))
+                for size in range(1, most_words + 1):
+                    columns = _phrases(ids[:first] if size == 1 else ids, first, size, own.hashes, sieve.value, salt)
+                    if size > 1:
+                        kept = may_hold(sieve.value, _codes(columns, own.hashes, salt))
+                        columns = [c[kept] for c in columns]
+                    by_size.setdefault(size, []).append([c.astype(np.int32) for c in columns])
+                    n += len(columns[0])
+                if n > 2 * HELD:
+                    yield from emitted(held, known, n_words)
+                    held, n_words, n = {}, {}, 0
+            if _full(known):
+                yield from emitted(held, known, n_words)
+                known, held, n_words, n = {}, {}, {}, 0
+        yield from emitted(held, known, n_words)
+
+    def merged(blocks):
+        lines = pc.split_pattern(blocks.column("block").combine_chunks(), "\n")
+        lang = blocks.column("lang").combine_chunks().take(pc.list_parent_indices(lines))
+        table = pa.table([lang, pc.list_flatten(lines), pa.array(_unpacked(blocks.column("counts"), np.int64))], ["lang", "phrase", "f"])
+        summed = table.group_by(["lang", "phrase"], use_threads=False).aggregate([("f", "sum")])
+        phrase, f = summed.column("phrase"), summed.column("f_sum")
+        size = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+        found = pa.table([summed.column("lang"), phrase, size, f], ["lang", "phrase", "size", "f"])
+        return found.filter(pc.or_(pc.greater_equal(f, least), pc.equal(size, 0)))
+
+    blocks = rows.mapInArrow(run, "bucket int, lang string, block string, counts binary")
+    return blocks.groupBy("bucket").applyInArrow(merged, "lang string, phrase string, size int, f long")
 
 
 def collocations(
@@ -302,44 +348,27 @@ def collocations(
     table, or one without a phrase of `least` occurrences, gives no rows.
     """
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    levels, total, words = [], None, None
-    bits, hot = np.zeros(1, np.uint64), ALL
-    for size in range(most_words):
-        level = stored(stripes(rows, size, least, bits, hot, words), f"stripes-{size}")
-        levels.append(level)
-        entry = level.select("lang", "prefix", F.explode("entries").alias("e"))
-        word = F.col("e.word")
-        phrase = F.concat(F.col("prefix"), F.lit(b" "), word) if size else word
-        grams = entry.select("lang", phrase.alias("phrase"), "prefix", F.col("e.f").alias("f"))
-        if size == most_words - 1:
-            break
-        if total is None:
-            total = level.agg(F.sum("total")).first()[0] or 0
-        hot = _hot(grams, total)
-        bits = bit_table(phrase_hashes(grams), "code")
-        words = bits if words is None else words
-
-    def phrases(size: int) -> DataFrame:
-        entry = levels[size - 1].select("lang", "prefix", F.explode("entries").alias("e"))
-        parts = [F.col("prefix"), F.lit(b" ")] if size > 1 else []
-        return entry.select("lang", F.concat(*parts, F.col("e.word")).alias("phrase"), F.col("e.f").alias("f"))
-
-    def prefix_totals(size: int) -> DataFrame:
-        return levels[size].groupBy("lang", F.col("prefix").alias("left")).agg(F.sum("total").alias("l"))
-
-    known = {size: phrases(size) for size in range(1, most_words + 1)}
-    text = lambda c: c.cast("string")
+    length = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + length // (1000 * SHARE)
+    bits, words, codes = np.zeros(1, np.uint64), None, None
+    for size in range(1, most_words + 1):
+        level = stored(frequent_codes(rows, size, least, buckets, bits, words), f"codes-{size}")
+        codes = level if codes is None else codes.unionByName(level)
+        if size < most_words:
+            bits = bit_table(level, "code")
+            words = bits if words is None else words
+    every = stored(counted(rows, most_words, least, buckets, bit_table(codes, "code"), words), "phrases")
+    known = {size: every.where(F.col("size") == size).select("lang", "phrase", "f") for size in range(most_words + 1)}
     scored = []
     for size in range(2, most_words + 1):
-        found = known[size].select("lang", text(F.col("phrase")).alias("phrase"), F.col("f").alias("a"))
+        found = known[size].withColumnRenamed("f", "a")
         cuts = []
         for k in range(1, size):
             left = F.substring_index("phrase", " ", k)
             right = F.substring_index("phrase", " ", k - size)
             one = found.withColumn("left", left).withColumn("right", right)
-            one = one.join(prefix_totals(k).withColumn("left", text(F.col("left"))), ["lang", "left"])
-            rest = known[size - k].select("lang", text(F.col("phrase")).alias("right"), F.col("f").alias("r"))
-            one = one.join(rest, ["lang", "right"])
+            one = one.join(known[k].select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
+            one = one.join(known[size - k].select("lang", F.col("phrase").alias("right"), F.col("f").alias("r")), ["lang", "right"])
             score = F.expr(f"cast(a as decimal(20,0)) * {scale} div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
             cuts.append(one.select("lang", "phrase", "a", F.struct(score.alias("score"), F.lit(k).alias("k"), "l", "r").alias("cut")))
         joined = cuts[0]
@@ -347,9 +376,8 @@ def collocations(
             joined = joined.unionByName(one)
         best = joined.groupBy("lang", "phrase").agg(F.any_value("a").alias("a"), F.min("cut").alias("cut"))
         if size < most_words:
-            around = levels[size].where(F.size("entries") > 0).select("lang", text(F.col("prefix")).alias("phrase"), F.array_max("entries.f").alias("m"))
-            behind = known[size + 1].select("lang", F.substring_index(text(F.col("phrase")), " ", -size).alias("phrase"), F.col("f").alias("m"))
-            longer = around.unionByName(behind).groupBy("lang", "phrase").agg(F.max("m").alias("m"))
+            part = lambda n: known[size + 1].select("lang", F.substring_index("phrase", " ", n).alias("phrase"), F.col("f").alias("m"))  # noqa: B023, E731
+            longer = part(size).unionByName(part(-size)).groupBy("lang", "phrase").agg(F.max("m").alias("m"))
             best = best.join(longer, ["lang", "phrase"], "left").where("m IS NULL OR cast(m as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * 80")
             best = best.drop("m")
         scored.append(best)
@@ -359,7 +387,7 @@ def collocations(
     ranked = every.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    sizes = levels[0].groupBy("lang").agg(F.sum("total").alias("n"))
+    sizes = known[0].select("lang", F.col("f").alias("n"))
     return ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

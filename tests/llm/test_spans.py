@@ -273,6 +273,57 @@ def test_folding(width):
     assert dict(zip(zip(*(c.tolist() for c in columns)), counts.tolist())) == Counter(map(tuple, rows.tolist()))
 
 
+def test_folding_of_large_numbers():
+    rows = np.random.default_rng(7).integers((1 << 20) - 3, 1 << 20, (500, 4))
+    columns, counts = collocations_module()._folded([rows[:, i].astype(np.int64) for i in range(4)])
+    assert dict(zip(zip(*(c.tolist() for c in columns)), counts.tolist())) == Counter(map(tuple, rows.tolist()))
+
+
+def test_blocks_of_collocations(spark, monkeypatch):
+    """Blocks follow the size of the texts, not the number of shuffle partitions."""
+    rng = random.Random(11)
+    rows = [("en", " ".join(rng.choices([f"w{i}" for i in range(40)], k=200))) for _ in range(30)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3).localCheckpoint()
+    kind, made = type(docs), []
+    plain = kind.mapInArrow
+
+    def noted(self, *args, **kw):
+        found = plain(self, *args, **kw)
+        if "bucket" in found.columns:
+            made.append(found)
+        return found
+
+    monkeypatch.setattr(kind, "mapInArrow", noted)
+    blocks = []
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("2", "32"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            made.clear()
+            collocations(docs, 5, 2, 10)
+            blocks.append(sum(df.count() for df in made))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert 0 < blocks[1] <= blocks[0]
+
+
+def test_counted_whatever_the_table_holds(spark):
+    """Phrases that pass a bit table by chance, or share a hash, do not change a count."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["en", "fr"]), " ".join(rng.choices(["a", "b", "c", "d."], k=rng.randint(0, 30)))) for _ in range(40)]
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    table = np.full(1 << 10, ~np.uint64(0))  # everything passes
+    found = collocations_module().counted(docs, 3, 4, 5, table, None).collect()
+    expect = Counter()
+    for lang, text in rows:
+        for piece in text.split("."):
+            words = piece.split()
+            expect[lang, "", 0] += len(words)
+            expect.update((lang, " ".join(words[i:i + k]), k) for k in (1, 2, 3) for i in range(len(words) - k + 1))
+    assert {(r.lang, r.phrase, r.size): r.f for r in found} == {k: n for k, n in expect.items() if n >= 4 or not k[2]}
+    assert len(found) == len({(r.lang, r.phrase) for r in found})
+
+
 def collocations_module():
     from actiongrid.llm import collocations as module
 
